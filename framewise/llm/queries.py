@@ -1,12 +1,13 @@
-"""The registered queries: each applies one operator to its whole table."""
+"""The registered queries: each applies one operator to its whole table. SQL where it can express the result."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_store
+from . import chat, exact_dedup, licenses, packing, token_store, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,21 +20,99 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    extra = spark.range(0, 2, 1, 1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    return chat.digest(chat.format_chat(turns.unionByName(extra)))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_store.write_corpus(table(spark, sf_dir, "documents"), tokenizer_path())
     return token_store.read_corpus(spark, files)
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": op1_license_scan,
+        "op3_exact_dedup": op3_exact_dedup,
+        "op4_chat_format": op4_chat_format,
+        "op5_toxicity": op5_toxicity,
         "op6_token_store": op6_token_store,
+        "op7_topk_search": op7_topk_search,
+        "op8_warc": op8_warc,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
+OP3_SQL = """
+with d as (select doc_id, sha256(coalesce(text, '')) as h from documents),
+g as (select h, max(doc_id) as keep_id, count(*) as group_size from d group by h)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, h as text_sha256 from d join g using (h)
+"""
+
+OP4_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (
+  select *, row_number() over w as n, lag(role) over w as before,
+    regexp_replace(text, '([<\[])(\\*)(\||s>|/s>|INST\]|/INST\])', '\1\2\\\3', 'g') as etext,
+    regexp_replace(role, '([<\[])(\\*)(\||s>|/s>|INST\]|/INST\])', '\1\2\\\3', 'g') as erole
+  from t window w as (partition by conv_id order by turn nulls first, role, text))
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by n) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(etext) + case when before = role then 10 else 33 + length(erole) end) as bigint) as formatted_chars
+from e group by conv_id
+"""
+
+OP7_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id as query_id, x.vec_id, cast(list_inner_product(q.e, x.e) as bigint) as score from v q join v x on q.vec_id <> x.vec_id where q.vec_id % 20 = 0),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+OP8_SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, octet_length(encode(h)) as payload_bytes, sha1(h) as payload_digest, sha256(h) as k from p),
+g as (select k, max(page_id) as winner from d where payload_bytes >= 1000 group by k having count(*) > 1)
+select page_id, payload_bytes, payload_digest,
+  case when winner is null or winner = page_id then 'response' else 'revisit' end as record_type,
+  case when winner <> page_id then winner end as refers_to
+from d left join g using (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_topk_search": OP7_SQL, "op8_warc": OP8_SQL}
