@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, packing, token_store, topk, toxicity, warc
+from . import chat, exact_dedup, licenses, mixing, ngram_join, packing, token_store, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(table(spark, sf_dir, "documents"), repetition=1.5)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
 
@@ -61,12 +69,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_toxicity": op5_toxicity,
         "op6_token_store": op6_token_store,
         "op7_topk_search": op7_topk_search,
         "op8_warc": op8_warc,
+        "op9_temperature_mix": op9_temperature_mix,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
