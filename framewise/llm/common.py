@@ -64,3 +64,11 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 def text_or_empty(name: str = "text") -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def unused_prefix(df: DataFrame) -> str:
+    """A beginning that no column of `df` has, for helper columns."""
+    found = "_"
+    while any(c.lower().startswith(found) for c in df.columns):
+        found += "_"
+    return found

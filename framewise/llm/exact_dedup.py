@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, text_or_empty, written
+from .common import arrow_rows, text_or_empty, unused_prefix, written
 
 DIGEST = "_dedup_digest"
 
@@ -94,14 +94,16 @@ def drop_copies(docs: DataFrame, normalise: Callable[[Column], Column] | None =
     stay where they are read unless that table is over the session's broadcast
     limit. Otherwise rows go by id and digest, and equal rows are numbered.
     """
+    pre = unused_prefix(docs)
+    lost_id, lost_digest, own_digest, number = (pre + c for c in ("lost_id", "lost_digest", "digest", "number"))
     found = decide(written(digests(docs, normalise), "digests"), counters)
-    found = written(found.select("doc_id", DIGEST, F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_kept")), "dedup-kept")
-    lost = found.filter(~F.col("_kept")).select(F.col("doc_id").alias("_lost_id"), F.col(DIGEST).alias("_lost_digest"))
+    found = written(found.select("doc_id", DIGEST, F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")), "dedup-kept")
+    lost = found.filter(~F.col("kept")).select(F.col("doc_id").alias(lost_id), F.col(DIGEST).alias(lost_digest))
     if found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
-        return docs.join(lost.select("_lost_id"), docs["doc_id"] == F.col("_lost_id"), "left_anti")
+        return docs.join(lost.select(lost_id), F.col("doc_id") == F.col(lost_id), "left_anti")
     text = text_or_empty()
     text = normalise(text) if normalise else text
-    own = docs.withColumn(DIGEST, F.unhex(F.sha2(text.cast("binary"), 256)))
-    kept = own.join(lost, own["doc_id"].eqNullSafe(F.col("_lost_id")) & (own[DIGEST] == F.col("_lost_digest")), "left_anti")
-    number = Window.partitionBy("doc_id", DIGEST).orderBy("doc_id")
-    return kept.withColumn("_dedup_n", F.row_number().over(number)).filter("_dedup_n = 1").drop("_dedup_n", DIGEST)
+    own = docs.withColumn(own_digest, F.unhex(F.sha2(text.cast("binary"), 256)))
+    kept = own.join(lost, F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col(own_digest) == F.col(lost_digest)), "left_anti")
+    order = Window.partitionBy("doc_id", own_digest).orderBy("doc_id")
+    return kept.withColumn(number, F.row_number().over(order)).filter(F.col(number) == 1).drop(number, own_digest)

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import text_or_empty, unused_prefix, written
 
 RANGES = 1024
 ROUNDS = 60
@@ -56,7 +56,8 @@ def weights(counted: DataFrame, repetition: float | None = None, entropy: float
     `entropy`: nats that the weights should have (met as far as shares allow).
     `repetition`: most passes over a source per pass over the least repeated
     one; or, with a `budget`, most passes over any source. Without a budget it is
-    the smallest that uses every document once.
+    the smallest that uses every document once. Where even the sources' own
+    shares exceed the limit under the given budget, the exponent is 1.
     """
     if (repetition is None) == (entropy is None):
         raise ValueError("give either a repetition limit or a target entropy")
@@ -108,19 +109,21 @@ def cuts(counted: DataFrame, weighed: DataFrame, seed: int) -> DataFrame:
     return part.join(edge.select("key", F.col("range").alias("edge")), "key", "left").join(last, "key", "left")
 
 
-def realised(docs: DataFrame, cut: DataFrame, seed: int) -> DataFrame:
-    """`docs` (with doc_id and source) once for each pass that takes the row, with _pass, _hash, _stream."""
-    own = docs.withColumn("_key", _source_key())
-    cut = cut.select(F.col("key").alias("_key"), *(F.col(c).alias(f"_{c}") for c in ("whole", "stream", "edge", "last")))
-    own = own.join(cut, "_key")
-    hash_ = _key(seed, F.col("_whole"))
+def realised(docs: DataFrame, cut: DataFrame, seed: int) -> tuple[DataFrame, str]:
+    """`docs` (with doc_id and source) once for each pass that takes the row; helper columns pass, hash and stream have the prefix returned."""
+    pre = unused_prefix(docs)
+    held = {c: F.col(pre + c) for c in ("whole", "stream", "edge", "last", "pass")}
+    own = docs.withColumn(pre + "key", _source_key())
+    own = own.join(cut.select(*(F.col(c).alias(pre + c) for c in ("key", "whole", "stream", "edge", "last"))), pre + "key")
+    hash_ = _key(seed, held["whole"])
     range_ = _range(hash_)
-    before = (hash_ < F.col("_last.hash")) | ((hash_ == F.col("_last.hash")) & (F.coalesce(F.col("doc_id") <= F.col("_last.doc_id"), F.col("doc_id").isNull())))
-    taken = (range_ < F.col("_edge")) | ((range_ == F.col("_edge")) & F.coalesce(before, F.lit(False)))
-    passes = F.col("_whole") + F.coalesce(taken, F.lit(False)).cast("int")
+    last = held["last"]
+    before = (hash_ < last["hash"]) | ((hash_ == last["hash"]) & (F.coalesce(F.col("doc_id") <= last["doc_id"], F.col("doc_id").isNull())))
+    taken = (range_ < held["edge"]) | ((range_ == held["edge"]) & F.coalesce(before, F.lit(False)))
+    passes = held["whole"] + F.coalesce(taken, F.lit(False)).cast("int")
     numbers = F.filter(F.sequence(F.lit(0), F.greatest(passes, F.lit(1))), lambda i: i < passes)
-    own = own.withColumn("_pass", F.explode(numbers))
-    return own.withColumn("_hash", _key(seed, F.col("_pass"))).drop("_key", "_whole", "_edge", "_last")
+    own = own.withColumn(pre + "pass", F.explode(numbers)).withColumn(pre + "hash", _key(seed, held["pass"]))
+    return own, pre
 
 
 def _prepared(docs: DataFrame, seed: int, **target) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -134,14 +137,14 @@ def plan_mix(docs: DataFrame, seed: int = 17, block_tokens: int = 1 << 20, **tar
     counted, weighed, cut = _prepared(docs, seed, **target)
     budget = weighed.agg(F.sum("target")).first()[0] or 0
     blocks = max(1, math.ceil(budget / block_tokens))
-    own = realised(counted, cut, seed)
+    own, pre = realised(counted, cut, seed)
     # The hash as a fraction of the pass, its sign bit turned so that ranges ascend.
-    fraction = F.shiftrightunsigned("_hash", 11).cast("double") / float(1 << 53)
-    block = F.least(F.floor((F.col("_pass") + fraction) / F.col("_stream") * blocks), F.lit(blocks - 1)).cast("long")
-    return own.select("doc_id", "source", F.col("_pass").alias("pass"), block.alias("block"), F.xxhash64(F.lit(seed + 1), "_pass", "doc_id").alias("order_key"), "tokens")
+    fraction = F.shiftrightunsigned(pre + "hash", 11).cast("double") / float(1 << 53)
+    block = F.least(F.floor((F.col(pre + "pass") + fraction) / F.col(pre + "stream") * blocks), F.lit(blocks - 1)).cast("long")
+    return own.select("doc_id", "source", F.col(pre + "pass").alias("pass"), block.alias("block"), F.xxhash64(F.lit(seed + 1), pre + "pass", "doc_id").alias("order_key"), "tokens")
 
 
 def mix(docs: DataFrame, seed: int = 17, **target) -> DataFrame:
     """The documents' rows, each as often as the mix takes it."""
     _, _, cut = _prepared(docs, seed, **target)
-    return realised(docs, cut, seed).select(*docs.columns)
+    return realised(docs, cut, seed)[0].select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from .common import arrow_rows, unused_prefix, written
 
 BITS = 48
 #: Frequencies are coded by bit length; from this code on a shingle is frequent (64 classes or more).
@@ -452,5 +452,6 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
     Documents with an empty set stay, and so do rows that share a doc_id if one of them has to.
     """
     found = written(join(docs, width, num, den), "components")
-    lost = found.groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    gone = unused_prefix(docs) + "gone"
+    lost = found.groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select(F.col("doc_id").alias(gone))
+    return docs.join(lost, F.col("doc_id") == F.col(gone), "left_anti")
