@@ -13,8 +13,9 @@ with equal sets form a class, and classes are joined:
    most frequent). Groups are cut by hash so that combinations stay few.
 3. Index entries link each class to one leader per entry; linked pairs are
    verified on their shared shingles, which give the exact intersection.
-   Entries whose classes aren't yet in one component give their remaining pairs
-   across components, until none is left untested.
+   In entries whose classes aren't yet in one component, all pairs across
+   components that are left are tested: as rows in small entries, in blocks of
+   classes and matrices of intersection sizes for large ones.
 
 Why the prefix is enough: let a class of n shingles need n - t in common with a
 partner, and let the prefix hold u unshared shingles and c_g of group g. If it
@@ -53,6 +54,11 @@ FREQUENT = 7
 HOT = 63
 #: Below this band (32 shingles) single shingles are indexed throughout.
 SMALL_BAND = 5
+#: Entries of more classes than this are tested in blocks.
+PAIRED = 32
+BLOCK_ROWS, BLOCK_BYTES = 512, 4_000_000
+#: Values that so many sets hold are counted by matrix products.
+DENSE = 16
 WORDS_CAP = 300_000
 
 _hashes: dict[bytes, int] = {}
@@ -374,16 +380,79 @@ def stars(entries: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b")).distinct()
 
 
-def across(entries: DataFrame, component: DataFrame, tested: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one entry that lie in different components and haven't been tested."""
+def open_entries(entries: DataFrame, component: DataFrame) -> DataFrame:
+    """Rows of entries with more than two classes that don't all lie in one component, with the entry's number of classes m."""
     own = entries.join(component, "class", "left").select("entry", "class", "n", F.coalesce("component", "class").alias("component"))
-    mixed = own.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("entry")
-    own = own.join(mixed, "entry")
+    mixed = own.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("entry", "m")
+    return own.join(mixed, "entry")
+
+
+def across(opened: DataFrame, tested: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of one entry of at most `PAIRED` classes that lie in different components and haven't been tested."""
+    own = opened.filter(F.col("m") <= PAIRED).drop("m")
     other = own.select("entry", *(F.col(c).alias(f"o_{c}") for c in ("class", "n", "component")))
     pairs = own.join(other, "entry").filter("class < o_class and component <> o_component").filter(_sizes_fit("n", "o_n", num, den))
     return pairs.select(F.col("class").alias("a"), F.col("o_class").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The matrix of intersection sizes of ascending arrays: frequent values by matrix products, rare ones by their pairs."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, columns, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((rows, columns))
+    rows, columns = rows[order], columns[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    few = (counts[columns] >= 2) & (counts[columns] < DENSE)
+    r, c = rows[few], columns[few]
+    for step in range(1, DENSE - 1):
+        same = c[step:] == c[:-step]
+        if same.any():
+            out += np.bincount(r[:-step][same] * len(sets) + r[step:][same], minlength=out.size).reshape(out.shape)
+    many = np.flatnonzero(counts >= DENSE)
+    at = np.full(len(counts), -1)
+    at[many] = np.arange(len(many))
+    r, c = rows[at[columns] >= 0], at[columns][at[columns] >= 0]
+    for low in range(0, len(many), 2048):
+        a, b = np.searchsorted(c, (low, low + 2048))
+        x = np.zeros((len(sets), 2048), np.float32)
+        x[r[a:b], c[a:b] - low] = 1
+        out += np.triu(x @ x.T, 1)
+    return out
+
+
+def verify_blocks(opened: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components among classes that share an entry of more than `PAIRED` classes.
+
+    Such entries overlap, so their classes are clustered, and a cluster is cut
+    into blocks by hash: each pair of blocks is one matrix of intersection
+    sizes, and its pairs are never rows.
+    """
+    large = opened.filter(F.col("m") > PAIRED)
+    leader = large.groupBy("entry").agg(F.min("class").alias("b"))
+    edges = written(large.join(leader, "entry").filter(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct(), "cluster-links")
+    if edges.isEmpty():
+        return edges
+    cluster = components(edges).withColumnRenamed("component", "cluster")
+    own = large.select("class", "component").distinct().join(cluster, "class").join(classes.select("class", "n", "shingles"), "class")
+    own = written(own, "clusters")
+    sizes = own.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = own.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+    def test(group: pa.Table) -> pa.Table:
+        name, n, part, block = (group.column(c).to_numpy() for c in ("class", "n", "component", "block"))
+        common = common_counts([_values(x) for x in group.column("shingles").to_pylist()]).astype(np.int64)
+        good = den * common >= num * (n[:, None] + n[None, :] - common)
+        good &= part[:, None] != part[None, :]
+        if len({*block.tolist()}) > 1:
+            good &= block[:, None] != block[None, :]
+        i, j = np.nonzero(np.triu(good, 1))
+        return pa.table([pa.array(np.minimum(name[i], name[j]), pa.int64()), pa.array(np.maximum(name[i], name[j]), pa.int64())], ["a", "b"])
+
+    return own.select("cluster", "low", "high", "class", "n", "component", "block", "shingles").groupBy("cluster", "low", "high").applyInArrow(test, "a long, b long")
+
+
 def verify(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose Jaccard similarity is num / den or more."""
     sets = classes.select("class", "n", "shingles")
@@ -438,7 +507,9 @@ def join(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> Data
     tested = written(stars(entries, num, den), "pairs")
     links = written(verify(tested, classes, num, den), "links")
     component = components(links)
-    more = written(verify(across(entries, component, tested, num, den), classes, num, den), "links")
+    opened = written(open_entries(entries, component), "open")
+    more = verify(across(opened, tested, num, den), classes, num, den).union(verify_blocks(opened, classes, num, den))
+    more = written(more.distinct(), "links")
     if not more.isEmpty():
         component = components(links.union(more))
     own = sets.join(component, "class", "left").select("doc_id", "n", F.coalesce("component", "class").alias("_c"))
