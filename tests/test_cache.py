@@ -1,7 +1,7 @@
 """Cache files, headers, replay and small sources."""
 
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from framewise.schema import PLATES, VEHICLES, Params

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from framewise.functions import folds, scalars

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import rows
+from compare import rows
 
 from framewise.operators import bridge, holds, metrics, tracking
 from framewise.schema import MOTO, PLATES, VEHICLES, Params
