@@ -36,6 +36,8 @@ RESULT = "doc_id long, held_out boolean, score double, predicted int, offending
 
 
 PREFIXES = range(3, 8)
+#: A sentence without known words is worth this at most, so that length alone never makes a document toxic.
+MOST_BIAS = -10.0
 
 
 def features(word: bytes) -> list[bytes]:
@@ -117,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_word
     size = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sum(n for y, n in size.items() if y == 1), sum(n for y, n in size.items() if y != 1)
     if not n1 or not n0:
-        return Model({}, -8.0)
+        return Model({}, MOST_BIAS)
     words = sample.mapInArrow(count, "word binary, y int, n long").groupBy("word")
     words = words.agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("b"))
     # Chi-square of word against label, one degree of freedom; kept beyond the 0.1 % point with at least threefold odds either way.
@@ -126,6 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_word
     ratio = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
     words = words.filter("a + b >= 5").withColumns({"chi": F.when(a + b < n, chi), "ratio": ratio}).filter("chi > 10.8 and (ratio > 3 or ratio < 1 / 3D)")
     vocabulary = sorted(bytes(r.word) for r in words.orderBy(F.desc("chi"), "word").limit(most_words).collect())
+    if not vocabulary:
+        return Model({}, MOST_BIAS)
     at = {w: i for i, w in enumerate(vocabulary)}
 
     def known(batches):
@@ -149,11 +153,11 @@ def _fit(y: np.ndarray, known: list, plain: np.ndarray, vocabulary: list[bytes],
     word = np.array([w for s in sentences for w in s], np.int64)
     sentence_of = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
     x = np.zeros(len(vocabulary) + 1)
-    x[-1] = -6.0
+    x[-1] = MOST_BIAS
     m, v = np.zeros_like(x), np.zeros_like(x)
     for t in range(1, rounds + 1):
         z = x[-1] + np.bincount(sentence_of, x[word], len(sentences))
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-x[-1]))
+        p, p0 = 1 / (1 + np.exp(-np.clip(z, -50, 50))), 1 / (1 + np.exp(-x[-1]))
         rest = np.bincount(doc_of, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, x[-1])
         # Loss by `rest` = -log(1 - score): 1 for clean documents, -1 / (e^rest - 1) for toxic ones.
         by_rest = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(rest, 50)), 1e-9), 1.0) / len(y)
@@ -161,6 +165,7 @@ def _fit(y: np.ndarray, known: list, plain: np.ndarray, vocabulary: list[bytes],
         g = np.append(np.bincount(word, by_z[sentence_of], len(vocabulary)) + ridge * x[:-1], by_z.sum() + (by_rest * plain).sum() * p0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
+        x[-1] = min(x[-1], MOST_BIAS)
     return Model({w: float(c) for w, c in zip(vocabulary, x[:-1], strict=True) if abs(c) > 1e-3}, float(x[-1]))
 
 
