@@ -6,7 +6,6 @@ and truncated where it truncates.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -37,11 +36,6 @@ def fields(value: Column) -> Box:
     return Box(*(value[n] for n in Box._fields))
 
 
-def let(b: Box, f: Callable[[Box], Box]) -> Box:
-    """`f(b)` with each edge of `b` worked out once, however often `f` names it."""
-    return fields(F.transform(F.array(b.struct()), lambda s: f(fields(s)).struct())[0])
-
-
 def values(x1: float, y1: float, x2: float, y2: float) -> Box:
     return Box(*(F.lit(v) for v in (x1, y1, x2, y2)))
 

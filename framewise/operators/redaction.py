@@ -22,13 +22,13 @@ def plan(frames: DataFrame, zones: DataFrame, p: Params = DEFAULTS, own_plate: t
     if forced is not None:
         rows = rows.unionByName(forced.select("video_id", "frame", F.lit("forced").alias("src"), *g.Box._fields))
     rows = rows.join(frames.select("video_id", "frame"), ["video_id", "frame"], "left_semi")
+    # Each step's edges come out of a generator, through which Catalyst pushes no filter and merges no projection:
+    # written into one expression, an edge would appear in itself hundreds of times.
     cut = lambda b: g.clamped_size(b, p.width, p.height, p.max_box_frac)
-    b = g.let(g.let(g.let(g.columns(), cut), cut), lambda b: g.padded(b, p.blur_padding, p.width, p.height))
-    rows = rows.select("video_id", "frame", "src", b.x1.alias("x1"), b.y1.alias("y1"), b.x2.alias("x2"), b.y2.alias("y2"))
-    b = g.columns()
-    out = rows.select("video_id", "frame", "src", *(c.alias(n) for n, c in zip(g.Box._fields, b, strict=True)))
+    for step in (cut, cut, lambda b: g.padded(b, p.blur_padding, p.width, p.height)):
+        rows = rows.select("video_id", "frame", "src", F.inline(F.array(step(g.columns()).struct())))
     own = g.columns()
-    out = out.filter((own.x2 > own.x1) & (own.y2 > own.y1))
+    out = rows.filter((own.x2 > own.x1) & (own.y2 > own.y1))
     kernel = g.blur_kernel(p.blur_strength, g.width(own), g.height(own)) if mode == "blur" else F.lit(None).cast("int")
     return out.withColumns({"mode": F.lit(mode), "kernel": kernel})
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import folds, scalars
 from ..functions import geometry as g
 from ..operators import associate, audit, bridge, filters, holds, metrics, quads, redaction, sampling, tracking
@@ -363,12 +364,28 @@ def replay_index(s: SparkSession, d: str) -> DataFrame:
 # Sequential operators: no plain SQL gives these
 
 
+class Tables:
+    """The derived tables, written once for a query that reads them several times, as real detections would be."""
+
+    def __init__(self, s: SparkSession, d: str):
+        self.frames = shared.written(_frames(s, d), "fx-frames")
+        self.vehicles = shared.written(_vehicles(s, d), "fx-vehicles")
+        self.plates = shared.written(_plates(s, d), "fx-plates")
+
+    def selected(self) -> DataFrame:
+        return tracking.selected(self.frames, self.plates, self.vehicles)
+
+    def zones(self) -> DataFrame:
+        """Tracking is sequential Python: its result is written, and bridged from there."""
+        return bridge.zones(shared.written(self.selected(), "selected"), self.vehicles)
+
+
 def moto_gate(s: SparkSession, d: str) -> DataFrame:
     return tracking.gate_states(_frames(s, d), _vehicles(s, d))
 
 
 def selected_dets(s: SparkSession, d: str) -> DataFrame:
-    return tracking.selected(_frames(s, d), _plates(s, d), _vehicles(s, d))
+    return Tables(s, d).selected()
 
 
 def tracklets(s: SparkSession, d: str) -> DataFrame:
@@ -377,7 +394,7 @@ def tracklets(s: SparkSession, d: str) -> DataFrame:
 
 
 def zones(s: SparkSession, d: str) -> DataFrame:
-    return bridge.zones(selected_dets(s, d), _vehicles(s, d))
+    return Tables(s, d).zones()
 
 
 def zone_stats(s: SparkSession, d: str) -> DataFrame:
@@ -385,7 +402,8 @@ def zone_stats(s: SparkSession, d: str) -> DataFrame:
 
 
 def stability_report(s: SparkSession, d: str) -> DataFrame:
-    return metrics.stability(_plates(s, d), zones(s, d), _frames(s, d))
+    own = Tables(s, d)
+    return metrics.stability(own.plates, shared.written(own.zones(), "zones"), own.frames)
 
 
 def held_vehicles(s: SparkSession, d: str) -> DataFrame:
