@@ -172,3 +172,13 @@ def overlay_counts(zones: DataFrame) -> DataFrame:
     is_crop, is_tiled = src.startswith("crop"), src == "sahi"
     tracks = F.slice(F.array_sort(F.collect_set("track_id")), 1, 6)
     return zones.groupBy("video_id", "frame").agg(F.count_if(is_crop).alias("crop"), F.count_if(is_tiled).alias("sahi"), F.count_if(src == "bridge").alias("bridge"), F.count_if(is_crop | is_tiled).alias("observed"), tracks.alias("tracks"))
+
+
+def batch_outcome(runs_: DataFrame) -> DataFrame:
+    """Of runs (name, ok): how many went well, how many didn't, and which."""
+    failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("name"))))
+    return runs_.agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), failed.alias("names"))
+
+
+def status_counts(reviews: DataFrame) -> DataFrame:
+    return reviews.groupBy("status").agg(F.count("*").alias("n"))

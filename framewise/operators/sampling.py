@@ -76,3 +76,26 @@ def review_order(labels: DataFrame, progress: DataFrame, edited: DataFrame) -> D
     return own.withColumn("rank", rank).orderBy("rank", "stem")
 
 
+
+
+def drawn(seed: int, what: str, *key: str, low: float = 0.0, high: float = 1.0):
+    """A number in [low, high) that depends on the row's key alone, not on the order of rows."""
+    part = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(what), *key), 11).cast("double") / float(1 << 53)
+    return part * (high - low) + low
+
+
+def augmentation_draws(images: DataFrame, seed: int = 42, lean: float = 0.0, geometric: float = 0.5, hsv: float = 0.5, motion: float = 0.3, max_lean: float = 30.0, max_rotate: float = 12.0, max_blur: int = 15) -> DataFrame:
+    """What to do to each picture copy (stem, copy): lean or an everyday turn, colour shifts, motion blur; null where not done."""
+    draw = lambda what, low=0.0, high=1.0: drawn(seed, what, "stem", "copy", low=low, high=high)
+    leans = draw("lean") < lean
+    turns = ~leans & (draw("geometric") < geometric)
+    size = (F.floor(draw("blur_size", 0, (max_blur - 7) // 2 + 1)) * 2 + 7).cast("int")
+    return images.withColumns(
+        {
+            "angle": F.when(leans, draw("angle", -max_lean, max_lean)).when(turns, draw("angle", -max_rotate, max_rotate)),
+            "saturation": F.when(draw("hsv") < hsv, F.floor(draw("saturation", -25, 26)).cast("int")),
+            "value": F.when(draw("hsv") < hsv, F.floor(draw("value", -30, 31)).cast("int")),
+            "blur_size": F.when(draw("motion") < motion, size),
+            "blur_angle": F.when(draw("motion") < motion, draw("blur_angle", -90, 90)),
+        }
+    )

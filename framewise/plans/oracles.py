@@ -291,6 +291,11 @@ def oracle_sql() -> dict[str, str]:
         "letterbox_roundtrip": q(f"""select c.video_id, c.frame, c.ord, {back('x1', 'w')} as x1, {back('y1', 'h')} as y1, {back('x2', 'w')} as x2, {back('y2', 'h')} as y2,
   ({at('x1')} + {at('x2')}) * 0.5 between pad_x and pad_x + crop_w * scale and ({at('y1')} + {at('y2')}) * 0.5 between pad_y and pad_y + crop_h * scale as on_content
   from crops c join fx_vehicles v using (video_id, frame, ord) where c.src = 'crop'""", crops_sql()),
+        # Slot plates lie within their crop, so that they come back as they are; crops exist where the slot's vehicle does.
+        "detected_plates": q(
+            f"select video_id, frame, {box}, conf, 'crop' as src, true as kept from dp join (" + fold_sql("{pord: pord, x1: x1, y1: y1, x2: x2, y2: y2}", f"-{size('')}, pord", f"{iou('k.', 'v.')} > 0.3", "dp where conf >= 0.15", "unnest(r).pord as pord") + f") using (video_id, frame, pord) union all select video_id, frame, {box}, conf, 'rejected', false from dp where conf < 0.15",
+            "dp as (select p.* from fx_plates p join fx_vehicles v on v.video_id = p.video_id and v.frame = p.frame and v.ord = p.pord where p.pord < 3)",
+        ),
         "yolo_labels": q(f"select video_id, frame, pord, {label} as value from fx_plates"),
         "yolo_roundtrip": q(f"""select video_id, frame, pord, cast(p[1] as int) as cls, cast(trunc((cast(p[2] as double) - cast(p[4] as double) / 2) * 1920) as int) as x1, cast(trunc((cast(p[3] as double) - cast(p[5] as double) / 2) * 1080) as int) as y1,
   cast(trunc((cast(p[2] as double) + cast(p[4] as double) / 2) * 1920) as int) as x2, cast(trunc((cast(p[3] as double) + cast(p[5] as double) / 2) * 1080) as int) as y2 from (select video_id, frame, pord, string_split({label}, ' ') as p from fx_plates)"""),

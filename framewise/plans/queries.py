@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import shared
 from ..functions import folds, scalars
 from ..functions import geometry as g
-from ..operators import associate, audit, bridge, filters, holds, metrics, quads, redaction, sampling, tracking
+from ..operators import associate, audit, bridge, detection, filters, holds, metrics, quads, redaction, sampling, tracking
 from ..schema import DEFAULTS, MOTO
 from ..sources import cache, fixtures, labels
 
@@ -109,6 +109,16 @@ def letterbox_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return own.join(v, [*KEY, "ord"]).select(*KEY, "ord", *(c.alias(n) for n, c in zip(BOX, back, strict=True)), on.alias("on_content"))
 
 
+def detected_plates(s: SparkSession, d: str) -> DataFrame:
+    """Plates put into their vehicle's crop, as a model would find them there, and brought back."""
+    crops = redaction.crop_layout(_vehicles(s, d))
+    inside = _plates(s, d).filter("pord < 3").select(*KEY, F.col("pord").alias("ord"), F.lit(1).alias("cord"), F.col("pord").alias("n"), *(F.col(c).alias(f"p{c}") for c in BOX), "conf")
+    own = inside.join(crops.select(*detection.CROP, "x1", "y1", "scale", "pad_x", "pad_y"), list(detection.CROP))
+    put = [((F.col(f"p{c}") - F.col(c[0] + "1")) * F.col("scale") + F.col(f"pad_{c[0]}")).alias(f"s{c}") for c in BOX]
+    found = own.select(*detection.CROP, "n", *put, "conf").select(*detection.CROP, "n", *(F.col(f"s{c}").alias(c) for c in BOX), "conf")
+    return detection.plates_of_crops(found, crops, _vehicles(s, d)).select(*KEY, *BOX, "conf", "src", "kept")
+
+
 def yolo_labels(s: SparkSession, d: str) -> DataFrame:
     own = _plates(s, d).select(*KEY, "pord", labels.label_line(F.lit(0), g.columns(), F.lit(float(P.width)), F.lit(float(P.height))).alias("value"))
     return own
@@ -423,7 +433,7 @@ def segments_of_videos(s: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = (
-    geometry_pairs, scalar_functions, crop_layout, letterbox_roundtrip, yolo_labels, yolo_roundtrip, warped_boxes,
+    geometry_pairs, scalar_functions, crop_layout, letterbox_roundtrip, detected_plates, yolo_labels, yolo_roundtrip, warped_boxes,
     moto_conf_view, trackable_plates, plate_confidence_split, plate_geometry_filter, clip_frames, plate_vehicle_assoc, owned_plates_by_source,
     plate_nms, vehicle_dedupe, held_nms, one_plate_per_vehicle, fixlist_merge, zone_coverage, observed_kept, replay_frames,
     detection_recall, plates_by_source, plate_size_medians, key_second_hits, miss_examples, gap_bridge_simple, track_jitter, jitter_summary,
