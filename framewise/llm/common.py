@@ -1,17 +1,21 @@
-"""Shared helpers: reading tables, the cluster's shared folder, written intermediates."""
+"""Shared helpers: reading tables, bounding Arrow batches and workers' memory."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import new_dir, shared_dir, written
 from ..shipping import ship
 
+__all__ = ["arrow_rows", "new_dir", "released", "shared_dir", "table", "text_or_empty", "tidy", "trim", "unused_prefix", "written"]
+
 #: Rows of text in one Arrow batch: bounds a Python worker's memory together with Spark's byte limit.
-ARROW_ROWS = 512
+ARROW_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,50 +29,46 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+def text_or_empty(name: str = "text") -> Column:
+    """Null texts count as empty."""
+    return F.coalesce(F.col(name), F.lit(""))
+
 
-    The session's `spark.checkpoint.dir`; where that is unset (tests on one
-    machine) a new temporary folder is set and used.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="framewise-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/") if "://" in found else "file://" + found.rstrip("/")
+def unused_prefix(df: DataFrame) -> str:
+    """A beginning that no column of `df` has, for helper columns."""
+    found = "_"
+    while any(c.lower().startswith(found) for c in df.columns):
+        found += "_"
+    return found
 
 
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def trim() -> None:
+    """Give this worker's free memory back to the system: workers live on from stage to stage."""
+    import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again.
 
-    It cuts the lineage: a lost executor costs at most the tasks after this
-    point, and what is used twice is computed once.
-    """
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def released(read: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A reader of Arrow batches that trims when it has ended."""
 
+    @wraps(read)
+    def run(batches: Iterator) -> Iterator:
+        yield from read(batches)
+        trim()
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Delete a folder that `new_dir` named."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return run
 
 
-def text_or_empty(name: str = "text") -> Column:
-    """Null texts count as empty."""
-    return F.coalesce(F.col(name), F.lit(""))
+def tidy(reduce: Callable) -> Callable:
+    """A function of a group that trims after each."""
 
+    def run(group):
+        out = reduce(group)
+        trim()
+        return out
 
-def unused_prefix(df: DataFrame) -> str:
-    """A beginning that no column of `df` has, for helper columns."""
-    found = "_"
-    while any(c.lower().startswith(found) for c in df.columns):
-        found += "_"
-    return found
+    return run

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, unused_prefix, written
+from .common import arrow_rows, released, tidy, unused_prefix, written
 
 BITS = 48
 #: Frequencies are coded by bit length; from this code on a shingle is frequent (64 classes or more).
@@ -59,7 +59,7 @@ PAIRED = 32
 BLOCK_ROWS, BLOCK_BYTES = 512, 4_000_000
 #: Values that so many sets hold are counted by matrix products.
 DENSE = 16
-WORDS_CAP = 300_000
+WORDS_CAP = 200_000
 
 _hashes: dict[bytes, int] = {}
 
@@ -136,7 +136,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             yield _batch(SETS, [ids + blank, n + blank, classes + blank, none + hot.tolist(), none + counts.tolist()])
 
     arrow_rows(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(read, SETS)
+    return docs.select("doc_id", "text").mapInArrow(released(read), SETS)
 
 
 def _batch(schema: str, columns: list) -> pa.RecordBatch:
@@ -157,7 +157,9 @@ def most_frequent(described: DataFrame, n_docs: int) -> np.ndarray:
 DEALT = "bucket int, classes binary, sizes binary, shingles binary, holders binary, hot binary, hot_holders binary"
 SHARED = "part int, classes binary, sizes binary, holders binary, shingles binary, codes binary"
 CLASSES = "class long, n long, shared long, shingles binary, codes binary"
+#: Entries of a chunk of documents, and of a bucket of shingle values: what a worker sorts at a time.
 CHUNK = 1_000_000
+BUCKET_ENTRIES = 1_000_000
 
 
 def deal(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -201,8 +203,8 @@ def deal(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFram
         if sets:
             yield _batch(DEALT, [*zip(*pack(sets), strict=True)])
 
-    arrow_rows(docs.sparkSession, 256)
-    return docs.select("text").mapInArrow(read, DEALT)
+    arrow_rows(docs.sparkSession)
+    return docs.select("text").mapInArrow(released(read), DEALT)
 
 
 def _holder_dtype(n: int):
@@ -259,7 +261,7 @@ def share(dealt: DataFrame, parts: int) -> DataFrame:
                 rows.append((p, present.tobytes(), sizes[some][first].tobytes(), at.astype(_holder_dtype(len(present))).tobytes(), _planes(values[some]), codes[some].tobytes()))
         return pa.Table.from_batches([_batch(SHARED, [*zip(*rows, strict=True)] or [[]] * 6)])
 
-    return dealt.groupBy("bucket").applyInArrow(reduce, SHARED)
+    return dealt.groupBy("bucket").applyInArrow(tidy(reduce), SHARED)
 
 
 def gather(shared: DataFrame, num: int, den: int) -> DataFrame:
@@ -288,7 +290,7 @@ def gather(shared: DataFrame, num: int, den: int) -> DataFrame:
         rows = [(int(names[starts[i]]), int(n[i]), int(ends[i] - starts[i]), values[starts[i] : ends[i]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes(), codes[starts[i] : ends[i]].tobytes()) for i in may]
         return pa.Table.from_batches([_batch(CLASSES, [*zip(*rows, strict=True)] or [[]] * 5)])
 
-    return shared.groupBy("part").applyInArrow(reduce, CLASSES)
+    return shared.groupBy("part").applyInArrow(tidy(reduce), CLASSES)
 
 
 def _values(raw: bytes) -> np.ndarray:
@@ -365,8 +367,8 @@ def index(classes: DataFrame, num: int, den: int) -> DataFrame:
             if entry:
                 yield _batch(ENTRIES, [np.concatenate(x) for x in (entry, name, size, missing)])
 
-    arrow_rows(classes.sparkSession, 512)
-    return classes.mapInArrow(read, ENTRIES)
+    arrow_rows(classes.sparkSession)
+    return classes.mapInArrow(released(read), ENTRIES)
 
 
 def _sizes_fit(a: str, b: str, num: int, den: int):
@@ -450,7 +452,7 @@ def verify_blocks(opened: DataFrame, classes: DataFrame, num: int, den: int) ->
         i, j = np.nonzero(np.triu(good, 1))
         return pa.table([pa.array(np.minimum(name[i], name[j]), pa.int64()), pa.array(np.maximum(name[i], name[j]), pa.int64())], ["a", "b"])
 
-    return own.select("cluster", "low", "high", "class", "n", "component", "block", "shingles").groupBy("cluster", "low", "high").applyInArrow(test, "a long, b long")
+    return own.select("cluster", "low", "high", "class", "n", "component", "block", "shingles").groupBy("cluster", "low", "high").applyInArrow(tidy(test), "a long, b long")
 
 
 def verify(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -468,8 +470,8 @@ def verify(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
                 good.append(den * common >= num * (a_n + b_n - common))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    arrow_rows(pairs.sparkSession, 256)
-    return both.select("a", "b", "a_n", "b_n", "a_s", "b_s").mapInArrow(test, "a long, b long")
+    arrow_rows(pairs.sparkSession)
+    return both.select("a", "b", "a_n", "b_n", "a_s", "b_s").mapInArrow(released(test), "a long, b long")
 
 
 # Components
@@ -501,7 +503,7 @@ def join(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> Data
     sets = described.filter("hot is null").select("doc_id", "n", "class")
     totals = sets.agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).first()
     hot = most_frequent(described, totals.docs)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (totals.shingles or 0) // 2_000_000 + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (totals.shingles or 0) // BUCKET_ENTRIES + 1)
     classes = written(gather(share(deal(docs, width, buckets, hot), buckets), num, den), "classes")
     entries = index(classes, num, den)
     tested = written(stars(entries, num, den), "pairs")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage
-from .common import arrow_rows, new_dir, written
+from .common import arrow_rows, new_dir, released, written
 from .elias_fano import SAMPLE, EliasFano
 from .tokens import tokenizer
 
@@ -135,7 +135,7 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, end_id: int = 1, rows_per
 
     arrow_rows(spark)
     dealt = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(dealt.mapInArrow(encode, MANIFEST), "token-manifest").orderBy("part").collect()
+    manifest = written(dealt.mapInArrow(released(encode), MANIFEST), "token-manifest").orderBy("part").collect()
     out, before = [], 0
     for row in manifest:
         out.append((row.uri, before))

@@ -40,7 +40,7 @@ class _Chunks(dict):
 class WordTokenizer:
     """Encodes texts to little-endian ids (2 bytes where the vocabulary allows, else 4)."""
 
-    def __init__(self, path: str, cache_chunks: int = 400_000):
+    def __init__(self, path: str, cache_chunks: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -134,7 +134,7 @@ class WordTokenizer:
 _loaded: dict[tuple, WordTokenizer] = {}
 
 
-def tokenizer(path: str, cache_chunks: int = 400_000) -> WordTokenizer:
+def tokenizer(path: str, cache_chunks: int = 300_000) -> WordTokenizer:
     """The worker's tokenizer for a file; workers are reused, and so is its cache."""
     key = path, cache_chunks
     if key not in _loaded:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, text_or_empty, written
+from .common import arrow_rows, released, text_or_empty, written
 
 SENTENCE = re.compile(rb"[^.!?\r\n]+")
 #: ASCII letters, digits and all other code points' bytes make words.
@@ -49,7 +49,7 @@ def features(word: bytes) -> list[bytes]:
 class _Values(dict):
     """Word -> summed weight of its features, worked out once a word; emptied when over `CAP` words."""
 
-    CAP = 400_000
+    CAP = 100_000
 
     def __init__(self, weights: dict[bytes, float]):
         super().__init__()
@@ -110,17 +110,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_word
 
     def count(batches):
         seen: Counter = Counter()
+
+        def flush():
+            keys = [*seen]
+            out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in keys], pa.binary()), pa.array([y for _, y in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["word", "y", "n"])
+            seen.clear()
+            return out
+
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 seen.update((f, y) for f in {f for w in {*text.lower().translate(WORD_BYTES).split()} for f in features(w)})
-        keys = [*seen]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in keys], pa.binary()), pa.array([y for _, y in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["word", "y", "n"])
+                if len(seen) > 100_000:
+                    yield flush()
+        yield flush()
 
     size = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sum(n for y, n in size.items() if y == 1), sum(n for y, n in size.items() if y != 1)
     if not n1 or not n0:
         return Model({}, MOST_BIAS)
-    words = sample.mapInArrow(count, "word binary, y int, n long").groupBy("word")
+    words = sample.mapInArrow(released(count), "word binary, y int, n long").groupBy("word")
     words = words.agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("b"))
     # Chi-square of word against label, one degree of freedom; kept beyond the 0.1 % point with at least threefold odds either way.
     n, a, b = float(n1 + n0), F.col("a").cast("double"), F.col("b").cast("double")
@@ -180,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "offending"])
 
     arrow_rows(docs.sparkSession)
-    found = docs.select("doc_id", "text").mapInArrow(read, "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>")
+    found = docs.select("doc_id", "text").mapInArrow(released(read), "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
@@ -195,4 +203,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             yield batch.filter(pa.array([model.document(t, False)[0] < threshold for t in texts], pa.bool_()))
 
     arrow_rows(docs.sparkSession)
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(released(keep), docs.schema)
