@@ -1,4 +1,4 @@
-"""Shared helpers: reading tables, bounding Arrow batches and workers' memory."""
+"""Shared helpers: reading tables, bounding Arrow batches and workers' memory, dropping rows by id."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..shared import new_dir, shared_dir, written
 from ..shipping import ship
 
-__all__ = ["arrow_rows", "new_dir", "released", "shared_dir", "table", "text_or_empty", "tidy", "trim", "unused_prefix", "written"]
+__all__ = ["arrow_rows", "drop_ids", "new_dir", "released", "shared_dir", "table", "text_or_empty", "tidy", "trim", "unused_prefix", "written"]
 
 #: Rows of text in one Arrow batch: bounds a Python worker's memory together with Spark's byte limit.
 ARROW_ROWS = 256
@@ -72,3 +72,18 @@ def tidy(reduce: Callable) -> Callable:
         return out
 
     return run
+
+
+#: Ids that are broadcast at most: 8 bytes each, with their hash table under 64 MB.
+BROADCAST_IDS = 2_000_000
+
+
+def drop_ids(docs: DataFrame, lost: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows whose doc_id isn't among the ids of a written one-column table.
+
+    Up to `most` ids are counted and broadcast, so texts stay where they are
+    read; more are joined by a shuffle.
+    """
+    name = lost.columns[0]
+    side = F.broadcast(lost) if lost.count() <= most else lost
+    return docs.join(side, F.col("doc_id") == F.col(name), "left_anti")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, text_or_empty, unused_prefix, written
+from .common import arrow_rows, drop_ids, text_or_empty, unused_prefix, written
 
 DIGEST = "_dedup_digest"
 
@@ -91,8 +91,7 @@ def drop_copies(docs: DataFrame, normalise: Callable[[Column], Column] | None =
     """The documents without the rows that lose against an equal text.
 
     Where doc_ids tell rows apart, what must go is a table of ids, and the texts
-    stay where they are read unless that table is over the session's broadcast
-    limit. Otherwise rows go by id and digest, and equal rows are numbered.
+    stay where they are read unless there are too many to broadcast. Otherwise rows go by id and digest, and equal rows are numbered.
     """
     pre = unused_prefix(docs)
     lost_id, lost_digest, own_digest, number = (pre + c for c in ("lost_id", "lost_digest", "digest", "number"))
@@ -100,7 +99,7 @@ def drop_copies(docs: DataFrame, normalise: Callable[[Column], Column] | None =
     found = written(found.select("doc_id", DIGEST, F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")), "dedup-kept")
     lost = found.filter(~F.col("kept")).select(F.col("doc_id").alias(lost_id), F.col(DIGEST).alias(lost_digest))
     if found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
-        return docs.join(lost.select(lost_id), F.col("doc_id") == F.col(lost_id), "left_anti")
+        return drop_ids(docs, lost.select(lost_id))
     text = text_or_empty()
     text = normalise(text) if normalise else text
     own = docs.withColumn(own_digest, F.unhex(F.sha2(text.cast("binary"), 256)))

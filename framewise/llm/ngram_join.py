@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, released, tidy, unused_prefix, written
+from .common import arrow_rows, drop_ids, released, tidy, unused_prefix, written
 
 BITS = 48
 #: Frequencies are coded by bit length; from this code on a shingle is frequent (64 classes or more).
@@ -527,4 +527,4 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
     found = written(join(docs, width, num, den), "components")
     gone = unused_prefix(docs) + "gone"
     lost = found.groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select(F.col("doc_id").alias(gone))
-    return docs.join(lost, F.col("doc_id") == F.col(gone), "left_anti")
+    return drop_ids(docs, written(lost, "lost"))
