@@ -81,6 +81,21 @@ def queries() -> dict[str, Query]:
     }
 
 
+OP2_SQL = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) end as sh from w),
+n as (select doc_id, cast(len(sh) as bigint) as n from s),
+u as (select doc_id, unnest(sh) as g from s),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k from u a join u b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as reached from n union select r.doc_id, e.b from r join e on e.a = r.reached)
+select doc_id, n.n as n_shingles, min(reached) as component_id from r join n using (doc_id) group by all
+"""
+
 OP3_SQL = """
 with d as (select doc_id, sha256(coalesce(text, '')) as h from documents),
 g as (select h, max(doc_id) as keep_id, count(*) as group_size from d group by h)
@@ -125,4 +140,4 @@ from d left join g using (k)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_topk_search": OP7_SQL, "op8_warc": OP8_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_topk_search": OP7_SQL, "op8_warc": OP8_SQL}
