@@ -3,7 +3,9 @@
 Source i holds a share p_i of all tokens; its weight is p_i^a / sum(p_j^a). The
 exponent a in [0, 1] is bisected until the weights meet a target entropy, or are
 as even as a limit on repetition allows. A token budget times a weight is a
-source's target: whole passes over the source, and a part of one more.
+source's target: whole passes over the source, and a part of one more. The
+exponent needs all shares at once: they are one row's array, a few dozen bytes a
+source, never a document.
 
 Every pass over a source is a permutation of its documents by a hash. The part
 pass takes documents in that order while the target holds, found without sorting

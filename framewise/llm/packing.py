@@ -144,6 +144,7 @@ def pack(found: DataFrame, capacity: int, spread: int = 64) -> DataFrame:
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inner = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
+    # At most capacity * spread rows, whatever the corpus.
     ranked = dealt.withColumn("_rank", F.row_number().over(inner) - 1).join(F.broadcast(counts), ["length", "_part"])
     ranked = ranked.select(*found.columns, (F.col("_rank") + F.col("_before")).alias("_rank"))
     shared = spark.sparkContext.broadcast(slots)
