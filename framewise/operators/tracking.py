@@ -253,6 +253,8 @@ def selected(frames: DataFrame, plates: DataFrame, vehicles: DataFrame, p: Param
     motos = associate.per_frame(seen.filter(F.col("cls") == MOTO), "motos", "ord", *g.Box._fields)
     dets = associate.per_frame(candidates(plates, seen, p), "dets", *CANDIDATE)
     rows = cut.join(motos, ["video_id", "frame"], "left").join(dets, ["video_id", "frame"], "left")
+    # A given number of partitions: the work lies in Python, and few bytes mustn't make few tasks of it.
+    rows = rows.repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "segment")
     schema = "video_id long, segment long, frame int, dord int, x1 int, y1 int, x2 int, y2 int, conf double, src string, vx1 int, vy1 int, vx2 int, vy2 int, vcls int, track int"
     names = [f.split()[0] for f in schema.split(", ")]
 
