@@ -2,9 +2,12 @@
 
 A sentence's probability is a logistic function of the words in it and of their
 beginnings (3 to 7 characters, so that new compounds of a known stem count); a
-document's is the noisy-or of its sentences', 1 - prod(1 - p). The weights are fitted so
-that the noisy-or agrees with the labels of documents, so the sentences that
-carry a toxic document's score are located without sentence labels.
+document's is the noisy-or, 1 - prod(1 - p), of one small constant and of its
+sentences whose known words speak for toxicity. Other sentences add nothing,
+however many there are. The weights are fitted so that the noisy-or agrees with
+the labels of documents, so the sentences that carry a toxic document's score are
+located without sentence labels. Fitting takes all sentences with known words,
+as a word's weight may still turn to either side.
 
 Fitting uses at most `sample_rows` labelled rows with different texts, the first
 by a hash of doc_id (documented bound); scoring covers every whole text. Only
@@ -36,7 +39,7 @@ RESULT = "doc_id long, held_out boolean, score double, predicted int, offending
 
 
 PREFIXES = range(3, 8)
-#: A sentence without known words is worth this at most, so that length alone never makes a document toxic.
+#: A document without known words is worth this at most, once whatever its length, so that length alone never makes a document toxic.
 MOST_BIAS = -10.0
 
 
@@ -65,7 +68,7 @@ class _Values(dict):
 
 
 class Model:
-    """Feature weights and the value of a sentence without known words."""
+    """Feature weights and the value of a document without known words."""
 
     def __init__(self, weights: dict[bytes, float], bias: float):
         self.weights, self.bias = weights, bias
@@ -76,16 +79,15 @@ class Model:
 
     def document(self, text: bytes | None, locate: bool = True) -> tuple[float, list[tuple[int, int, float]]]:
         """The noisy-or of a UTF-8 text, and byte spans of sentences with a probability of 1/2 or more."""
-        plain = float(np.log1p(np.exp(self.bias)))  # -log(1 - p) of a sentence without known words
+        plain = float(np.log1p(np.exp(self.bias)))  # -log(1 - p) of a document without known words
         low = (text or b"").lower()
         value = self.values.__getitem__
         if not any(map(value, low.translate(WORD_BYTES).split())):
-            return float(-np.expm1(-max(1, len(SENTENCE.findall(low))) * plain)), []
-        total, spans = 0.0, []
+            return float(-np.expm1(-plain)), []
+        total, spans = plain, []
         for m in SENTENCE.finditer(low):
             known = sum(map(value, m[0].translate(WORD_BYTES).split()))
-            if not known:
-                total += plain
+            if known <= 0:
                 continue
             z = self.bias + known
             total += max(z, 0.0) + log1p(exp(-abs(z)))
@@ -142,19 +144,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_word
 
     def known(batches):
         for batch in batches:
-            ys, rows, plain = [], [], []
+            ys, rows = [], []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                found = [[at[f] for w in s.translate(WORD_BYTES).split() for f in features(w) if f in at] for s in SENTENCE.findall(text.lower())] or [[]]
+                found = [[at[f] for w in s.translate(WORD_BYTES).split() for f in features(w) if f in at] for s in SENTENCE.findall(text.lower())]
                 ys.append(int(y == 1))
                 rows.append([s for s in found if s])
-                plain.append(sum(not s for s in found))
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(rows, pa.list_(pa.list_(pa.int32()))), pa.array(plain, pa.int64())], ["y", "known", "plain"])
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(rows, pa.list_(pa.list_(pa.int32())))], ["y", "known"])
 
-    rows = sample.mapInArrow(known, "y int, known array<array<int>>, plain long").collect()
-    return _fit(np.array([r.y for r in rows]), [r.known for r in rows], np.array([r.plain for r in rows], float), vocabulary, rounds)
+    rows = sample.mapInArrow(known, "y int, known array<array<int>>").collect()
+    return _fit(np.array([r.y for r in rows]), [r.known for r in rows], vocabulary, rounds)
 
 
-def _fit(y: np.ndarray, known: list, plain: np.ndarray, vocabulary: list[bytes], rounds: int, ridge: float = 1e-5) -> Model:
+def _fit(y: np.ndarray, known: list, vocabulary: list[bytes], rounds: int, ridge: float = 1e-5) -> Model:
     """Full-batch Adam on the noisy-or's log loss, with a ridge on the weights."""
     sentences = [s for doc in known for s in doc]
     doc_of = np.repeat(np.arange(len(known)), [len(doc) for doc in known])
@@ -166,11 +167,11 @@ def _fit(y: np.ndarray, known: list, plain: np.ndarray, vocabulary: list[bytes],
     for t in range(1, rounds + 1):
         z = x[-1] + np.bincount(sentence_of, x[word], len(sentences))
         p, p0 = 1 / (1 + np.exp(-np.clip(z, -50, 50))), 1 / (1 + np.exp(-x[-1]))
-        rest = np.bincount(doc_of, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, x[-1])
+        rest = np.bincount(doc_of, np.logaddexp(0, z), len(y)) + np.logaddexp(0, x[-1])
         # Loss by `rest` = -log(1 - score): 1 for clean documents, -1 / (e^rest - 1) for toxic ones.
         by_rest = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(rest, 50)), 1e-9), 1.0) / len(y)
         by_z = by_rest[doc_of] * p
-        g = np.append(np.bincount(word, by_z[sentence_of], len(vocabulary)) + ridge * x[:-1], by_z.sum() + (by_rest * plain).sum() * p0)
+        g = np.append(np.bincount(word, by_z[sentence_of], len(vocabulary)) + ridge * x[:-1], by_z.sum() + by_rest.sum() * p0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
         x[-1] = min(x[-1], MOST_BIAS)

@@ -185,6 +185,18 @@ def test_toxicity_on_odd_input(spark, edge, nothing):
         assert toxicity.reject(df, model).schema == df.schema
 
 
+def test_length_alone_is_never_toxic(spark, nothing):
+    docs, labels = labelled(spark)
+    clean, toxic = "river stone cloud. " * 100_000, "river stone. " * 100_000 + "zorka you"
+    long = spark.createDataFrame([(1, clean), (2, toxic)], "doc_id long, text string")
+    fitted, none = toxicity.fit(docs, labels), toxicity.fit(nothing, labels)
+    assert [r.doc_id for r in toxicity.reject(long, fitted).collect()] == [1]
+    assert none.weights == {} and toxicity.reject(long, none).count() == 2
+    assert {none.document(t)[0] for t in (None, b"", b"x", clean.encode())} == {none.document(b"some words")[0]}
+    # Nor do sentences whose known words speak against toxicity.
+    assert toxicity.Model({b"river": -0.5, b"zork": 30.0}, -10.0).document(clean.encode())[0] < 0.01
+
+
 def test_held_out_labels_are_not_learnt(spark):
     docs, labels = labelled(spark)
     turned = [(d, 1 - y if zlib.crc32(str(d).encode()) % 5 == 0 else y) for d, y in labels.collect()]
