@@ -2,8 +2,8 @@
 
 A text is lower-cased (A-Z) and cut into words of letters, digits and non-ASCII
 bytes; the automaton holds whole-word phrases and finds all places at once. The
-tag `spdx license identifier` is one of them: what follows it on its line is
-parsed as a licence expression (and / or / with, parentheses; `with` binds
+tag `spdx license identifier` is one of them: what follows it on its line, up to
+the next tag, is parsed whole as a licence expression (and / or / with, parentheses; `with` binds
 strongest, `or` least) and evaluated against a set of permitted licences.
 
 Result for nulls and odd input: null or empty text has no words and no labels
@@ -158,7 +158,8 @@ def automaton():
 
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-TAGGED = re.compile(rb"spdx[-\s]license[-\s]identifier\s*:\s*([^\r\n]{1,500})")
+#: A tag, and the rest of its line up to the next tag.
+TAGGED = re.compile(rb"spdx[-\s]license[-\s]identifier\s*:\s*((?:(?!spdx[-\s]license[-\s]identifier\s*:)[^\r\n])+)")
 
 
 def scan(text: bytes | None) -> Scan:

@@ -56,6 +56,18 @@ def test_tags_give_labels_and_a_verdict():
     assert licenses.scan(b"SPDX-License-Identifier: MIT or").permitted is None
 
 
+def test_long_expressions_are_taken_whole():
+    long = "MIT" + " AND MIT" * 1000 + " AND GPL-3.0"
+    found = licenses.scan(f"# SPDX-License-Identifier: {long}\nother".encode())
+    assert found.expressions == [long.lower()] and found.labels == {"mit", "gpl"} and found.permitted is False
+    nested = "(" * 800 + "MIT" + ")" * 800
+    assert licenses.scan(f"SPDX-License-Identifier: {nested} OR ISC".encode()).permitted is True
+    # Later tags of one long line are tags of their own.
+    line = f"SPDX-License-Identifier: {'MIT OR ' * 200}MIT SPDX-License-Identifier: GPL-2.0"
+    found = licenses.scan(line.encode())
+    assert len(found.expressions) == 2 and found.labels == {"mit", "gpl"} and found.permitted is False
+
+
 def components(texts, width, num, den):
     """Brute force over all pairs that share a shingle."""
     sets = []
