@@ -16,6 +16,10 @@ with equal sets form a class, and classes are joined:
    In entries whose classes aren't yet in one component, all pairs across
    components that are left are tested: as rows in small entries, in blocks of
    classes and matrices of intersection sizes for large ones.
+4. `join` needs no more than that for components. Links lie within components,
+   so `join_links` and `class_links` then test all pairs of classes of each
+   component whose sizes fit, in blocks by size: each pair lies in one matrix,
+   which gives its links, or for `join_links` only their number per class.
 
 Why the prefix is enough: let a class of n shingles need n - t in common with a
 partner, and let the prefix hold u unshared shingles and c_g of group g. If it
@@ -42,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, drop_ids, released, tidy, unused_prefix, written
@@ -496,8 +500,80 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; documents link from similarity num / den on."""
+# All links
+
+
+def cells(component: DataFrame, classes: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
+    """Classes of each component in cells, one for each pair of classes whose sizes fit.
+
+    A component is cut by size into blocks, and each pair of blocks whose sizes
+    fit is a cell; components of one block share cells (low = -1).
+    """
+    spark = component.sparkSession
+    sizes = classes.select("class", "n", F.octet_length("shingles").alias("bytes"))
+    space = F.greatest(F.lit(1 / BLOCK_ROWS), F.col("bytes") / F.lit(float(BLOCK_BYTES)))
+    before = Window.partitionBy("component").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, -1)
+    placed = component.join(sizes, "class").withColumn("block", F.floor(F.coalesce(F.sum(space).over(before), F.lit(0.0)) + 1e-9).cast("int"))
+    placed = written(placed.join(copies, "class"), "blocks")
+    blocks = placed.groupBy("component", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    several = placed.groupBy("component").agg(F.max("block").alias("last")).filter("last > 0").select("component")
+    blocks = written(blocks.join(several, "component"), "block-sizes")
+    other = blocks.select("component", F.col("block").alias("high"), F.col("least").alias("o_least"))
+    pairs = blocks.withColumnRenamed("block", "low").join(other, "component").filter("low <= high").filter(F.col("most") * den >= F.col("o_least") * num)
+    member = pairs.select("component", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"), "low", "high")
+    total = placed.agg(F.sum("bytes")).first()[0] or 0
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BLOCK_BYTES + 1)
+    small = placed.join(several, "component", "left_anti").withColumns({"owner": F.pmod(F.xxhash64("component"), F.lit(number)), "low": F.lit(-1), "high": F.lit(-1)})
+    large = placed.join(member, ["component", "block"]).withColumn("owner", F.col("component"))
+    columns = ["owner", "low", "high", "component", "block", "class", "n", "copies"]
+    return small.select(columns).unionByName(large.select(columns)).join(classes.select("class", "shingles"), "class")
+
+
+def _links_within(group: pa.Table, num: int, den: int):
+    """For each component of a cell: its classes, their copies, and the upper triangle of links that the cell is for."""
+    name, n, copies, part, block = (group.column(c).to_numpy() for c in ("class", "n", "copies", "component", "block"))
+    sets = group.column("shingles")
+    across = group.column("low")[0].as_py() != group.column("high")[0].as_py()
+    order = np.argsort(part, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        size = n[some]
+        common = common_counts([_values(sets[int(i)].as_py()) for i in some]).astype(np.int64)
+        good = np.triu(den * common >= num * (size[:, None] + size[None, :] - common), 1)
+        if across:
+            good &= block[some][:, None] != block[some][None, :]
+        yield name[some], copies[some], good
+
+
+def count_links(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """class and links: how many documents of other classes it is linked with; pairs are never rows."""
+
+    def test(group: pa.Table) -> pa.Table:
+        names, links = [], []
+        for name, copies, good in _links_within(group, num, den):
+            names.append(name)
+            links.append(good @ copies + good.T @ copies)
+        return pa.table([pa.array(np.concatenate(names), pa.int64()), pa.array(np.concatenate(links), pa.int64())], ["class", "links"])
+
+    found = dealt.groupBy("owner", "low", "high").applyInArrow(tidy(test), "class long, links long")
+    return found.groupBy("class").agg(F.sum("links").alias("links"))
+
+
+def link_pairs(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """a < b: each link between classes once."""
+
+    def test(group: pa.Table) -> pa.Table:
+        a, b = [], []
+        for name, _, good in _links_within(group, num, den):
+            i, j = np.nonzero(good)
+            a.append(np.minimum(name[i], name[j]))
+            b.append(np.maximum(name[i], name[j]))
+        return pa.table([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+
+    return dealt.groupBy("owner", "low", "high").applyInArrow(tidy(test), "a long, b long")
+
+
+def _joined(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, n, class), classes that may have a partner, and the component of linked classes."""
     spark = docs.sparkSession
     described = written(describe(docs, width), "sets")
     sets = described.filter("hot is null").select("doc_id", "n", "class")
@@ -514,9 +590,38 @@ def join(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> Data
     more = written(more.distinct(), "links")
     if not more.isEmpty():
         component = components(links.union(more))
-    own = sets.join(component, "class", "left").select("doc_id", "n", F.coalesce("component", "class").alias("_c"))
+    return sets, classes, component
+
+
+def _named(sets: DataFrame, component: DataFrame) -> DataFrame:
+    own = sets.join(component, "class", "left").withColumn("_c", F.coalesce("component", "class"))
     named = own.filter("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
-    return own.join(named, "_c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return own.join(named, "_c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+
+
+def _copies(sets: DataFrame) -> DataFrame:
+    return sets.filter("class is not null").groupBy("class").agg(F.count("*").alias("copies"))
+
+
+def join(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; documents link from similarity num / den on."""
+    sets, _, component = _joined(docs, width, num, den)
+    return _named(sets, component).drop("class")
+
+
+def join_links(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """The same with n_links: how many other rows a document is linked with, those of equal sets among them."""
+    sets, classes, component = _joined(docs, width, num, den)
+    copies = written(_copies(sets), "copies")
+    links = written(count_links(cells(component, classes, copies, num, den), num, den), "link-counts")
+    counted = copies.join(links, "class", "left").select("class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return _named(sets, component).join(counted, "class", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def class_links(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, class), and all links a < b between classes; documents of one class are linked too, those without a class with nothing."""
+    sets, classes, component = _joined(docs, width, num, den)
+    return sets.select("doc_id", "class"), link_pairs(cells(component, classes, _copies(sets), num, den), num, den)
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -28,6 +28,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join with each document's number of links, which the SQL of `op2_ngram_jaccard` has no column for."""
+    return ngram_join.join_links(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op2_ngram_links": op2_ngram_links,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_toxicity": op5_toxicity,

@@ -125,6 +125,46 @@ def test_large_groups_are_joined_whole(spark, monkeypatch):
     assert rows(ngram_join.join(df), "doc_id", "component_id") == want
 
 
+def links_by_hand(texts, width, num, den):
+    sets, _ = components(texts, width, num, den)
+    return {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a and b and den * len(a & b) >= num * len(a | b)}
+
+
+def counted_links(pairs, n):
+    found = Counter(x for pair in pairs for x in pair)
+    return [(i, found[i]) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_all_links_are_counted(spark, monkeypatch, block):
+    """Also those within components, between blocks and of repeated texts."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    chain = [" ".join(f"c{i}" for i in range(k, k + 60 + k // 4)) for k in range(0, 60, 2)]
+    texts = near_copies(1, 60, 120, 5) + near_copies(2, 40, 40, 2) * 2 + chain + near_copies(4, 3, 100, 1) + [None, "", "one", "ONE"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    want = links_by_hand(texts, 4, 85, 100)
+    _, group = components(texts, 4, 85, 100)
+    found = ngram_join.join_links(df)
+    assert rows(found, "doc_id", "n_links") == counted_links(want, len(texts))
+    assert rows(found, "doc_id", "component_id") == [*enumerate(group)]
+    docs, links = ngram_join.class_links(df)
+    members = {}
+    for d, c in docs.filter("class is not null").collect():
+        members.setdefault(c, []).append(d)
+    pairs = [(min(x, y), max(x, y)) for a, b in links.collect() for x in members[a] for y in members[b]]
+    pairs += [(x, y) for m in members.values() for x in m for y in m if x < y]
+    assert sorted(pairs) == sorted(want)
+
+
+def test_links_of_documents_and_odd_input(documents, edge, nothing):
+    texts = sorted((r.doc_id, r.text) for r in documents.select("doc_id", "text").collect())
+    want = counted_links(links_by_hand([t for _, t in texts], 4, 85, 100), len(texts))
+    assert rows(ngram_join.join_links(documents), "doc_id", "n_links") == [(texts[i][0], n) for i, n in want]
+    found = {(r.doc_id, r.n_shingles): r.n_links for r in ngram_join.join_links(edge).collect()}
+    assert found[(1, 20)] == found[(8, 20)] == 3 and found[(5, 1)] == found[(6, 1)] == 1 and found[(None, 0)] == found[(2, 0)] == 0
+    assert ngram_join.join_links(nothing).count() == 0 and ngram_join.class_links(nothing)[1].count() == 0
+
+
 def test_join_on_odd_input(edge, nothing):
     found = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.join(edge).collect()}
     assert found[(8, 20)] == found[(1, 20)] == 1 and found[(6, 1)] == 5 and found[(2, 0)] == 2 and found[(None, 0)] is None
