@@ -2,7 +2,8 @@
 
 For integer vectors, q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2, and any pivot p
 gives d(q, x) >= |d(q, p) - d(x, p)|. The largest of these lower bounds over all
-pivots bounds the score from above without touching x. Candidates are evaluated
+pivots bounds the score from above without touching x. Distances are 64-bit, as a
+far pivot's error counts against vectors much smaller than its distance. Candidates are evaluated
 in the order of that bound; as soon as the bound falls below the k-th score
 found so far, the rest cannot enter and the search of the block stops.
 
@@ -60,6 +61,11 @@ def spread_out(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[chosen]
 
 
+def distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Euclidean distances of each row to each pivot."""
+    return np.sqrt(np.maximum((v**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * exact_products(v, pivots), 0))
+
+
 def packed(rows: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
     """Blocks of at most `size` vectors with their distances to the pivots."""
     width = pivots.shape[1]
@@ -74,7 +80,7 @@ def packed(rows: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
                 for i, x in enumerate(lists[at : at + size]):
                     x = x.values.to_numpy(zero_copy_only=False)
                     v[i, : len(x)] = x
-                far = np.sqrt(np.maximum((v**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * exact_products(v, pivots), 0)).astype(np.float32)
+                far = distances(v, pivots)
                 yield pa.RecordBatch.from_pydict({"block": [(task << 24) + number], "ids": [ids.tobytes()], "vectors": [v.tobytes()], "distances": [far.tobytes()]})
                 number += 1
 
@@ -105,11 +111,11 @@ def search_block(best: Best, q_ids, q, q_far, ids, x, far, step: int = 256) -> i
     x_sq, q_sq = (x**2).sum(1).astype(np.float64), (q**2).sum(1).astype(np.float64)
     for at in range(0, len(q), 64):
         some = slice(at, min(at + 64, len(q)))
-        low = np.zeros((some.stop - at, len(x)), np.float32)
+        low = np.zeros((some.stop - at, len(x)))
         for p in range(far.shape[1]):
             np.maximum(low, np.abs(q_far[some, p, None] - far[None, :, p]), out=low)
         total = q_sq[some, None] + x_sq[None, :]
-        bound = np.floor((total - low.astype(np.float64) ** 2) / 2 + 1e-5 * total + 1e-3)
+        bound = np.floor((total - low**2) / 2 + 1e-5 * total + 1e-3)
         for j in range(some.stop - at):
             i = at + j
             left = np.flatnonzero(bound[j] >= best.kth(i))
@@ -151,7 +157,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pivo
 
     def unpack(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.frombuffer(r.ids, np.int64)
-        return ids, np.frombuffer(r.vectors, np.int64).reshape(len(ids), width), np.frombuffer(r.distances, np.float32).reshape(len(ids), -1)
+        return ids, np.frombuffer(r.vectors, np.int64).reshape(len(ids), width), np.frombuffer(r.distances, np.float64).reshape(len(ids), -1)
 
     def meet(blocks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -188,6 +188,21 @@ def test_pivots_stop_the_search_early():
     assert topk.search_block(best, np.arange(50), x[:50], far[:50], np.arange(4000), x, far) < 50 * 4000 / 2
 
 
+def test_far_pivots_skip_nothing(spark):
+    """Vectors along the direction of a pivot a million times as far, where the bound is tight."""
+    r = np.random.default_rng(5)
+    x = r.integers(-64, 65, (600, 1)) + r.integers(-1, 2, (600, 64))
+    x[0] = 64_000_000
+    df = spark.createDataFrame([(i, [float(c) / 64 for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk.search(df, F.col("vec_id") % 7 == 1, 20, pivots=3, block=600)
+    want = []
+    for q in range(1, 600, 7):
+        scores = x @ x[q]
+        near = sorted((i for i in range(600) if i != q), key=lambda i: (-scores[i], i))[:20]
+        want += [(q, k + 1, i, int(scores[i])) for k, i in enumerate(near)]
+    assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(want)
+
+
 def mix_by_hand(counted, weights, seed, keys):
     """Passes of each (source, doc_id) by sorting every source's documents."""
     out = Counter()
