@@ -5,7 +5,8 @@ with equal sets form a class, and classes are joined:
 
 1. Shingles are dealt by value in packed blocks. Those that one class alone
    holds can't be in an intersection: they only count. The others return to
-   their classes with their document frequency.
+   their classes with their document frequency. Very frequent ones are found
+   before by Misra-Gries summaries and stay where they are, so none is gathered.
 2. A class that misses more shingles than its size allows has no partner. Of the
    rest, the shared shingles in ascending frequency form a prefix, extended until
    a partner must share either a rare one (index: the shingle), or k shingles of
@@ -13,13 +14,14 @@ with equal sets form a class, and classes are joined:
    most frequent). Groups are cut by hash so that combinations stay few.
 3. Index entries link each class to one leader per entry; linked pairs are
    verified on their shared shingles, which give the exact intersection.
-   In entries whose classes aren't yet in one component, all pairs across
-   components that are left are tested: as rows in small entries, in blocks of
-   classes and matrices of intersection sizes for large ones.
+   Entries whose classes don't yet lie in one component stay open. Classes of
+   open entries are clustered, and each cluster is tested in cells: matrices of
+   intersection sizes of two blocks of classes whose sizes fit. A cell gives a
+   spanning forest of the components it joins, never its pairs.
 4. `join` needs no more than that for components. Links lie within components,
-   so `join_links` and `class_links` then test all pairs of classes of each
-   component whose sizes fit, in blocks by size: each pair lies in one matrix,
-   which gives its links, or for `join_links` only their number per class.
+   so `join_links` and `class_links` then test each component in such cells:
+   each pair lies in one matrix, which gives its links, or for `join_links` only
+   their number per class.
 
 Why the prefix is enough: let a class of n shingles need n - t in common with a
 partner, and let the prefix hold u unshared shingles and c_g of group g. If it
@@ -27,26 +29,33 @@ shared fewer than k_g of each group g, at least u + sum(max(0, c_g - k_g + 1))
 of the prefix would be missing; the prefix runs until that exceeds t. With one
 order for all, what the prefix that ends first shares lies in both prefixes.
 
-Hashes are 64-bit per word and set, 48-bit per shingle when shingles of two
-documents are compared: for two sets of 600 the chance of a false common one is
-1e-9.
+Hashes are 64-bit per word, 128-bit per set, 48-bit per shingle when shingles of
+two documents are compared: for two sets of 600 the chance of a false common one
+is 1e-9.
+
+Sizes: a task holds a chunk or a bucket of about a million shingles, or a cell of
+at most two blocks. What is dealt is at most a row per shingle, and with many
+buckets goes in two steps, so that rows stay long. A bucket grows beyond that only
+by a shingle which the summaries miss: one of less than about 1 % of all
+documents. A cluster of m classes of like size costs (m / 512)^2 cells.
 
 Nulls and odd input: a null or empty text, or one of white space, has an empty
-set and is linked with nothing; fewer words than n are one shingle; a null
-doc_id takes part but never names a component, unless alone; rows that share a
-doc_id are separate; an empty table gives no rows; other columns are ignored, or
-kept by `keep_one`.
+set and is linked with nothing; fewer words than n are one shingle; very long
+texts are sets like others, whole; a null doc_id takes part but never names a
+component, unless alone; rows that share a doc_id are separate; an empty table
+gives no rows; other columns are ignored, or kept by `keep_one`.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, drop_ids, released, tidy, unused_prefix, written
@@ -58,8 +67,7 @@ FREQUENT = 7
 HOT = 63
 #: Below this band (32 shingles) single shingles are indexed throughout.
 SMALL_BAND = 5
-#: Entries of more classes than this are tested in blocks.
-PAIRED = 32
+#: A block of classes: what one side of a cell holds.
 BLOCK_ROWS, BLOCK_BYTES = 512, 4_000_000
 #: Values that so many sets hold are counted by matrix products.
 DENSE = 16
@@ -97,9 +105,9 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def set_digest(values: np.ndarray) -> int:
-    """Signed 64-bit digest of a set; never that of another size's set by construction of the input."""
-    return int(np.array(xxhash.xxh3_64_intdigest(values.tobytes()), np.uint64).astype(np.int64))
+def set_digest(values: np.ndarray) -> bytes:
+    """128-bit digest of a set."""
+    return xxhash.xxh3_128_digest(values.tobytes())
 
 
 def allowed(n, num: int, den: int):
@@ -118,37 +126,76 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+
+
 # Classes and the most frequent shingles
 
-SETS = "doc_id long, n long, class long, hot long, n_docs long"
+SETS = "doc_id long, n long, class binary, hot long, n_docs long"
+#: Shingles that a worker gathers before it sorts them, and those of a bucket of shingle values.
+CHUNK = 1_000_000
+BUCKET_ENTRIES = 1_000_000
+
+
+class Summary:
+    """Misra-Gries counts of shingles: each too low by at most (shingles added) / `counters`."""
+
+    def __init__(self, counters: int = 1 << 17):
+        self.counters = counters
+        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.new: list[np.ndarray] = []
+        self.pending = 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.new.append(values)
+        self.pending += len(values)
+        if self.pending >= CHUNK:
+            self.merge()
+
+    def merge(self) -> None:
+        """Count what was added; beyond `counters` values, all counts fall by the largest that has no room."""
+        if not self.new:
+            return
+        values, counts = np.unique(np.concatenate(self.new), return_counts=True)
+        self.new, self.pending = [], 0
+        known = np.searchsorted(self.values, values)
+        known[known == len(self.values)] = 0
+        same = self.values[known] == values if len(self.values) else np.zeros(len(values), bool)
+        self.counts[known[same]] += counts[same]
+        values, counts = np.concatenate([self.values, values[~same]]), np.concatenate([self.counts, counts[~same]])
+        if len(values) > self.counters:
+            counts = counts - np.partition(counts, -self.counters - 1)[-self.counters - 1]
+            values, counts = values[counts > 0], counts[counts > 0]
+        order = np.argsort(values)
+        self.values, self.counts = values[order], counts[order]
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document (doc_id, n, class), and rows of shingles (hot) with how many documents of a chunk hold them, if over 1 in 64."""
+    """A row per document (doc_id, n, class), and rows of shingles (hot) with at least how many documents of a partition hold them, if over 1 in 512."""
 
     def read(batches):
+        held, docs_read = Summary(), 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
             sets = [shingles(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            n = [len(s) for s in sets]
             classes = [set_digest(s) if len(s) else None for s in sets]
-            first = {c: s for c, s in zip(classes, sets, strict=True) if c is not None}
-            hot, counts = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if not first else np.unique(np.concatenate([*first.values()]) >> np.uint64(64 - BITS), return_counts=True)
-            most = counts >= max(8, len(ids) // 64)
-            hot, counts, none = hot[most].astype(np.int64), counts[most], [None] * len(ids)
-            blank = [None] * len(hot)
-            yield _batch(SETS, [ids + blank, n + blank, classes + blank, none + hot.tolist(), none + counts.tolist()])
+            for s in {c: s for c, s in zip(classes, sets, strict=True) if c is not None}.values():
+                held.add(s >> np.uint64(64 - BITS))
+            docs_read += len(ids)
+            none = [None] * len(ids)
+            yield _batch(SETS, [ids, [len(s) for s in sets], classes, none, none])
+        held.merge()
+        most = held.counts >= max(8, docs_read // 512)
+        blank = [None] * int(most.sum())
+        yield _batch(SETS, [blank, blank, blank, held.values[most].astype(np.int64), held.counts[most]])
 
     arrow_rows(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(released(read), SETS)
 
 
-def _batch(schema: str, columns: list) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [name for name, _ in fields])
-
-
 def most_frequent(described: DataFrame, n_docs: int) -> np.ndarray:
     """Shingles counted in at least 1 in 256 documents and 1,000: at most 256 times the mean set size."""
     least = max(1000, n_docs // 256)
@@ -156,44 +203,110 @@ def most_frequent(described: DataFrame, n_docs: int) -> np.ndarray:
     return np.sort(np.array([r.hot for r in found], np.uint64))
 
 
-# Shared shingles of each class
+# Shared shingles of each class. Names are digests as pairs of 64-bit numbers.
 
-DEALT = "bucket int, classes binary, sizes binary, shingles binary, holders binary, hot binary, hot_holders binary"
-SHARED = "part int, classes binary, sizes binary, holders binary, shingles binary, codes binary"
-CLASSES = "class long, n long, shared long, shingles binary, codes binary"
-#: Entries of a chunk of documents, and of a bucket of shingle values: what a worker sorts at a time.
-CHUNK = 1_000_000
-BUCKET_ENTRIES = 1_000_000
+PACKED = "key int, classes binary, sizes binary, holders binary, shingles binary, codes binary"
+CLASSES = "class binary, n long, shared long, shingles binary, codes binary"
+#: Up to so many keys, rows are dealt in one step.
+FAN = 1024
+
+
+class Entries:
+    """(holder, shingle, code) with the holders' names and sizes."""
+
+    def __init__(self, names: np.ndarray, sizes: np.ndarray, holders: np.ndarray, values: np.ndarray, codes: np.ndarray):
+        self.names, self.sizes, self.holders, self.values, self.codes = names, sizes, holders, values, codes
+
+    @classmethod
+    def read(cls, rows: list[dict]) -> Entries:
+        """Those of packed rows, each name once."""
+        names = np.concatenate([np.frombuffer(r["classes"], "<u8").reshape(-1, 2) for r in rows])
+        sizes = np.concatenate([np.frombuffer(r["sizes"], "<u4") for r in rows])
+        counts = [len(r["sizes"]) // 4 for r in rows]
+        before = np.cumsum([0, *counts[:-1]])
+        holders = np.concatenate([np.frombuffer(r["holders"], _holder_dtype(n)).astype(np.int64) + b for r, n, b in zip(rows, counts, before, strict=True)])
+        order = np.lexsort((names[:, 1], names[:, 0]))
+        names = names[order]
+        fresh = np.append(True, (names[1:] != names[:-1]).any(1))
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(fresh) - 1
+        return cls(names[fresh], sizes[order][fresh], at[holders], np.concatenate([_unplanes(r["shingles"]) for r in rows]), np.concatenate([np.frombuffer(r["codes"], np.uint8) for r in rows]))
+
+    def packed(self, keys: np.ndarray, order: np.ndarray) -> pa.RecordBatch:
+        """A row for each key that occurs; `order` sorts by key first."""
+        keys, holders, values, codes = keys[order], self.holders[order], self.values[order], self.codes[order]
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        rows = []
+        for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True) if len(keys) else ():
+            present, at = np.unique(holders[a:b], return_inverse=True)
+            rows.append((int(keys[a]), self.names[present].tobytes(), self.sizes[present].tobytes(), at.astype(_holder_dtype(len(present))).tobytes(), _planes(values[a:b]), codes[a:b].tobytes()))
+        return _batch(PACKED, [*zip(*rows, strict=True)] or [[]] * 6)
+
+
+def _holder_dtype(n: int):
+    return np.uint16 if n <= 65536 else np.uint32
+
+
+def _step(keys: int) -> int:
+    """How many keys the first of two steps of dealing takes together; 1: one step is enough."""
+    return 1 if keys <= FAN else math.ceil(math.sqrt(keys))
+
+
+def _by_value(entries: Entries, buckets: int) -> np.ndarray:
+    """The bucket of each shingle, ascending with it; very frequent ones go anywhere, evenly."""
+    found = (((entries.values >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(BITS - 16)).astype(np.int64)
+    hot = np.flatnonzero(entries.codes == HOT)
+    found[hot] = np.arange(len(hot)) * buckets // max(1, len(hot))
+    return found
+
+
+def _by_name(entries: Entries, parts: int) -> np.ndarray:
+    return (entries.names[:, 0] % np.uint64(parts)).astype(np.int64)[entries.holders]
+
+
+def regrouped(packed: DataFrame, keys: int, key_of: Callable[[Entries, int], np.ndarray]) -> DataFrame:
+    """The second step: entries that share a key of the first step, in rows by their own keys. Any task may do any part of a key."""
+    step, chunk = _step(keys), CHUNK
+    if step == 1:
+        return packed
+
+    def read(batches):
+        held: list[dict] = []
+        n = 0
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            if held and (n >= chunk or row["key"] != held[0]["key"]):
+                yield again(held)
+                held, n = [], 0
+            held.append(row)
+            n += len(row["codes"])
+        if held:
+            yield again(held)
+
+    def again(rows: list[dict]) -> pa.RecordBatch:
+        found = Entries.read(rows)
+        own = key_of(found, keys)
+        # Very frequent shingles have no bucket of their own: they stay among those of the first step.
+        own = np.where(own // step == rows[0]["key"], own, np.minimum(rows[0]["key"] * step + np.arange(len(own)) % step, keys - 1))
+        return found.packed(own, np.lexsort((found.values, own)))
+
+    salt = F.pmod(F.xxhash64("classes"), F.lit(step)).cast("int")
+    return packed.repartition(F.col("key"), salt).sortWithinPartitions("key").mapInArrow(released(read), PACKED)
 
 
 def deal(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Packed (shingle, class) entries of a chunk of documents for each bucket of shingle values; hot ones go anywhere."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    """Packed entries of a chunk of documents for each bucket of shingle values."""
+    shared, step, chunk = docs.sparkSession.sparkContext.broadcast(hot), _step(buckets), CHUNK
 
-    def pack(sets: dict[int, np.ndarray]):
-        names = np.fromiter(sets, np.int64, len(sets))
+    def pack(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets.values()], np.uint32)
         values = np.concatenate([*sets.values()]) >> np.uint64(64 - BITS)
-        holders = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
-        frequent = np.isin(values, shared.value) if len(shared.value) else np.zeros(len(values), bool)
-        hot_values, hot_holders = values[frequent], holders[frequent]
-        values, holders = values[~frequent], holders[~frequent]
-        order = np.argsort(values, kind="stable")
-        values, holders = values[order], holders[order]
-        edges = np.searchsorted(values, (np.arange(buckets + 1, dtype=object) * (1 << BITS) // buckets).astype(np.uint64))
-        spread = np.linspace(0, len(hot_values), buckets + 1).astype(int)
-        for b in range(buckets):
-            v, h = values[edges[b] : edges[b + 1]], holders[edges[b] : edges[b + 1]]
-            hv, hh = hot_values[spread[b] : spread[b + 1]], hot_holders[spread[b] : spread[b + 1]]
-            if not len(v) and not len(hv):
-                continue
-            present, at = np.unique(np.concatenate([h, hh]), return_inverse=True)
-            small = np.uint16 if len(present) <= 65536 else np.uint32
-            at = at.astype(small)
-            yield b, names[present].tobytes(), sizes[present].tobytes(), _planes(v), at[: len(v)].tobytes(), _planes(hv), at[len(v) :].tobytes()
+        codes = np.isin(values, shared.value).astype(np.uint8) * np.uint8(HOT) if len(shared.value) else np.zeros(len(values), np.uint8)
+        found = Entries(np.frombuffer(b"".join(sets), "<u8").reshape(-1, 2), sizes, np.repeat(np.arange(len(sets)), sizes), values, codes)
+        keys = _by_value(found, buckets) // step
+        return found.packed(keys, np.lexsort((values, keys)) if len(shared.value) else np.argsort(values, kind="stable"))
 
     def read(batches):
-        sets: dict[int, np.ndarray] = {}
+        sets: dict[bytes, np.ndarray] = {}
         held = 0
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
@@ -201,100 +314,68 @@ def deal(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFram
                 if len(found) and (name := set_digest(found)) not in sets:
                     sets[name] = found
                     held += len(found)
-            if held >= CHUNK:
-                yield _batch(DEALT, [*zip(*pack(sets), strict=True)])
+            if held >= chunk:
+                yield pack(sets)
                 sets, held = {}, 0
         if sets:
-            yield _batch(DEALT, [*zip(*pack(sets), strict=True)])
+            yield pack(sets)
 
     arrow_rows(docs.sparkSession)
-    return docs.select("text").mapInArrow(released(read), DEALT)
-
-
-def _holder_dtype(n: int):
-    return np.uint16 if n <= 65536 else np.uint32
+    return regrouped(docs.select("text").mapInArrow(released(read), PACKED), buckets, _by_value)
 
 
 def share(dealt: DataFrame, parts: int) -> DataFrame:
     """Per bucket: shingles that several classes hold, with coded frequency, packed by part of the classes."""
+    step = _step(parts)
 
     def reduce(group: pa.Table) -> pa.Table:
-        values, names, sizes, hot, hot_names, hot_sizes = [], [], [], [], [], []
-        for r in group.to_pylist():
-            c, s = np.frombuffer(r["classes"], np.int64), np.frombuffer(r["sizes"], np.uint32)
-            h, hh = (np.frombuffer(r[k], _holder_dtype(len(c))) for k in ("holders", "hot_holders"))
-            values.append(_unplanes(r["shingles"]))
-            names.append(c[h])
-            sizes.append(s[h])
-            hot.append(_unplanes(r["hot"]))
-            hot_names.append(c[hh])
-            hot_sizes.append(s[hh])
-        values, names, sizes = np.concatenate(values), np.concatenate(names), np.concatenate(sizes)
-        order = np.argsort(values, kind="stable")
-        values, names, sizes = values[order], names[order], sizes[order]
-        same = np.zeros(len(values), bool)
-        if len(values) > 1:
-            equal = values[1:] == values[:-1]
-            same[1:] |= equal
-            same[:-1] |= equal
-        values, names, sizes = values[same], names[same], sizes[same]
-        order = np.lexsort((names, values))
-        values, names, sizes = values[order], names[order], sizes[order]
-        fresh = np.ones(len(values), bool)
-        fresh[1:] = (values[1:] != values[:-1]) | (names[1:] != names[:-1])
-        values, names, sizes = values[fresh], names[fresh], sizes[fresh]
+        found = Entries.read(group.to_pylist())
+        hot = np.flatnonzero(found.codes == HOT)
+        own = np.flatnonzero(found.codes != HOT)
+        own = own[np.argsort(found.values[own], kind="stable")]
+        values = found.values[own]
+        same = np.zeros(len(own), bool)
+        equal = values[1:] == values[:-1]
+        same[1:] |= equal
+        same[:-1] |= equal
+        own = own[same]
+        own = own[np.lexsort((found.holders[own], found.values[own]))]
+        values, holders = found.values[own], found.holders[own]
+        fresh = np.ones(len(own), bool)
+        fresh[1:] = (values[1:] != values[:-1]) | (holders[1:] != holders[:-1])
+        own, values = own[fresh], values[fresh]
         starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, int)
         counts = np.diff(np.append(starts, len(values)))
         counts = np.repeat(counts, counts)
-        several = counts > 1
-        values, names, sizes = values[several], names[several], sizes[several]
-        codes = np.ceil(np.log2(counts[several] + 1)).astype(np.uint8)
-        values = np.concatenate([values, *hot])
-        names = np.concatenate([names, *hot_names])
-        sizes = np.concatenate([sizes, *hot_sizes])
-        codes = np.concatenate([codes, np.full(len(values) - len(codes), HOT, np.uint8)])
-        part = (names.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((values, names, part))
-        values, names, sizes, codes, part = values[order], names[order], sizes[order], codes[order], part[order]
-        edges = np.searchsorted(part, np.arange(parts + 1))
-        rows = []
-        for p in range(parts):
-            some = slice(edges[p], edges[p + 1])
-            if edges[p] < edges[p + 1]:
-                present, first, at = np.unique(names[some], return_index=True, return_inverse=True)
-                rows.append((p, present.tobytes(), sizes[some][first].tobytes(), at.astype(_holder_dtype(len(present))).tobytes(), _planes(values[some]), codes[some].tobytes()))
-        return pa.Table.from_batches([_batch(SHARED, [*zip(*rows, strict=True)] or [[]] * 6)])
+        own, counts = own[counts > 1], counts[counts > 1]
+        taken = np.concatenate([own, hot])
+        codes = np.concatenate([np.ceil(np.log2(counts + 1)).astype(np.uint8), np.full(len(hot), HOT, np.uint8)])
+        kept = Entries(found.names, found.sizes, found.holders[taken], found.values[taken], codes)
+        part = _by_name(kept, parts) // step
+        return pa.Table.from_batches([kept.packed(part, np.lexsort((kept.values, kept.holders, part)))])
 
-    return dealt.groupBy("bucket").applyInArrow(tidy(reduce), SHARED)
+    return regrouped(dealt.groupBy("key").applyInArrow(tidy(reduce), PACKED), parts, _by_name)
 
 
 def gather(shared: DataFrame, num: int, den: int) -> DataFrame:
     """Classes that may have a partner: size, number of shared shingles, and those by ascending frequency."""
 
     def reduce(group: pa.Table) -> pa.Table:
-        names, sizes, values, codes = [], [], [], []
-        for r in group.to_pylist():
-            c, s = np.frombuffer(r["classes"], np.int64), np.frombuffer(r["sizes"], np.uint32)
-            h = np.frombuffer(r["holders"], _holder_dtype(len(c)))
-            names.append(c[h])
-            sizes.append(s[h])
-            values.append(_unplanes(r["shingles"]))
-            codes.append(np.frombuffer(r["codes"], np.uint8))
-        names, sizes, values, codes = (np.concatenate(x) for x in (names, sizes, values, codes))
-        order = np.lexsort((values, codes, names))
-        names, sizes, values, codes = names[order], sizes[order], values[order], codes[order]
+        found = Entries.read(group.to_pylist())
+        order = np.lexsort((found.values, found.codes, found.holders))
+        holders, values, codes = found.holders[order], found.values[order], found.codes[order]
         # A hot shingle comes once for each chunk that holds a copy of its class.
-        fresh = np.ones(len(names), bool)
-        fresh[1:] = (names[1:] != names[:-1]) | (values[1:] != values[:-1])
-        names, sizes, values, codes = names[fresh], sizes[fresh], values[fresh], codes[fresh]
-        starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
-        ends = np.append(starts[1:], len(names))
-        n = sizes[starts].astype(np.int64)
+        fresh = np.ones(len(holders), bool)
+        fresh[1:] = (holders[1:] != holders[:-1]) | (values[1:] != values[:-1])
+        holders, values, codes = holders[fresh], values[fresh], codes[fresh]
+        starts = np.flatnonzero(np.append(True, holders[1:] != holders[:-1])) if len(holders) else np.zeros(0, int)
+        ends = np.append(starts[1:], len(holders))
+        n = found.sizes[holders[starts]].astype(np.int64)
         may = np.flatnonzero(n - (ends - starts) <= allowed(n, num, den))
-        rows = [(int(names[starts[i]]), int(n[i]), int(ends[i] - starts[i]), values[starts[i] : ends[i]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes(), codes[starts[i] : ends[i]].tobytes()) for i in may]
+        rows = [(found.names[holders[starts[i]]].tobytes(), int(n[i]), int(ends[i] - starts[i]), values[starts[i] : ends[i]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes(), codes[starts[i] : ends[i]].tobytes()) for i in may]
         return pa.Table.from_batches([_batch(CLASSES, [*zip(*rows, strict=True)] or [[]] * 5)])
 
-    return shared.groupBy("part").applyInArrow(tidy(reduce), CLASSES)
+    return shared.groupBy("key").applyInArrow(tidy(reduce), CLASSES)
 
 
 def _values(raw: bytes) -> np.ndarray:
@@ -305,7 +386,7 @@ def _values(raw: bytes) -> np.ndarray:
 
 # The index
 
-ENTRIES = "entry long, class long, n long, missing long"
+ENTRIES = "entry long, class binary, n long, missing long"
 
 
 def _mix(values: np.ndarray, salt: int) -> np.ndarray:
@@ -356,20 +437,22 @@ def index(classes: DataFrame, num: int, den: int) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            entry, name, size, missing = [], [], [], []
-            for c, n, shared, values, codes in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            names = batch.column(0)
+            found: list[tuple[int, int, int, np.ndarray]] = []
+
+            def rows() -> pa.RecordBatch:
+                at, n, missing, signs = zip(*found, strict=True)
+                times = [len(x) for x in signs]
+                return _batch(ENTRIES, [np.concatenate(signs), names.take(pa.array(np.repeat(at, times))), np.repeat(n, times), np.repeat(missing, times)])
+
+            for i, (n, shared, values, codes) in enumerate(zip(*(x.to_pylist() for x in batch.columns[1:]), strict=True)):
                 values, codes = _values(values), np.frombuffer(codes, np.uint8)
-                for band in bands(n, num, den):
-                    found = np.unique(signatures(n, values, codes, band, num, den)).view(np.int64)
-                    entry.append(found)
-                    name.append(np.full(len(found), c))
-                    size.append(np.full(len(found), n))
-                    missing.append(np.full(len(found), n - shared))
-                if sum(map(len, entry)) > 200_000:
-                    yield _batch(ENTRIES, [np.concatenate(x) for x in (entry, name, size, missing)])
-                    entry, name, size, missing = [], [], [], []
-            if entry:
-                yield _batch(ENTRIES, [np.concatenate(x) for x in (entry, name, size, missing)])
+                found += [(i, n, n - shared, np.unique(signatures(n, values, codes, band, num, den)).view(np.int64)) for band in bands(n, num, den)]
+                if sum(len(x[3]) for x in found) > 200_000:
+                    yield rows()
+                    found = []
+            if found:
+                yield rows()
 
     arrow_rows(classes.sparkSession)
     return classes.mapInArrow(released(read), ENTRIES)
@@ -387,20 +470,12 @@ def stars(entries: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def open_entries(entries: DataFrame, component: DataFrame) -> DataFrame:
-    """Rows of entries with more than two classes that don't all lie in one component, with the entry's number of classes m."""
-    own = entries.join(component, "class", "left").select("entry", "class", "n", F.coalesce("component", "class").alias("component"))
-    mixed = own.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("entry", "m")
+    """entry, class, component in entries of more than two classes that don't all lie in one component."""
+    own = entries.join(component, "class", "left").select("entry", "class", F.coalesce("component", "class").alias("component"))
+    mixed = own.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("entry")
     return own.join(mixed, "entry")
 
 
-def across(opened: DataFrame, tested: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one entry of at most `PAIRED` classes that lie in different components and haven't been tested."""
-    own = opened.filter(F.col("m") <= PAIRED).drop("m")
-    other = own.select("entry", *(F.col(c).alias(f"o_{c}") for c in ("class", "n", "component")))
-    pairs = own.join(other, "entry").filter("class < o_class and component <> o_component").filter(_sizes_fit("n", "o_n", num, den))
-    return pairs.select(F.col("class").alias("a"), F.col("o_class").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-
-
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """The matrix of intersection sizes of ascending arrays: frequent values by matrix products, rare ones by their pairs."""
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -426,37 +501,106 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify_blocks(opened: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components among classes that share an entry of more than `PAIRED` classes.
+def _size_band(n: Column, num: int, den: int) -> Column:
+    """Sets whose sizes fit lie in one band or in bands next to each other."""
+    return F.floor(F.log("n") / (math.log(den / num) * (1 + 1e-9)) if den > num else F.col("n")).cast("int")
 
-    Such entries overlap, so their classes are clustered, and a cluster is cut
-    into blocks by hash: each pair of blocks is one matrix of intersection
-    sizes, and its pairs are never rows.
+
+def cells(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of `members` (class, group, and others) with n and shingles, dealt to cells.
+
+    Each pair of classes of one group whose sizes fit lies in one cell: a small
+    group in a cell that it may share with others, a large one in cells of two
+    blocks of the same or the next size band. In a cell of two blocks (crossed),
+    pairs of one side (0 or 1) belong to other cells.
+    """
+    spark = members.sparkSession
+    space = F.greatest(F.lit(1 / BLOCK_ROWS), F.octet_length("shingles") / F.lit(float(BLOCK_BYTES)))
+    own = written(members.join(classes.select("class", "n", "shingles"), "class").withColumns({"band": _size_band("n", num, den), "space": space}), "cell-members")
+    size = own.groupBy("group").agg(F.sum("space").alias("space"))
+    large = written(size.filter("space > 1").select("group"), "cell-groups")
+    total = size.agg(F.sum("space")).first()[0] or 0
+    shares = F.pmod(F.xxhash64("group"), F.lit(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total))))
+    small = own.join(large, "group", "left_anti").withColumns({"owner": shares, "at": F.lit(-1), "step": F.lit(0), "i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
+    banded = written(own.join(large, "group").groupBy("group", "band").agg(F.ceil(F.sum("space")).cast("int").alias("blocks")), "cell-bands")
+    near = banded
+    for name, by in (("before", 1), ("after", -1)):
+        near = near.join(banded.select("group", (F.col("band") + by).alias("band"), F.col("blocks").alias(name)), ["group", "band"], "left")
+
+    def cell(at: Column, step: int, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(step).alias("step"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    def others(count: Column) -> Column:
+        """The numbers of the blocks: 0 to count - 1."""
+        return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+    band, block = F.col("band"), F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    seats = F.concat(
+        F.transform(others(F.col("blocks")), lambda o: cell(band, 0, F.least(block, o), F.greatest(block, o), block > o)),
+        F.transform(others(F.col("after")), lambda o: cell(band, 1, block, o, F.lit(0))),
+        F.transform(others(F.col("before")), lambda o: cell(band - 1, 1, o, block, F.lit(1))),
+    )
+    dealt = own.join(near, ["group", "band"]).withColumn("seat", F.explode(seats)).withColumn("owner", F.xxhash64("group"))
+    columns = [c for c in own.columns if c not in ("band", "space")]
+    spread = dealt.select(*columns, "owner", *(F.col(f"seat.{c}").alias(c) for c in ("at", "step", "i", "j", "side")))
+    return small.select(*spread.columns).unionByName(spread)
+
+
+CELL = ["owner", "at", "step", "i", "j"]
+
+
+def _links_within(group: pa.Table, num: int, den: int) -> np.ndarray:
+    """The upper triangle of the links that a cell is for."""
+    n, side = group.column("n").to_numpy(), group.column("side").to_numpy()
+    common = common_counts([_values(x) for x in group.column("shingles").to_pylist()]).astype(np.int64)
+    good = np.triu(den * common >= num * (n[:, None] + n[None, :] - common), 1)
+    if group.column("step")[0].as_py() or group.column("i")[0].as_py() != group.column("j")[0].as_py():
+        good &= side[:, None] != side[None, :]
+    return good
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links."""
+    left, edges = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        if not left[root]:
+            continue
+        left[root], reached = False, [root]
+        while reached:
+            at = reached.pop()
+            new = np.flatnonzero(linked[at] & left)
+            left[new] = False
+            edges += [(at, int(k)) for k in new]
+            reached += new.tolist()
+    return edges
+
+
+def verify_clusters(opened: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links that join the components of classes which share an open entry, as few as join them.
+
+    Entries overlap, so their classes are clustered; each cluster is tested in cells.
     """
-    large = opened.filter(F.col("m") > PAIRED)
-    leader = large.groupBy("entry").agg(F.min("class").alias("b"))
-    edges = written(large.join(leader, "entry").filter(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct(), "cluster-links")
+    leader = opened.groupBy("entry").agg(F.min("class").alias("b"))
+    edges = written(opened.join(leader, "entry").filter(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct(), "cluster-links")
     if edges.isEmpty():
         return edges
-    cluster = components(edges).withColumnRenamed("component", "cluster")
-    own = large.select("class", "component").distinct().join(cluster, "class").join(classes.select("class", "n", "shingles"), "class")
-    own = written(own, "clusters")
-    sizes = own.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    own = own.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    members = opened.select("class", "component").distinct().join(components(edges).withColumnRenamed("component", "group"), "class")
 
     def test(group: pa.Table) -> pa.Table:
-        name, n, part, block = (group.column(c).to_numpy() for c in ("class", "n", "component", "block"))
-        common = common_counts([_values(x) for x in group.column("shingles").to_pylist()]).astype(np.int64)
-        good = den * common >= num * (n[:, None] + n[None, :] - common)
-        good &= part[:, None] != part[None, :]
-        if len({*block.tolist()}) > 1:
-            good &= block[:, None] != block[None, :]
-        i, j = np.nonzero(np.triu(good, 1))
-        return pa.table([pa.array(np.minimum(name[i], name[j]), pa.int64()), pa.array(np.maximum(name[i], name[j]), pa.int64())], ["a", "b"])
-
-    return own.select("cluster", "low", "high", "class", "n", "component", "block", "shingles").groupBy("cluster", "low", "high").applyInArrow(tidy(test), "a long, b long")
+        names = np.array(group.column("class").to_pylist(), object)
+        parts, part = np.unique(np.array(group.column("component").to_pylist(), object), return_inverse=True)
+        i, j = np.nonzero(_links_within(group, num, den))
+        i, j = i[part[i] != part[j]], j[part[i] != part[j]]
+        # One link for each pair of components, of which a forest stays.
+        between, first = np.unique(np.minimum(part[i], part[j]) * len(parts) + np.maximum(part[i], part[j]), return_index=True)
+        linked = np.zeros((len(parts), len(parts)), bool)
+        linked[between // len(parts), between % len(parts)] = linked[between % len(parts), between // len(parts)] = True
+        link = dict(zip(between.tolist(), first.tolist(), strict=True))
+        kept = [link[min(x, y) * len(parts) + max(x, y)] for x, y in forest(linked)]
+        pairs = [sorted((names[i[k]], names[j[k]])) for k in kept]
+        return pa.table([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
+
+    return cells(members, classes, num, den).groupBy(*CELL).applyInArrow(tidy(test), "a binary, b binary")
 
 
 def verify(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -475,7 +619,7 @@ def verify(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     arrow_rows(pairs.sparkSession)
-    return both.select("a", "b", "a_n", "b_n", "a_s", "b_s").mapInArrow(released(test), "a long, b long")
+    return both.select("a", "b", "a_n", "b_n", "a_s", "b_s").mapInArrow(released(test), "a binary, b binary")
 
 
 # Components
@@ -503,58 +647,18 @@ def components(links: DataFrame) -> DataFrame:
 # All links
 
 
-def cells(component: DataFrame, classes: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
-    """Classes of each component in cells, one for each pair of classes whose sizes fit.
-
-    A component is cut by size into blocks, and each pair of blocks whose sizes
-    fit is a cell; components of one block share cells (low = -1).
-    """
-    spark = component.sparkSession
-    sizes = classes.select("class", "n", F.octet_length("shingles").alias("bytes"))
-    space = F.greatest(F.lit(1 / BLOCK_ROWS), F.col("bytes") / F.lit(float(BLOCK_BYTES)))
-    before = Window.partitionBy("component").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, -1)
-    placed = component.join(sizes, "class").withColumn("block", F.floor(F.coalesce(F.sum(space).over(before), F.lit(0.0)) + 1e-9).cast("int"))
-    placed = written(placed.join(copies, "class"), "blocks")
-    blocks = placed.groupBy("component", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = placed.groupBy("component").agg(F.max("block").alias("last")).filter("last > 0").select("component")
-    blocks = written(blocks.join(several, "component"), "block-sizes")
-    other = blocks.select("component", F.col("block").alias("high"), F.col("least").alias("o_least"))
-    pairs = blocks.withColumnRenamed("block", "low").join(other, "component").filter("low <= high").filter(F.col("most") * den >= F.col("o_least") * num)
-    member = pairs.select("component", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"), "low", "high")
-    total = placed.agg(F.sum("bytes")).first()[0] or 0
-    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BLOCK_BYTES + 1)
-    small = placed.join(several, "component", "left_anti").withColumns({"owner": F.pmod(F.xxhash64("component"), F.lit(number)), "low": F.lit(-1), "high": F.lit(-1)})
-    large = placed.join(member, ["component", "block"]).withColumn("owner", F.col("component"))
-    columns = ["owner", "low", "high", "component", "block", "class", "n", "copies"]
-    return small.select(columns).unionByName(large.select(columns)).join(classes.select("class", "shingles"), "class")
-
-
-def _links_within(group: pa.Table, num: int, den: int):
-    """For each component of a cell: its classes, their copies, and the upper triangle of links that the cell is for."""
-    name, n, copies, part, block = (group.column(c).to_numpy() for c in ("class", "n", "copies", "component", "block"))
-    sets = group.column("shingles")
-    across = group.column("low")[0].as_py() != group.column("high")[0].as_py()
-    order = np.argsort(part, kind="stable")
-    for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-        size = n[some]
-        common = common_counts([_values(sets[int(i)].as_py()) for i in some]).astype(np.int64)
-        good = np.triu(den * common >= num * (size[:, None] + size[None, :] - common), 1)
-        if across:
-            good &= block[some][:, None] != block[some][None, :]
-        yield name[some], copies[some], good
+def _component_cells(component: DataFrame, classes: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
+    return cells(component.withColumnRenamed("component", "group").join(copies, "class"), classes, num, den)
 
 
 def count_links(dealt: DataFrame, num: int, den: int) -> DataFrame:
     """class and links: how many documents of other classes it is linked with; pairs are never rows."""
 
     def test(group: pa.Table) -> pa.Table:
-        names, links = [], []
-        for name, copies, good in _links_within(group, num, den):
-            names.append(name)
-            links.append(good @ copies + good.T @ copies)
-        return pa.table([pa.array(np.concatenate(names), pa.int64()), pa.array(np.concatenate(links), pa.int64())], ["class", "links"])
+        copies, good = group.column("copies").to_numpy(), _links_within(group, num, den)
+        return pa.table([group.column("class"), pa.array(good @ copies + good.T @ copies, pa.int64())], ["class", "links"])
 
-    found = dealt.groupBy("owner", "low", "high").applyInArrow(tidy(test), "class long, links long")
+    found = dealt.groupBy(*CELL).applyInArrow(tidy(test), "class binary, links long")
     return found.groupBy("class").agg(F.sum("links").alias("links"))
 
 
@@ -562,14 +666,11 @@ def link_pairs(dealt: DataFrame, num: int, den: int) -> DataFrame:
     """a < b: each link between classes once."""
 
     def test(group: pa.Table) -> pa.Table:
-        a, b = [], []
-        for name, _, good in _links_within(group, num, den):
-            i, j = np.nonzero(good)
-            a.append(np.minimum(name[i], name[j]))
-            b.append(np.maximum(name[i], name[j]))
-        return pa.table([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+        names = group.column("class").to_pylist()
+        pairs = [sorted((names[i], names[j])) for i, j in zip(*np.nonzero(_links_within(group, num, den)), strict=True)]
+        return pa.table([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
-    return dealt.groupBy("owner", "low", "high").applyInArrow(tidy(test), "a long, b long")
+    return dealt.groupBy(*CELL).applyInArrow(tidy(test), "a binary, b binary")
 
 
 def _joined(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -581,22 +682,24 @@ def _joined(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
     hot = most_frequent(described, totals.docs)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (totals.shingles or 0) // BUCKET_ENTRIES + 1)
     classes = written(gather(share(deal(docs, width, buckets, hot), buckets), num, den), "classes")
-    entries = index(classes, num, den)
-    tested = written(stars(entries, num, den), "pairs")
-    links = written(verify(tested, classes, num, den), "links")
+    entries = written(index(classes, num, den), "entries")
+    links = written(verify(written(stars(entries, num, den), "pairs"), classes, num, den), "links")
     component = components(links)
-    opened = written(open_entries(entries, component), "open")
-    more = verify(across(opened, tested, num, den), classes, num, den).union(verify_blocks(opened, classes, num, den))
-    more = written(more.distinct(), "links")
+    more = written(verify_clusters(written(open_entries(entries, component), "open"), classes, num, den), "links")
     if not more.isEmpty():
         component = components(links.union(more))
     return sets, classes, component
 
 
 def _named(sets: DataFrame, component: DataFrame) -> DataFrame:
-    own = sets.join(component, "class", "left").withColumn("_c", F.coalesce("component", "class"))
-    named = own.filter("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
-    return own.join(named, "_c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+    """doc_id, n_shingles, component_id and class: the smallest doc_id of each component, found class by class."""
+    own = sets.filter("class is not null")
+    first = own.groupBy("class").agg(F.min("doc_id").alias("first")).join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = first.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = first.join(named, "component").select("class", "component_id")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class"]
+    empty = sets.filter("class is null").withColumn("component_id", F.col("doc_id"))
+    return own.join(named, "class").select(*columns).unionByName(empty.select(*columns))
 
 
 def _copies(sets: DataFrame) -> DataFrame:
@@ -613,15 +716,17 @@ def join_links(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -
     """The same with n_links: how many other rows a document is linked with, those of equal sets among them."""
     sets, classes, component = _joined(docs, width, num, den)
     copies = written(_copies(sets), "copies")
-    links = written(count_links(cells(component, classes, copies, num, den), num, den), "link-counts")
+    links = written(count_links(_component_cells(component, classes, copies, num, den), num, den), "link-counts")
     counted = copies.join(links, "class", "left").select("class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return _named(sets, component).join(counted, "class", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = _named(sets, component)
+    counts = named.filter("class is not null").join(counted, "class").unionByName(named.filter("class is null").withColumn("n_links", F.lit(0)))
+    return counts.select("doc_id", "n_shingles", "component_id", F.col("n_links").cast("long").alias("n_links"))
 
 
 def class_links(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, class), and all links a < b between classes; documents of one class are linked too, those without a class with nothing."""
     sets, classes, component = _joined(docs, width, num, den)
-    return sets.select("doc_id", "class"), link_pairs(cells(component, classes, _copies(sets), num, den), num, den)
+    return sets.select("doc_id", "class"), link_pairs(_component_cells(component, classes, written(_copies(sets), "copies"), num, den), num, den)
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -96,6 +96,9 @@ def test_join_equals_brute_force(documents, width, num):
     assert rows(ngram_join.join(documents, width, num, 100)) == want
 
 
+PASSAGE = " ".join(f"p{i}" for i in range(40))
+
+
 def near_copies(seed, n, length, edits):
     import random
 
@@ -113,9 +116,8 @@ def near_copies(seed, n, length, edits):
 def test_large_groups_are_joined_whole(spark, monkeypatch):
     """Groups of copies with pairs on either side of the threshold, through blocks, hot shingles and combinations."""
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(ngram_join, "PAIRED", 8)
     monkeypatch.setattr(ngram_join, "FREQUENT", 3)
-    passage = " ".join(f"p{i}" for i in range(40))
+    passage = PASSAGE
     texts = near_copies(1, 60, 120, 5) + near_copies(2, 40, 40, 2) + [passage + f" own{i}" for i in range(30)] + [passage] * 5 + [f"{t} {passage}" for t in near_copies(3, 20, 30, 1)]
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     _, group = components(texts, 4, 85, 100)
@@ -125,6 +127,58 @@ def test_large_groups_are_joined_whole(spark, monkeypatch):
     assert rows(ngram_join.join(df), "doc_id", "component_id") == want
 
 
+def test_a_cluster_of_thousands_is_joined_whole(spark):
+    """Copies of one text with so many edits that some link, some don't, and all share entries; a frequent passage besides."""
+    import numpy as np
+
+    texts = near_copies(7, 5000, 70, 5) + [f"{t} {PASSAGE}" for t in near_copies(8, 100, 200, 0)] + [f"unlike{i} {PASSAGE} end{i}" for i in range(100)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    shared = Counter(v for s in sets for v in s)
+    column = {v: i for i, v in enumerate(v for v, n in shared.items() if n > 1)}
+    x = np.zeros((len(sets), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        x[i, [column[v] for v in s if v in column]] = 1
+    n = np.array([len(s) for s in sets])
+    group = np.arange(len(sets))
+    links = []
+    for at in range(0, len(sets), 500):
+        k = x[at : at + 500] @ x.T
+        i, j = np.nonzero(100 * k >= 85 * (n[at : at + 500, None] + n[None, :] - k))
+        links += [(a + at, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a + at < b]
+    a, b = np.array(links).T
+    while True:
+        new = group.copy()
+        np.minimum.at(new, a, group[b])
+        np.minimum.at(new, b, group[a])
+        new = new[new]
+        if (new == group).all():
+            break
+        group = new
+    assert rows(ngram_join.join(df), "doc_id", "component_id") == [*enumerate(group.tolist())]
+    assert 10 < len({*group.tolist()}) < 4000
+
+
+def test_dealing_in_two_steps_gives_the_same(spark, documents, monkeypatch):
+    want = rows(ngram_join.join_links(documents, 5, 80, 100))
+    for name, value in (("FAN", 4), ("CHUNK", 5000), ("BUCKET_ENTRIES", 2000)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert rows(ngram_join.join_links(documents, 5, 80, 100)) == want
+    monkeypatch.setattr(ngram_join, "most_frequent", lambda d, n: ngram_join.np.sort(ngram_join.np.array([r.hot for r in d.filter("hot is not null").select("hot").distinct().collect()], "u8")))
+    assert rows(ngram_join.join_links(documents, 5, 80, 100)) == want
+
+
+def test_summaries_name_a_shingle_that_two_in_a_hundred_hold():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    held, frequent = ngram_join.Summary(8192), np.uint64(77)
+    for i in range(100_000):
+        held.add(np.append(r.integers(1000, 2**40, 20, np.uint64), [frequent] if i % 50 == 0 else np.zeros(0, np.uint64)))
+    held.merge()
+    assert len(held.values) <= 8192 and 2000 - 2_002_000 // 8192 <= held.counts[held.values == frequent][0] <= 2000
+
+
 def links_by_hand(texts, width, num, den):
     sets, _ = components(texts, width, num, den)
     return {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a and b and den * len(a & b) >= num * len(a | b)}
