@@ -2,14 +2,19 @@
 
 A text is lower-cased (A-Z) and cut into words of letters, digits and non-ASCII
 bytes; the automaton holds whole-word phrases and finds all places at once. The
-tag `spdx license identifier` is one of them: what follows it on its line, up to
-the next tag, is parsed whole as a licence expression (and / or / with, parentheses; `with` binds
-strongest, `or` least) and evaluated against a set of permitted licences.
+tag `spdx license identifier` is one of them: from its place, the text after a
+colon, up to the next tag or the line's end, begins with a licence expression
+(and / or / with, parentheses; `with` binds strongest, `or` least), which is
+taken whole and evaluated against a set of permitted licences. Prose may follow:
+the expression ends where a word can't continue it, or with a name before a full
+stop, comma or semicolon.
 
 Result for nulls and odd input: null or empty text has no words and no labels
-and score 0; an expression that doesn't parse gives its licences' labels but no
-verdict; rows that share a doc_id are scanned one by one; an empty table gives
-no rows; other columns are ignored.
+and score 0; very long texts and expressions are taken whole, in time in
+proportion to their length; an expression that breaks off, or that a licence
+follows without an operator, gives its licences' labels but no verdict; rows that
+share a doc_id are scanned one by one; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -158,8 +163,10 @@ def automaton():
 
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: A tag, and the rest of its line up to the next tag.
-TAGGED = re.compile(rb"spdx[-\s]license[-\s]identifier\s*:\s*((?:(?!spdx[-\s]license[-\s]identifier\s*:)[^\r\n])+)")
+#: A colon after a tag, on its line, and the rest of the line.
+AFTER_TAG = re.compile(rb"[^\S\r\n]*:[^\S\r\n]*([^\r\n]*)")
+#: A parenthesis, a name or an operator, or anything else.
+TOKEN = re.compile(r"[()]|[a-z0-9.+:_-]+|\S")
 
 
 def scan(text: bytes | None) -> Scan:
@@ -195,8 +202,9 @@ def scan(text: bytes | None) -> Scan:
         if k and word - leads[k - 1] <= 6:
             weight = 1 - (1 - weight) * (1 - LEAD_WEIGHT)
         weights[phrase] = max(weight, weights.get(phrase, 0))
-    if any(p == TAG for _, p in found.places):
-        _tags(low, found, weights)
+    tags = [w for w, p in found.places if p == TAG]
+    if tags:
+        _tags(low, tags, found, weights)
     rest = 1.0
     for phrase in sorted(weights):
         rest *= 1 - weights[phrase]
@@ -204,17 +212,56 @@ def scan(text: bytes | None) -> Scan:
     return found
 
 
-def _tags(low: bytes, found: Scan, weights: dict[str, float]) -> None:
-    """Parse what follows each identifier tag; several tags must all be permitted."""
+def leading_expression(text: str) -> str:
+    """The licence expression that a text begins with; raises BadExpression where it breaks off or a licence follows."""
+    depth, complete, end = 0, False, 0
+    for m in TOKEN.finditer(text):
+        token = m[0]
+        name = token.rstrip(".,;:") if token not in BINDS else ""
+        if token == "(" and not complete:
+            depth += 1
+        elif token == ")" and complete and depth:
+            depth -= 1
+            end = m.end()
+        elif token in BINDS and complete:
+            complete = False
+        elif not complete and name and TOKEN.fullmatch(name) and name[0].isalnum():
+            complete, end = True, m.start() + len(name)
+            if name != token:
+                break
+        elif complete and not depth and label_of(name) not in FAMILIES.values():
+            break
+        else:
+            raise BadExpression(text)
+    if depth or not complete:
+        raise BadExpression(text)
+    return text[:end]
+
+
+def _tags(low: bytes, tags: list[int], found: Scan, weights: dict[str, float]) -> None:
+    """Parse what follows the identifier tags at these words; several tags must all be permitted."""
+    spans: dict[int, tuple[int, int]] = {}
+    wanted = {w for t in tags for w in (t, t + TAG.count(" "))}
+    last = max(wanted)
+    for k, m in enumerate(WORD.finditer(low)):
+        if k in wanted:
+            spans[k] = m.span()
+        if k == last:
+            break
     verdicts: list[bool] = []
-    for m in TAGGED.finditer(low):
-        expression = m[1].decode("utf-8", "replace").strip().rstrip("*/#-> ").strip()
-        found.expressions.append(expression)
+    for tag, following in zip(tags, [*tags[1:], None], strict=True):
+        m = AFTER_TAG.match(low, spans[tag + TAG.count(" ")][1], len(low) if following is None else spans[following][0])
+        if not m or not m[1].strip():
+            continue
+        rest = m[1].decode("utf-8", "replace").strip()
         try:
+            expression = leading_expression(rest)
             postfix = to_postfix(expression)
         except BadExpression:
-            found.labels.update(label_of(t) for t in re.findall(r"[a-z0-9.+-]+", expression) if t.split("-")[0] in FAMILIES)
+            found.expressions.append(rest.rstrip("*/#-> ").strip())
+            found.labels.update(label_of(t) for t in re.findall(r"[a-z0-9.+-]+", rest) if label_of(t) in FAMILIES.values())
             continue
+        found.expressions.append(expression)
         exceptions = {postfix[i - 1] for i, t in enumerate(postfix) if t == "with"}
         found.labels.update(label_of(t) for t in postfix if t not in BINDS and t not in exceptions)
         verdicts.append(evaluate(postfix, lambda name: label_of(name) in PERMITTED))

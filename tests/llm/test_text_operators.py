@@ -68,6 +68,54 @@ def test_long_expressions_are_taken_whole():
     assert len(found.expressions) == 2 and found.labels == {"mit", "gpl"} and found.permitted is False
 
 
+@pytest.mark.parametrize(
+    ("text", "expressions", "labels", "permitted"),
+    [
+        ("SPDX-License-Identifier: MIT. Then prose goes on.", ["mit"], {"mit"}, True),
+        ("see SPDX-License-Identifier: MIT and more; it says", ["mit and more"], {"mit", "more"}, False),
+        ("(SPDX-License-Identifier: GPL-2.0 OR MIT) as said", ["gpl-2.0 or mit"], {"gpl", "mit"}, True),
+        ("SPDX-License-Identifier:\nMIT and more", [], set(), None),
+        ("SPDX-License-Identifier: ISC\r\nGPL-2.0", ["isc"], {"isc"}, True),
+        ("SPDX-License-Identifier: MIT Apache-2.0", ["mit apache-2.0"], {"mit", "apache"}, None),
+        ("SPDX-License-Identifier: (MIT OR ISC, or so", ["(mit or isc, or so"], {"mit", "isc"}, None),
+        ("<!-- SPDX-License-Identifier: BSD-3-Clause -->", ["bsd-3-clause"], {"bsd"}, True),
+        ("SPDX License Identifier MIT", [], set(), None),
+        ("SPDX-License-Identifier: LicenseRef-Own AND MIT", ["licenseref-own and mit"], {"licenseref-own", "mit"}, False),
+    ],
+)
+def test_tags_end_where_their_expression_ends(text, expressions, labels, permitted):
+    found = licenses.scan(text.encode())
+    assert (found.expressions, found.labels, found.permitted) == (expressions, labels, permitted)
+
+
+def test_verdicts_equal_brute_force():
+    """Random expressions, one of 10,000 names, against Python's own reading of them."""
+    import random
+
+    r = random.Random(11)
+    names = {"MIT": True, "Apache-2.0": True, "GPL-3.0-only": False, "ISC": True, "LicenseRef-X": False, "MPL-2.0": False}
+
+    def some(depth):
+        if not depth or r.random() < 0.3:
+            name = r.choice([*names])
+            return (f"{name} WITH Own-exception-1.0", names[name], {name}) if r.random() < 0.2 else (name, names[name], {name})
+        parts, words = [some(depth - 1) for _ in range(r.randint(1, 4))], []
+        for text, *_ in parts:
+            words += [r.choice(("and", "OR", "And")), f"({text})" if r.random() < 0.7 else text]
+        whole = " ".join(words[1:])
+        python = re.sub(r"(?i) with own-exception-1.0", "", whole)
+        for n, good in names.items():
+            python = re.sub(rf"(?<![\w.-]){re.escape(n)}(?![\w.-])", str(good), python)
+        return whole, eval(re.sub("(?i)and|or", lambda m: m[0].lower(), python)), set().union(*(p[2] for p in parts))
+
+    for _ in range(300):
+        text, good, used = some(3)
+        found = licenses.scan(f"// SPDX-License-Identifier: {text} */\nMIT".encode())
+        assert found.permitted is good and found.labels == {licenses.label_of(n) for n in used} and found.expressions == [text.lower()]
+    long = licenses.scan(b"SPDX-License-Identifier: " + b"GPL-3.0-only OR " * 10_000 + b"MIT")
+    assert long.labels == {"gpl", "mit"} and long.permitted is True and len(long.expressions[0]) == 160_003
+
+
 def components(texts, width, num, den):
     """Brute force over all pairs that share a shingle."""
     sets = []
