@@ -1,7 +1,7 @@
 """Chat formatting in one template, with Spark expressions only.
 
-A conversation's turn structs are collected and sorted; adjacent turns of one
-role become a run; a run is
+A window numbers the places of a conversation's turns; its turn structs are
+collected and sorted; adjacent turns of one role become a run; a run is
 
     <|im_start|> role <|im_body|> text (<|im_sep|> text)* <|im_end|>
 
@@ -12,13 +12,15 @@ comes from a text, and taking one backslash away restores each text.
 
 Nulls and odd input: null text is empty; null turn sorts first; null role is its
 own role and comes back as null would print, the empty string; ties of turn are
-ordered by role and text, and equal rows are all kept; rows with a null conv_id
-form one conversation; an empty table gives no rows; other columns are ignored.
+ordered by role and text as they are before escaping, and equal rows are all kept;
+very long texts and conversations are formatted whole, in time in proportion to
+their length; rows with a null conv_id form one conversation; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, BODY, SEP, END = "<|im_start|>", "<|im_body|>", "<|im_sep|>", "<|im_end|>"
@@ -38,43 +40,33 @@ def unescaped(text: Column) -> Column:
 
 def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, the formatted string, and loss_spans: start and length in code points of each text under the loss mask."""
-    turn = F.struct(
-        F.col("turn"),
-        escaped(F.coalesce(F.col("role"), F.lit(""))).alias("role"),
-        escaped(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
-    )
-    own = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    said = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    said = said.select("conv_id", escaped(F.col("role")).alias("role"), escaped(F.col("text")).alias("text"), F.row_number().over(order).alias("n"), F.lag("role").over(order).alias("before"), F.col("role").alias("raw"))
+    # What stands before a text: the run's head, and the end of the run before, or a separator.
+    head = F.length("role") + len(START) + len(BODY)
+    lead = F.when(F.col("before").isNull(), head).when(F.col("before") != F.col("raw"), head + len(END)).otherwise(len(SEP))
+    upto = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    said = said.withColumn("start", F.sum((lead + F.length("text")).cast("long")).over(upto) - F.length("text"))
+    own = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "role", "text", "start"))).alias("turns"))
     n = F.size("turns")
     # A run starts where the role differs from that of the turn before.
     starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.col("turns")[i - 1]["role"] != F.col("turns")[i - 2]["role"]))
     own = own.withColumn("starts", starts)
     ends = F.transform("starts", lambda s, k: F.when(k + 1 < F.size("starts"), F.col("starts")[k + 1]).otherwise(n + 1))
     own = own.withColumn("ends", ends)
-    runs = F.transform(
+    pieces = F.transform(
         "starts",
-        lambda s, k: F.struct(
-            F.col("turns")[s - 1]["role"].alias("role"),
-            F.transform(F.slice("turns", s, F.col("ends")[k] - s), lambda t: t["text"]).alias("texts"),
+        lambda s, k: F.concat(
+            F.lit(START),
+            F.col("turns")[s - 1]["role"],
+            F.lit(BODY),
+            F.array_join(F.transform(F.slice("turns", s, F.col("ends")[k] - s), lambda t: t["text"]), SEP),
+            F.lit(END),
         ),
     )
-    own = own.select("conv_id", runs.alias("runs"))
-    pieces = F.transform("runs", lambda r: F.concat(F.lit(START), r["role"], F.lit(BODY), F.array_join(r["texts"], SEP), F.lit(END)))
-    # Places of the texts of loss runs: array aggregation carries the place reached.
-    empty = F.expr("cast(array() as array<struct<start:long,length:long>>)")
-
-    def run_spans(acc: Column, r: Column) -> Column:
-        begin = acc["at"] + F.lit(len(START) + len(BODY)) + F.length(r["role"])
-        of_run = F.aggregate(
-            r["texts"],
-            F.struct(begin.cast("long").alias("at"), empty.alias("spans")),
-            lambda a, t: F.struct(
-                (a["at"] + F.length(t) + len(SEP)).cast("long").alias("at"),
-                F.when(r["role"] == escaped(F.lit(loss_role)), F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(t).cast("long").alias("length"))))).otherwise(a["spans"]).alias("spans"),
-            ),
-        )
-        return F.struct((of_run["at"] - len(SEP) + len(END)).cast("long").alias("at"), F.concat(acc["spans"], of_run["spans"]).alias("spans"))
-
-    spans = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), run_spans, lambda a: a["spans"])
+    under_loss = F.filter("turns", lambda t: t["role"] == escaped(F.lit(loss_role)))
+    spans = F.transform(under_loss, lambda t: F.struct(t["start"].alias("start"), F.length(t["text"]).cast("long").alias("length")))
     return own.select("conv_id", F.array_join(pieces, "").alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -87,7 +79,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     runs = F.filter(pieces(F.col("formatted"), END), lambda r, i: r != "")
 
     def turns_of(run: Column) -> Column:
-        head = pieces(F.substring(run, len(START) + 1, 1 << 30), BODY)
+        head = pieces(run.substr(F.lit(len(START) + 1), F.length(run)), BODY)
         return F.transform(pieces(head[1], SEP), lambda t: F.struct(unescaped(head[0]).alias("role"), unescaped(t).alias("text")))
 
     loss = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
