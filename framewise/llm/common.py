@@ -6,13 +6,14 @@ import ctypes
 from collections.abc import Callable, Iterator
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import new_dir, shared_dir, written
 from ..shipping import ship
 
-__all__ = ["arrow_rows", "drop_ids", "new_dir", "released", "shared_dir", "table", "text_or_empty", "tidy", "trim", "unused_prefix", "written"]
+__all__ = ["arrow_rows", "drop_ids", "gathered", "new_dir", "released", "shared_dir", "table", "text_or_empty", "tidy", "trim", "unused_prefix", "written"]
 
 #: Rows of text in one Arrow batch: bounds a Python worker's memory together with Spark's byte limit.
 ARROW_ROWS = 256
@@ -23,10 +24,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Send the package to the executors and bound the rows of the Arrow batches that Python functions get."""
+def arrow_rows(spark: SparkSession) -> None:
+    """Send the package to the executors and bound the rows of the Arrow batches that Python functions get.
+
+    Plans run later than they are made, so all operators share one bound, which is
+    lowered once for the session and never raised; who wants larger batches
+    gathers them.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `rows`, the last one smaller."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, rows - n)
+            batch = batch.slice(part.num_rows)
+            held.append(part)
+            n += part.num_rows
+            if n == rows:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -44,8 +69,6 @@ def unused_prefix(df: DataFrame) -> str:
 
 def trim() -> None:
     """Give this worker's free memory back to the system: workers live on from stage to stage."""
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give_back:

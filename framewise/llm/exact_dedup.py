@@ -64,7 +64,7 @@ def frequent(hashed: DataFrame, counters: int = 1024) -> DataFrame:
         held = {k: v for k, v in found.held.items() if v > 1}
         yield pa.RecordBatch.from_arrays([pa.array([*held], pa.binary()), pa.array([*held.values()], pa.int64())], [DIGEST, "n"])
 
-    arrow_rows(hashed.sparkSession, 10_000)
+    arrow_rows(hashed.sparkSession)
     named = hashed.select(DIGEST).mapInArrow(summary, f"{DIGEST} binary, n long").groupBy(DIGEST).agg(F.sum("n").alias("n"))
     named = named.orderBy(F.desc("n"), DIGEST).limit(counters).select(DIGEST)
     exact = hashed.join(F.broadcast(named), DIGEST).groupBy(DIGEST)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyarrow import fs
+from collections.abc import Iterator
+
+import pyarrow.compute as pc
+from pyarrow import dataset, fs
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -39,6 +42,16 @@ class AtomicFile:
             self.system.delete_file(self.part)
 
 
+def parquet_rows(uri: str, where: pc.Expression | None = None) -> Iterator[dict]:
+    """The rows of a written table that meet a condition, one at a time, by the order of its files' names."""
+    system, path = opened(uri)
+    found = sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet"))
+    for name in found:
+        data = dataset.dataset(name, filesystem=system, format="parquet")
+        for batch in data.to_batches(filter=where, batch_size=1, use_threads=False, batch_readahead=0, fragment_readahead=0):
+            yield from batch.to_pylist()
+
+
 def read_stream(uri: str):
     """A readable stream over one file."""
     system, path = opened(uri)
