@@ -10,13 +10,15 @@ source, never a document.
 Every pass over a source is a permutation of its documents by a hash. The part
 pass takes documents in that order while the target holds, found without sorting
 a source: sums of 1,024 ranges of the hash give the range where the target is
-reached, and only that range is summed row by row. Each output block takes the
-same fraction of every source's stream, so that blocks have the target mix.
+reached, that range is cut into 1,024 again as often as rows are many, and only
+the last range, at most some thousands of rows of a source, is summed row by row.
+Each output block takes the same fraction of every source's stream, so that
+blocks have the target mix.
 
 Nulls and odd input: null text is empty, null source is a source of its own; a
 document's tokens are its words and one end, so empty texts count; rows that
 agree in source and doc_id stand and fall together; a null doc_id is an id like
-others; an empty table gives no rows; other columns are ignored, or kept by
+others; very long texts count whole; an empty table gives no rows; other columns are ignored, or kept by
 `mix`.
 """
 
@@ -29,7 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty, unused_prefix, written
 
-RANGES = 1024
+#: Ranges that one step cuts a range of the hash into: 2 ** STEP_BITS.
+STEP_BITS = 10
+#: Rows of a source's last range, if hashes are even.
+LAST_ROWS = 4096
 ROUNDS = 60
 
 
@@ -48,8 +53,9 @@ def _key(seed: int, number: Column) -> Column:
     return F.xxhash64(F.lit(seed), number.cast("int"), F.col("doc_id"))
 
 
-def _range(key: Column) -> Column:
-    return F.shiftrightunsigned(key, 54).cast("int")
+def _range(key: Column, bits: int) -> Column:
+    """The first bits of a hash, as a number."""
+    return F.shiftrightunsigned(key, 64 - bits)
 
 
 def weights(counted: DataFrame, repetition: float | None = None, entropy: float | None = None, budget: int | None = None) -> DataFrame:
@@ -97,28 +103,34 @@ def weights(counted: DataFrame, repetition: float | None = None, entropy: float
     return one.select(F.col("x.key").alias("key"), F.col("x.tokens").alias("tokens"), weight.alias("weight"), F.round(F.col("budget") * weight).cast("long").alias("target"), "exponent")
 
 
-def cuts(counted: DataFrame, weighed: DataFrame, seed: int) -> DataFrame:
-    """key, weight, whole (passes), stream (passes, with the part) and where the part pass ends: range, hash and doc_id."""
+def cuts(counted: DataFrame, weighed: DataFrame, seed: int) -> tuple[DataFrame, int]:
+    """key, weight, whole (passes), stream (passes, with the part) and where the part pass ends: range, hash and doc_id; and the bits of a range."""
     part = weighed.select("key", "weight", (F.col("target") / F.col("tokens")).alias("stream"), F.expr("target div tokens").cast("int").alias("whole"), F.expr("target % tokens").alias("rest"))
-    own = counted.join(part.filter("rest > 0").select("key", "whole", "rest"), "key").withColumn("hash", _key(seed, F.col("whole"))).withColumn("range", _range(F.col("hash")))
-    sums = own.groupBy("key", "range", "rest").agg(F.sum("tokens").alias("sum"))
-    upto = F.sum("sum").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
-    edge = sums.withColumn("upto", upto).filter("upto > rest and upto - sum <= rest").select("key", "range", (F.col("upto") - F.col("sum")).alias("before"))
-    inside = own.join(edge, ["key", "range"])
+    own = counted.join(part.filter("rest > 0").select("key", "whole", "rest"), "key").withColumn("hash", _key(seed, F.col("whole")))
+    steps = max(1, math.ceil(math.log2(max(1, counted.count()) / LAST_ROWS) / STEP_BITS))
+    # The range where the target is reached, cut again and again; `before` is what the ranges before it hold.
+    edge = part.filter("rest > 0").select(F.col("key").alias("of"), F.lit(0).cast("long").alias("edge"), F.lit(0).cast("long").alias("before"))
+    inside = own.join(edge, F.col("key") == F.col("of"))
+    for bits in range(STEP_BITS, steps * STEP_BITS + 1, STEP_BITS):
+        sums = inside.withColumn("range", _range(F.col("hash"), bits)).groupBy("key", "range", "rest", "before").agg(F.sum("tokens").alias("sum"))
+        upto = F.col("before") + F.sum("sum").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+        reached = sums.withColumn("upto", upto).filter("upto > rest and upto - sum <= rest")
+        edge = written(reached.select(F.col("key").alias("of"), F.col("range").alias("edge"), (F.col("upto") - F.col("sum")).alias("before")), "mix-edges")
+        inside = own.join(edge, (F.col("key") == F.col("of")) & (_range(F.col("hash"), bits) == F.col("edge")))
     # A frame by value: rows that agree in hash and doc_id are summed together.
     reached = F.col("before") + F.sum("tokens").over(Window.partitionBy("key").orderBy("hash", "doc_id").rangeBetween(Window.unboundedPreceding, 0))
     last = inside.withColumn("reached", reached).filter("reached <= rest").groupBy("key").agg(F.max(F.struct("hash", "doc_id")).alias("last"))
-    return part.join(edge.select("key", F.col("range").alias("edge")), "key", "left").join(last, "key", "left")
+    return part.join(edge.select(F.col("of").alias("key"), "edge"), "key", "left").join(last, "key", "left"), steps * STEP_BITS
 
 
-def realised(docs: DataFrame, cut: DataFrame, seed: int) -> tuple[DataFrame, str]:
+def realised(docs: DataFrame, cut: DataFrame, bits: int, seed: int) -> tuple[DataFrame, str]:
     """`docs` (with doc_id and source) once for each pass that takes the row; helper columns pass, hash and stream have the prefix returned."""
     pre = unused_prefix(docs)
     held = {c: F.col(pre + c) for c in ("whole", "stream", "edge", "last", "pass")}
     own = docs.withColumn(pre + "key", _source_key())
     own = own.join(cut.select(*(F.col(c).alias(pre + c) for c in ("key", "whole", "stream", "edge", "last"))), pre + "key")
     hash_ = _key(seed, held["whole"])
-    range_ = _range(hash_)
+    range_ = _range(hash_, bits)
     last = held["last"]
     before = (hash_ < last["hash"]) | ((hash_ == last["hash"]) & (F.coalesce(F.col("doc_id") <= last["doc_id"], F.col("doc_id").isNull())))
     taken = (range_ < held["edge"]) | ((range_ == held["edge"]) & F.coalesce(before, F.lit(False)))
@@ -128,18 +140,19 @@ def realised(docs: DataFrame, cut: DataFrame, seed: int) -> tuple[DataFrame, str
     return own, pre
 
 
-def _prepared(docs: DataFrame, seed: int, **target) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _prepared(docs: DataFrame, seed: int, **target) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     counted = written(docs.select("doc_id", "source", _source_key().alias("key"), word_tokens().alias("tokens")), "mix-tokens")
     weighed = written(weights(counted, **target), "mix-weights")
-    return counted, weighed, written(cuts(counted, weighed, seed), "mix-cuts")
+    cut, bits = cuts(counted, weighed, seed)
+    return counted, weighed, written(cut, "mix-cuts"), bits
 
 
 def plan_mix(docs: DataFrame, seed: int = 17, block_tokens: int = 1 << 20, **target) -> DataFrame:
     """doc_id, source, pass, block, order_key, tokens of every document taken; order by block and order_key is the mixed order."""
-    counted, weighed, cut = _prepared(docs, seed, **target)
+    counted, weighed, cut, bits = _prepared(docs, seed, **target)
     budget = weighed.agg(F.sum("target")).first()[0] or 0
     blocks = max(1, math.ceil(budget / block_tokens))
-    own, pre = realised(counted, cut, seed)
+    own, pre = realised(counted, cut, bits, seed)
     # The hash as a fraction of the pass, its sign bit turned so that ranges ascend.
     fraction = F.shiftrightunsigned(pre + "hash", 11).cast("double") / float(1 << 53)
     block = F.least(F.floor((F.col(pre + "pass") + fraction) / F.col(pre + "stream") * blocks), F.lit(blocks - 1)).cast("long")
@@ -148,5 +161,5 @@ def plan_mix(docs: DataFrame, seed: int = 17, block_tokens: int = 1 << 20, **tar
 
 def mix(docs: DataFrame, seed: int = 17, **target) -> DataFrame:
     """The documents' rows, each as often as the mix takes it."""
-    _, _, cut = _prepared(docs, seed, **target)
-    return realised(docs, cut, seed)[0].select(*(F.col(f"`{c}`") for c in docs.columns))
+    _, _, cut, bits = _prepared(docs, seed, **target)
+    return realised(docs, cut, bits, seed)[0].select(*(F.col(f"`{c}`") for c in docs.columns))
