@@ -8,9 +8,9 @@ histogram whose size doesn't depend on the corpus: each step places a run of
 equal items into a run of equal bins. Documents then find their place by their
 rank among pieces of the same length, in parallel.
 
-Nulls and odd input: null or empty text is the end id alone; null doc_ids and
-rows that share one are all packed; an empty table gives no rows; other columns
-are ignored.
+Nulls and odd input: null or empty text is the end id alone; very long texts are
+cut into pieces, whole; null doc_ids and rows that share one are all packed; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -129,22 +129,23 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return sorted(slots)
 
 
-def pack(found: DataFrame, capacity: int, spread: int = 64) -> DataFrame:
+def pack(found: DataFrame, capacity: int, rows_per_part: int = 500_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (a written table with doc_id, piece, length).
 
-    Ranks within a length are counted in `spread` parts, so that a length which
-    a third of all pieces share isn't ranked in one task.
+    Ranks within a length are counted in parts of about `rows_per_part` rows, so
+    that a length which a third of all pieces share isn't ranked in one task.
     """
     spark = found.sparkSession
     histogram = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = np.array(plan(histogram, capacity), np.int64).reshape(-1, 5)
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(spread)).cast("int")
-    dealt = found.withColumn("_part", part)
+    # The parts of all lengths number at most capacity + pieces / rows_per_part; there is no larger broadcast here.
+    parts = spark.createDataFrame([(n, -(-c // rows_per_part)) for n, c in histogram.items()], "_length long, _parts long")
+    number = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_parts"))
+    dealt = found.join(F.broadcast(parts), F.col("length") == F.col("_length")).withColumn("_part", number).drop("_length", "_parts")
     counts = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inner = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
-    # At most capacity * spread rows, whatever the corpus.
     ranked = dealt.withColumn("_rank", F.row_number().over(inner) - 1).join(F.broadcast(counts), ["length", "_part"])
     ranked = ranked.select(*found.columns, (F.col("_rank") + F.col("_before")).alias("_rank"))
     shared = spark.sparkContext.broadcast(slots)
