@@ -32,25 +32,25 @@ class EliasFano:
         return cls(n, low_bits, np.packbits(low.astype(np.uint8).ravel()), np.packbits(bits), ones[::SAMPLE].astype("<u4" if len(bits) < 2**32 else "<u8"))
 
     def block(self, j: int) -> np.ndarray:
-        """Values j * SAMPLE and on, SAMPLE of them or as many as there are."""
+        """Values j * SAMPLE and on, SAMPLE of them or as many as there are, unsigned."""
         first = j * SAMPLE
         count = min(SAMPLE, self.n - first)
         start = int(self.samples[j])
         end = int(self.samples[j + 1]) if j + 1 < len(self.samples) else len(self.high) * 8
         found = np.flatnonzero(np.unpackbits(self.high[start // 8 : (end + 7) // 8])) + start // 8 * 8
         ones = found[found >= start][:count]
-        value = (ones - np.arange(first, first + count)) << self.low_bits
+        value = (ones - np.arange(first, first + count)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
             a, b = first * self.low_bits, (first + count) * self.low_bits
             bits = np.unpackbits(self.low[a // 8 : (b + 7) // 8])[a % 8 : a % 8 + b - a].reshape(count, self.low_bits)
-            value = value + bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            value = value + bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
         return value
 
     def __getitem__(self, i: int) -> int:
         return int(self.block(i // SAMPLE)[i % SAMPLE])
 
     def values(self) -> np.ndarray:
-        return np.concatenate([self.block(j) for j in range(len(self.samples))]) if self.n else np.zeros(0, np.int64)
+        return np.concatenate([self.block(j) for j in range(len(self.samples))]) if self.n else np.zeros(0, np.uint64)
 
     def bits(self) -> int:
         """Bits that the encoded sequence takes."""

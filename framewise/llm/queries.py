@@ -51,8 +51,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = token_store.write_corpus(table(spark, sf_dir, "documents"), tokenizer_path())
-    return token_store.read_corpus(spark, files)
+    return token_store.read_corpus(token_store.write_corpus(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

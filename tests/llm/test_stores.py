@@ -66,10 +66,11 @@ def test_token_files_round_trip(spark, documents, edge, nothing):
             want.append((doc_id, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
             start += len(x)
         files = token_store.write_corpus(df, PATH)
-        assert sorted(rows(token_store.read_corpus(spark, files)), key=lambda r: r[1]) == want
-    one = token_store.TokenFile(files[-1][0])
-    assert [one.document(i).tolist() for i in range(one.footer["n_docs"])] == [x.tolist() for *_, x in one.documents()]
-    assert token_store.read_corpus(spark, token_store.write_corpus(nothing, PATH)).count() == 0
+        assert sorted(rows(token_store.read_corpus(files)), key=lambda r: r[1]) == want
+    one = token_store.TokenFile(files.orderBy(F.desc("before")).first().uri)
+    own = [*one.documents()]
+    assert [(one.doc_id(i), one.document(i).tolist()) for i in range(one.footer["n_docs"])] == [(d, x.tolist()) for d, _, x in own]
+    assert token_store.read_corpus(token_store.write_corpus(nothing, PATH)).count() == 0
 
 
 @given(st.lists(st.integers(1, 60), max_size=200), st.integers(10, 60))
@@ -120,18 +121,61 @@ def test_archives_round_trip(spark):
     body = "x" * 1500
     data = [(1, "http://a", body, 0), (2, None, body, 0), (9, "http://é/\n", body, 0), (9, "http://b", body, 0), (3, "u", "short", 0), (4, "u", "short", 0), (5, "u", None, 0), (None, "u", body, 0)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, winner int")
-    got = rows(warc.read_archives(spark, warc.write_archives(pages)))
+    got = rows(warc.read_archives(warc.write_archives(pages)))
     sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
     want = [(1, 1500, sha(body), "revisit", 9), (2, 1500, sha(body), "revisit", 9), (9, 1500, sha(body), "response", None), (9, 1500, sha(body), "revisit", 9), (None, 1500, sha(body), "revisit", 9)]
     want += [(3, 5, sha("short"), "response", None), (4, 5, sha("short"), "response", None), (5, 0, sha(""), "response", None)]
     assert Counter(got) == Counter(want)
-    assert warc.read_archives(spark, warc.write_archives(pages.filter("page_id = 77"))).count() == 0
+    assert warc.read_archives(warc.write_archives(pages.filter("page_id = 77"))).count() == 0
+
+
+def plain_records(path):
+    """A reader of its own: all members of a file at once, headers and blocks by Content-Length."""
+    import gzip
+
+    data, at = gzip.open(path).read(), 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        version, *lines = data[at:end].decode("ascii").split("\r\n")
+        assert version == "WARC/1.1"
+        headers = dict(x.split(": ", 1) for x in lines)
+        at = end + 4 + int(headers["Content-Length"])
+        assert data[at : at + 4] == b"\r\n\r\n"
+        yield headers, data[end + 4 : at]
+        at += 4
+
+
+def test_archives_read_by_another_reader(spark):
+    long = "é" * 3_000_000
+    data = [(1, "http://a/é x\n", long, 0), (2, "http://b", long, 0), (2, "http://b", long, 0), (2, "http://a", long, 0), (3, "u", "short", 0), (3, "u", "short", 0), (None, None, long, 0)]
+    files = warc.write_archives(spark.createDataFrame(data, "page_id long, url string, html string, first int"), date="2020-01-02T03:04:05Z")
+    found = [r for f in files.collect() for r in plain_records(f.uri.removeprefix("file://"))]
+    assert all(h["WARC-Date"] == "2020-01-02T03:04:05Z" and len(h["WARC-Record-ID"]) == 47 for h, _ in found)
+    ids = [h["WARC-Record-ID"] for h, _ in found]
+    assert len({*ids}) == len(ids)
+    pages = [(h, b) for h, b in found if h["WARC-Type"] != "warcinfo"]
+    full = [h for h, b in pages if b == long.encode()]
+    assert len(pages) == len(data) and len(full) == 1 and full[0]["X-Page-ID"] == "2" and full[0]["WARC-Target-URI"] == "http://a"
+    revisits = [h for h, _ in pages if h["WARC-Type"] == "revisit"]
+    assert sorted(h.get("X-Page-ID", "") for h in revisits) == ["", "1", "2", "2"]
+    assert {h["WARC-Refers-To"] for h in revisits} == {full[0]["WARC-Record-ID"]} and {h["WARC-Payload-Digest"] for h in revisits} == {full[0]["WARC-Payload-Digest"]}
+    assert [h["WARC-Target-URI"] for h in revisits if h.get("X-Page-ID") == "1"] == ["http://a/%C3%A9%20x%0A"]
+    assert Counter(rows(warc.read_archives(files), "page_id", "payload_bytes", "refers_to")) == Counter([(3, 5, None)] * 2 + [(2, 6_000_000, None)] + [(p, 6_000_000, 2) for p in (1, 2, 2, None)])
+
+
+def test_a_revisit_without_its_response_is_noticed(spark, tmp_path):
+    sha = hashlib.sha1(b"x").hexdigest()
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(warc.page_record("<urn:uuid:1>", "2020-01-01T00:00:00Z", 1, "u", b"", sha, "<urn:uuid:2>"))
+    with pytest.raises(Exception, match="a revisit names no response"):
+        warc.read_archives(spark.createDataFrame([(f"file://{path}",)], "uri string")).collect()
 
 
 def test_damaged_archives_are_noticed():
-    good = warc.page_record(1, "u", b"hello", hashlib.sha1(b"hello").hexdigest(), 5, None)
+    record = lambda body: warc.page_record("<urn:uuid:1>", "2020-01-01T00:00:00Z", 1, "u", body, hashlib.sha1(b"hello").hexdigest(), None)
+    good = record(b"hello")
     assert [b for _, b in warc.records(io.BytesIO(good * 3))] == [b"hello"] * 3
-    bad = warc.page_record(1, "u", b"hallo", hashlib.sha1(b"hello").hexdigest(), 5, None)
+    bad = record(b"hallo")
     for data in (good[:-5], bad, warc.member([("WARC-Type", "response")], b"")[:20]):
         with pytest.raises((warc.DamagedArchive, zlib.error)):
             [*warc.records(io.BytesIO(data))]
@@ -139,6 +183,7 @@ def test_damaged_archives_are_noticed():
 
 CHATS = [
     (1, 0, "user", "a <|im_end|> b"), (1, 1, "user", "<\\|x [INST]"), (1, 2, "assistant", "<"), (1, 3, "assistant", "|im_sep|>"), (1, 4, "system", None), (1, 4, "system", None), (1, 5, None, "t"),
+    (4, 0, "user", "<|x"), (4, 0, "user", "<a"), (4, 0, "assistant", "[INST] z"), (4, 0, "assistant", "[A"), (5, 0, "assistant", "wörd " * 200_000), (5, 1, "user", "<|im_end|>" * 10_000),
     (2, 3, "assistant", "late"), (2, None, "user<|im_body|>", "early é"), (3, 0, "assistant", ""), (None, 1, "user", "lost"),
 ]
 
@@ -171,8 +216,8 @@ def test_search_equals_brute_force(spark):
     for q in (i for i in vectors if i % 10 == 0):
         best = sorted(((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q))[:7]
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    for block, per in ((64, 1), (1000, 8)):
-        got = topk.search(rows_, F.col("vec_id") % 10 == 0, 7, pivots=5, block=block, blocks_a_shard=per)
+    for block, first in ((64, 1), (1000, 2), (7, 0)):
+        got = topk.search(rows_, F.col("vec_id") % 10 == 0, 7, pivots=5, block=block, query_block=8, first_blocks=first, held=3)
         assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(want)
     assert topk.search(rows_.filter("vec_id = -5"), F.lit(True)).count() == 0
     assert topk.search(rows_.filter("vec_id < 3"), F.col("vec_id") == 0).count() == 2
@@ -203,6 +248,31 @@ def test_far_pivots_skip_nothing(spark):
     assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(want)
 
 
+def test_repeated_queries_are_answered_one_by_one(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [2.0, 2.0]), (3, [1.0, 3.0]), (3, [1.0, 3.0])], "vec_id long, embedding array<double>")
+    one = [(1, 1, 12288), (2, 2, 8192), (3, 3, 4096), (4, 3, 4096)]
+    two = [(1, 3, 12288), (2, 3, 12288), (3, 2, 8192), (4, 1, 4096)]
+    for k in (3, 4, 9):
+        got = topk.search(df, F.col("vec_id") == 20, k, block=2, query_block=1, first_blocks=1)
+        assert rows(got) == sorted((20, *r) for r in one[:k] + two[:k])
+
+
+def test_large_components_are_exact_or_refused(spark):
+    """Products beyond 2**53, where neighbouring scores are one number as doubles."""
+    a, b = 2.0**24, 2.0**24 + 1
+    vectors = {0: [a, b, 1.0], 1: [b, a, 0.015625], 2: [b, -a, 3.0], 3: [-1.0, 1.0, 0.0]}
+    df = spark.createDataFrame([*vectors.items()], "vec_id long, embedding array<double>")
+    whole = {i: [int(64 * x) for x in v] for i, v in vectors.items()}
+    want = []
+    for q in whole:
+        scores = sorted((-sum(x * y for x, y in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert rows(topk.search(df, F.lit(True), 5)) == sorted(want)
+    for far in (1e18, 1e10):
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            topk.search(spark.createDataFrame([(0, [far]), (1, [far])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+
+
 def mix_by_hand(counted, weights, seed, keys):
     """Passes of each (source, doc_id) by sorting every source's documents."""
     out = Counter()
