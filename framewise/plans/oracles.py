@@ -100,11 +100,16 @@ MP = f"mp as (select * from ({MOTO_PLATES}) where choice = 1)"
 MF = f"""{MP}, mf as (select m.video_id, m.frame, m.n_moto, coalesce(n.n_any, 0) as n_any, coalesce(n.n_geo, 0) as n_geo
   from (select video_id, frame, count(*) as n_moto from fx_vehicles where cls = 3 group by all) m
   left join (select video_id, frame, count(*) as n_any, count(*) filter (where geo) as n_geo from mp group by all) n using (video_id, frame))"""
-COVER = f"""cover as (select *, case when small then case when frac < 0.9 then 'micro' else 'small' end when frac <= 0 then 'uncovered' when frac < 0.9 then 'partial' else 'full' end as verdict,
+def cover_of(zones: str) -> str:
+    """Plates with the zone of a table (or subquery) that covers most of them."""
+    return f"""cover as (select *, case when small then case when frac < 0.9 then 'micro' else 'small' end when frac <= 0 then 'uncovered' when frac < 0.9 then 'partial' else 'full' end as verdict,
     case when not small and frac > 0 then {hypot('((x1 + x2) - (zx1 + zx2)) * cast(0.5 as double)', '((y1 + y2) - (zy1 + zy2)) * cast(0.5 as double)')} / greatest(cast(1 as double), cast(x2 - x1 as double)) end as "offset"
   from (select p.*, case when z.zord is null then cast(0 as double) else {covered('p.', 'z.')} end as frac, z.x1 as zx1, z.y1 as zy1, z.x2 as zx2, z.y2 as zy2, p.x2 - p.x1 < 12 or p.y2 - p.y1 < 6 as small,
       row_number() over (partition by p.video_id, p.frame, p.pord order by case when z.zord is null then cast(0 as double) else {covered('p.', 'z.')} end desc, z.zord) as choice
-    from fx_plates p left join ({SLOTS}) z using (video_id, frame) where p.conf >= 0.15) where choice = 1)"""
+    from fx_plates p left join {zones} z using (video_id, frame) where p.conf >= 0.15) where choice = 1)"""
+
+
+COVER = cover_of(f"({SLOTS})")
 POINTS = f"pts as (select video_id, track_id, frame, {cx('')} as cx, {cy('')} as cy, x2 - x1 as w from ({SLOTS}))"
 JITTER = """jit as (select video_id, track_id, frame, sqrt(px * px + py * py) as px, rel from (
   select video_id, track_id, frame, cx2 - cx * 2 + cx0 as px, cy2 - cy * 2 + cy0 as py, abs(w2 - w * 2 + w0) / greatest(cast(1 as double), cast(w as double)) as rel from (
@@ -161,7 +166,7 @@ def geometry_pairs() -> str:
   case {side} when 'r' then x2 when 'l' then vx1 end as rx1, case when {side} is not null then vy1 end as ry1, case {side} when 'r' then vx2 when 'l' then x1 end as rx2, case when {side} is not null then vy2 end as ry2,
   c.cx1, c.cy1, c.cx2, c.cy2
 from pv join (select video_id, frame, pord, ord, x1 as cx1, y1 as cy1, x2 as cx2, y2 as cy2 from {clamped}) c using (video_id, frame, pord, ord)""",
-        f"pv0 as (select p.video_id, p.frame, p.pord, p.x1, p.y1, p.x2, p.y2, v.ord, v.cls, {', '.join(f'v.{e} as v{e}' for e in E)} from fx_plates p join fx_vehicles v using (video_id, frame) where p.pord < 3)",
+        f"pv0 as (select p.video_id, p.frame, p.pord, p.x1, p.y1, p.x2, p.y2, v.ord, v.cls, {', '.join(f'v.{e} as v{e}' for e in E)} from fx_plates p join fx_vehicles v using (video_id, frame))",
         f"pv as (select *, ({cx('')} - vx1) / {vw} as px, ({cy('')} - vy1) / {vh} as py, {w('')} / {vw} as pw, {h('')} / {vh} as ph from pv0)",
     )
 
@@ -186,8 +191,8 @@ def dedupe_sql() -> str:
     return q(f"select video_id, frame, cast(place - 1 as int) as place, v.cls, v.x1, v.y1, v.x2, v.y2, v.conf from (select video_id, frame, unnest(r) as v, generate_subscripts(r, 1) as place from (select video_id, frame, {fold} as r from fx_vehicles group by all))")
 
 
-def bridge_sql() -> str:
-    """Gaps of slot tracks filled by pose, on the vehicle seen then."""
+def bridge_steps() -> tuple[tuple[str, ...], str]:
+    """Gaps of tracks `trk` filled by pose, on the vehicle seen then (`vs`): named steps and the last statement."""
     a, b = "a_", "b_"
     cols = [*E, "conf", "vx1", "vy1", "vx2", "vy2", "vcls", "frame"]
     vw = lambda p: f"greatest(cast(1 as double), cast({p}x2 - {p}x1 as double))"
@@ -196,10 +201,7 @@ def bridge_sql() -> str:
     mixed = [f"({m} + ({n} - {m}) * t)" for m, n in zip(pose(a), pose(b), strict=True)]
     ok = f"""gap between 0 and {P.max_gap} and (a_vcls = b_vcls or (a_vcls in (2, 3, 7) and b_vcls in (2, 3, 7) and gap <= {P.max_class_flip}))
       and ({same_vehicle("a_v", "b_v")} or gap <= {P.max_class_flip}) and {motion(a, b, "greatest(gap, 1)", "b_v")} and {area1(a)} / {area1(b)} <= {num(P.max_area_ratio)}"""
-    return q(
-        """select video_id, frame, cast(round_even(px - pw, 0) as int) as x1, cast(round_even(py - ph, 0) as int) as y1, cast(round_even(px + pw, 0) as int) as x2, cast(round_even(py + ph, 0) as int) as y2, conf, track_id from placed""",
-        f"vs as ({SURE})",
-        f"trk as (select video_id, frame, pord + 1 as track_id, {', '.join(c for c in cols if c != 'frame')} from ({OWNER}) where choice = 1 and pord < 3 and {TRACKABLE})",
+    steps = (
         f"prs as (select video_id, track_id, {', '.join(f'{c} as a_{c}, lead({c}) over k as b_{c}' for c in cols)} from trk window k as (partition by video_id, track_id order by frame))",
         f"gaps as (select *, b_frame - a_frame - 1 as gap from prs where b_frame is not null and b_frame - a_frame > 1)",
         f"miss as (select *, (frame - a_frame) / cast(b_frame - a_frame as double) as t from (select *, unnest(range(a_frame + 1, b_frame)) as frame from gaps where {ok}))",
@@ -210,6 +212,19 @@ def bridge_sql() -> str:
         f"""placed as (select video_id, cast(frame as int) as frame, track_id, a_conf * (1 - t) + b_conf * t as conf, lx1 + {mixed[0]} * {vw('l')} as px, ly1 + {mixed[1]} * {vh('l')} as py,
           greatest(cast(4 as double), {mixed[2]} * {vw('l')}) * 0.5 as pw, greatest(cast(4 as double), {mixed[3]} * {vh('l')}) * 0.5 as ph from liv where choice = 1)""",
     )
+    return steps, """select video_id, frame, cast(round_even(px - pw, 0) as int) as x1, cast(round_even(py - ph, 0) as int) as y1, cast(round_even(px + pw, 0) as int) as x2, cast(round_even(py + ph, 0) as int) as y2, conf, track_id from placed"""
+
+
+def bridge_sql() -> str:
+    """Gaps of slot tracks."""
+    cols = [*E, "conf", "vx1", "vy1", "vx2", "vy2", "vcls"]
+    steps, body = bridge_steps()
+    return q(
+        body,
+        f"vs as ({SURE})",
+        f"trk as (select video_id, frame, pord + 1 as track_id, {', '.join(cols)} from ({OWNER}) where choice = 1 and pord < 3 and {TRACKABLE})",
+        *steps,
+    )
 
 
 def plan_sql() -> str:

@@ -52,7 +52,7 @@ def _slot_tracks(s: SparkSession, d: str) -> DataFrame:
 
 
 def geometry_pairs(s: SparkSession, d: str) -> DataFrame:
-    p = _plates(s, d).filter("pord < 3")
+    p = _plates(s, d)
     v = _vehicles(s, d).select(*KEY, "ord", "cls", *(F.col(c).alias(f"v{c}") for c in BOX))
     a, b = g.columns(), g.columns("v")
     gap = F.col("ord")
@@ -371,7 +371,7 @@ def replay_index(s: SparkSession, d: str) -> DataFrame:
     return _frames(s, d).select(*KEY, at.alias("at"), fits.alias("fits"))
 
 
-# Sequential operators: no plain SQL gives these
+# Sequential operators
 
 
 class Tables:

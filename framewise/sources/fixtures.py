@@ -45,8 +45,8 @@ z as (select video_id, frame, 30 as pord, 2500 as x1, 40 as y1, 30 as w, 20 as h
 u as (select * from a union all select * from n union all select * from o union all select * from z)
 select video_id, frame, pord, x1, y1, x1 + w as x2, y1 + h as y2, conf, src from u"""
 
-#: The tables as leading common table expressions of a statement.
-CTE = f"with fx_frames as ({FX_FRAMES}), fx_vehicles as ({FX_VEHICLES}), fx_plates as ({FX_PLATES})"
+#: The tables as leading common table expressions of a statement, each worked out once.
+CTE = f"with fx_frames as materialized ({FX_FRAMES}), fx_vehicles as materialized ({FX_VEHICLES}), fx_plates as materialized ({FX_PLATES})"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
