@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from functools import wraps
 
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..shared import new_dir, shared_dir, written
 from ..shipping import ship
 
-__all__ = ["arrow_rows", "drop_ids", "gathered", "new_dir", "released", "shared_dir", "table", "text_or_empty", "tidy", "trim", "unused_prefix", "written"]
+__all__ = ["arrow_rows", "drop_ids", "gathered", "kept", "new_dir", "released", "shared_dir", "table", "text_or_empty", "tidy", "trim", "unused_prefix", "written"]
 
 #: Rows of text in one Arrow batch: bounds a Python worker's memory together with Spark's byte limit.
 ARROW_ROWS = 256
@@ -86,6 +86,18 @@ def released(read: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     return run
 
 
+_kept: dict = {}
+
+
+def kept(name: Hashable, make: Callable):
+    """What a worker keeps from task to task: one thing, let go when a task asks for another."""
+    if name not in _kept:
+        _kept.clear()
+        trim()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def tidy(reduce: Callable) -> Callable:
     """A function of a group that trims after each."""
 

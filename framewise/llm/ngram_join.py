@@ -3,10 +3,12 @@
 A document's set holds the hashes of its distinct n-word shingles. Documents
 with equal sets form a class, and classes are joined:
 
-1. Shingles are dealt by value in packed blocks. Those that one class alone
-   holds can't be in an intersection: they only count. The others return to
-   their classes with their document frequency. Very frequent ones are found
-   before by Misra-Gries summaries and stay where they are, so none is gathered.
+1. Shingles are dealt by value in packed blocks, chunk of documents by chunk.
+   Those that one set alone holds can't be in an intersection: they only count.
+   The others return to their chunks with their frequency. Very frequent ones are
+   found before by Misra-Gries summaries and stay where they are, so none is
+   gathered. (Copies in several chunks make their shingles look shared, which
+   costs work and changes nothing.)
 2. A class that misses more shingles than its size allows has no partner. Of the
    rest, the shared shingles in ascending frequency form a prefix, extended until
    a partner must share either a rare one (index: the shingle), or k shingles of
@@ -55,10 +57,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, drop_ids, released, tidy, unused_prefix, written
+from .common import arrow_rows, drop_ids, kept, released, tidy, unused_prefix, written
 
 BITS = 48
 #: Frequencies are coded by bit length; from this code on a shingle is frequent (64 classes or more).
@@ -73,18 +76,17 @@ BLOCK_ROWS, BLOCK_BYTES = 512, 4_000_000
 DENSE = 16
 WORDS_CAP = 200_000
 
-_hashes: dict[bytes, int] = {}
-
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    new = {*words}.difference(_hashes)
+    known: dict[bytes, int] = kept("word hashes", dict)
+    new = {*words}.difference(known)
     if new:
-        if len(_hashes) + len(new) > WORDS_CAP:
-            _hashes.clear()
+        if len(known) + len(new) > WORDS_CAP:
+            known.clear()
             new = {*words}
         for w in new:
-            _hashes[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+            known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -135,9 +137,10 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
 # Classes and the most frequent shingles
 
 SETS = "doc_id long, n long, class binary, hot long, n_docs long"
-#: Shingles that a worker gathers before it sorts them, and those of a bucket of shingle values.
+#: Shingles (and at most so many sets) that a worker gathers to a chunk, and shingles of a bucket of values.
 CHUNK = 1_000_000
-BUCKET_ENTRIES = 1_000_000
+CHUNK_SETS = 1 << 16
+BUCKET_ENTRIES = 500_000
 
 
 class Summary:
@@ -203,48 +206,48 @@ def most_frequent(described: DataFrame, n_docs: int) -> np.ndarray:
     return np.sort(np.array([r.hot for r in found], np.uint64))
 
 
-# Shared shingles of each class. Names are digests as pairs of 64-bit numbers.
+# Shared shingles of each class
 
-PACKED = "key int, classes binary, sizes binary, holders binary, shingles binary, codes binary"
+#: Entries of a key, chunk by chunk: which set of the chunk holds which shingle. A chunk's own row has its names and sizes too.
+PACKED = "key int, chunks binary, counts binary, holders binary, shingles binary, codes binary, names binary, sizes binary"
 CLASSES = "class binary, n long, shared long, shingles binary, codes binary"
 #: Up to so many keys, rows are dealt in one step.
 FAN = 1024
 
 
 class Entries:
-    """(holder, shingle, code) with the holders' names and sizes."""
+    """Entries (chunk, holder, shingle, code): `chunks` are numbers, a holder is a set's place in its chunk."""
 
-    def __init__(self, names: np.ndarray, sizes: np.ndarray, holders: np.ndarray, values: np.ndarray, codes: np.ndarray):
-        self.names, self.sizes, self.holders, self.values, self.codes = names, sizes, holders, values, codes
+    def __init__(self, chunks: np.ndarray, holders: np.ndarray, values: np.ndarray, codes: np.ndarray):
+        self.chunks, self.holders, self.values, self.codes = chunks, holders, values, codes
 
     @classmethod
     def read(cls, rows: list[dict]) -> Entries:
-        """Those of packed rows, each name once."""
-        names = np.concatenate([np.frombuffer(r["classes"], "<u8").reshape(-1, 2) for r in rows])
-        sizes = np.concatenate([np.frombuffer(r["sizes"], "<u4") for r in rows])
-        counts = [len(r["sizes"]) // 4 for r in rows]
-        before = np.cumsum([0, *counts[:-1]])
-        holders = np.concatenate([np.frombuffer(r["holders"], _holder_dtype(n)).astype(np.int64) + b for r, n, b in zip(rows, counts, before, strict=True)])
-        order = np.lexsort((names[:, 1], names[:, 0]))
-        names = names[order]
-        fresh = np.append(True, (names[1:] != names[:-1]).any(1))
-        at = np.empty(len(order), np.int64)
-        at[order] = np.cumsum(fresh) - 1
-        return cls(names[fresh], sizes[order][fresh], at[holders], np.concatenate([_unplanes(r["shingles"]) for r in rows]), np.concatenate([np.frombuffer(r["codes"], np.uint8) for r in rows]))
-
-    def packed(self, keys: np.ndarray, order: np.ndarray) -> pa.RecordBatch:
-        """A row for each key that occurs; `order` sorts by key first."""
-        keys, holders, values, codes = keys[order], self.holders[order], self.values[order], self.codes[order]
+        """Those of packed rows."""
+
+        def joined(name: str, kind: str) -> np.ndarray:
+            return np.frombuffer(b"".join(r[name] for r in rows), kind)
+
+        values = np.concatenate([np.zeros(0, np.uint64), *(_unplanes(r["shingles"]) for r in rows)])
+        return cls(np.repeat(joined("chunks", "<i8"), joined("counts", "<u4")), joined("holders", "<u2"), values, joined("codes", "u1"))
+
+    def taken(self, at: np.ndarray) -> Entries:
+        return Entries(self.chunks[at], self.holders[at], self.values[at], self.codes[at])
+
+    def packed(self, keys: np.ndarray) -> list[tuple]:
+        """A row for each key that occurs; entries are in order of key and chunk."""
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         rows = []
-        for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True) if len(keys) else ():
-            present, at = np.unique(holders[a:b], return_inverse=True)
-            rows.append((int(keys[a]), self.names[present].tobytes(), self.sizes[present].tobytes(), at.astype(_holder_dtype(len(present))).tobytes(), _planes(values[a:b]), codes[a:b].tobytes()))
-        return _batch(PACKED, [*zip(*rows, strict=True)] or [[]] * 6)
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True) if len(keys) else ():
+            own = self.chunks[a:b]
+            starts = np.append(0, np.flatnonzero(own[1:] != own[:-1]) + 1)
+            counts = np.diff(np.append(starts, b - a)).astype("<u4")
+            rows.append((int(keys[a]), own[starts].tobytes(), counts.tobytes(), self.holders[a:b].tobytes(), _planes(self.values[a:b]), self.codes[a:b].tobytes(), None, None))
+        return rows
 
 
-def _holder_dtype(n: int):
-    return np.uint16 if n <= 65536 else np.uint32
+def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return _batch(PACKED, [*zip(*rows, strict=True)] or [[]] * 8)
 
 
 def _step(keys: int) -> int:
@@ -253,15 +256,13 @@ def _step(keys: int) -> int:
 
 
 def _by_value(entries: Entries, buckets: int) -> np.ndarray:
-    """The bucket of each shingle, ascending with it; very frequent ones go anywhere, evenly."""
-    found = (((entries.values >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(BITS - 16)).astype(np.int64)
-    hot = np.flatnonzero(entries.codes == HOT)
-    found[hot] = np.arange(len(hot)) * buckets // max(1, len(hot))
-    return found
+    """The bucket of each shingle, ascending with it."""
+    return (((entries.values >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(BITS - 16)).astype(np.int64)
 
 
-def _by_name(entries: Entries, parts: int) -> np.ndarray:
-    return (entries.names[:, 0] % np.uint64(parts)).astype(np.int64)[entries.holders]
+def _by_chunk(entries: Entries, parts: int) -> np.ndarray:
+    """The part of each entry's chunk."""
+    return (_mix(entries.chunks.astype(np.uint64), 7) % np.uint64(parts)).astype(np.int64)
 
 
 def regrouped(packed: DataFrame, keys: int, key_of: Callable[[Entries, int], np.ndarray]) -> DataFrame:
@@ -270,6 +271,15 @@ def regrouped(packed: DataFrame, keys: int, key_of: Callable[[Entries, int], np.
     if step == 1:
         return packed
 
+    def again(rows: list[dict]) -> pa.RecordBatch:
+        found = Entries.read([r for r in rows if r["names"] is None])
+        own = key_of(found, keys)
+        order = np.lexsort((found.values, found.holders, found.chunks, own))
+        whole = [r for r in rows if r["names"] is not None]
+        for r in whole:
+            r["key"] = int(key_of(Entries(np.frombuffer(r["chunks"], "<i8"), *[np.zeros(1, np.uint64)] * 3), keys)[0])
+        return _packed_batch(found.taken(order).packed(own[order]) + [tuple(r.values()) for r in whole])
+
     def read(batches):
         held: list[dict] = []
         n = 0
@@ -282,100 +292,98 @@ def regrouped(packed: DataFrame, keys: int, key_of: Callable[[Entries, int], np.
         if held:
             yield again(held)
 
-    def again(rows: list[dict]) -> pa.RecordBatch:
-        found = Entries.read(rows)
-        own = key_of(found, keys)
-        # Very frequent shingles have no bucket of their own: they stay among those of the first step.
-        own = np.where(own // step == rows[0]["key"], own, np.minimum(rows[0]["key"] * step + np.arange(len(own)) % step, keys - 1))
-        return found.packed(own, np.lexsort((found.values, own)))
-
-    salt = F.pmod(F.xxhash64("classes"), F.lit(step)).cast("int")
+    salt = F.pmod(F.xxhash64("chunks"), F.lit(step)).cast("int")
     return packed.repartition(F.col("key"), salt).sortWithinPartitions("key").mapInArrow(released(read), PACKED)
 
 
 def deal(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Packed entries of a chunk of documents for each bucket of shingle values."""
+    """The entries of a chunk of documents for each bucket of shingle values; very frequent ones stay in the chunk's own row.
+
+    Equal sets are one within a chunk, and several in several chunks.
+    """
     shared, step, chunk = docs.sparkSession.sparkContext.broadcast(hot), _step(buckets), CHUNK
 
-    def pack(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+    def pack(sets: dict[bytes, np.ndarray], number: int) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets.values()], np.uint32)
         values = np.concatenate([*sets.values()]) >> np.uint64(64 - BITS)
-        codes = np.isin(values, shared.value).astype(np.uint8) * np.uint8(HOT) if len(shared.value) else np.zeros(len(values), np.uint8)
-        found = Entries(np.frombuffer(b"".join(sets), "<u8").reshape(-1, 2), sizes, np.repeat(np.arange(len(sets)), sizes), values, codes)
-        keys = _by_value(found, buckets) // step
-        return found.packed(keys, np.lexsort((values, keys)) if len(shared.value) else np.argsort(values, kind="stable"))
+        order = np.argsort(values, kind="stable")
+        found = Entries(np.full(len(values), number), np.repeat(np.arange(len(sets)), sizes).astype("<u2")[order], values[order], np.zeros(len(values), np.uint8))
+        frequent = np.isin(found.values, shared.value) if len(shared.value) else np.zeros(len(values), bool)
+        rare, often = found.taken(~frequent), found.taken(frequent)
+        one = np.array([number], "<i8")
+        row = (int(_by_value(Entries(one, one, _mix(one.astype(np.uint64), 11) >> np.uint64(64 - BITS), one), buckets)[0]) // step, one.tobytes(), np.array([len(often.values)], "<u4").tobytes())
+        row += (often.holders.tobytes(), _planes(often.values), np.full(len(often.values), HOT, np.uint8).tobytes(), b"".join(sets), sizes.tobytes())
+        return _packed_batch(rare.packed(_by_value(rare, buckets) // step) + [row])
 
     def read(batches):
         sets: dict[bytes, np.ndarray] = {}
-        held = 0
+        held, number = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 found = shingles(text, width)
                 if len(found) and (name := set_digest(found)) not in sets:
                     sets[name] = found
                     held += len(found)
-            if held >= chunk:
-                yield pack(sets)
-                sets, held = {}, 0
+                if held >= chunk or len(sets) == CHUNK_SETS:
+                    yield pack(sets, number)
+                    sets, held, number = {}, 0, number + 1
         if sets:
-            yield pack(sets)
+            yield pack(sets, number)
 
     arrow_rows(docs.sparkSession)
     return regrouped(docs.select("text").mapInArrow(released(read), PACKED), buckets, _by_value)
 
 
 def share(dealt: DataFrame, parts: int) -> DataFrame:
-    """Per bucket: shingles that several classes hold, with coded frequency, packed by part of the classes."""
+    """Per bucket: shingles that several sets hold, with coded frequency, for the part of each set's chunk."""
     step = _step(parts)
 
     def reduce(group: pa.Table) -> pa.Table:
-        found = Entries.read(group.to_pylist())
-        hot = np.flatnonzero(found.codes == HOT)
-        own = np.flatnonzero(found.codes != HOT)
-        own = own[np.argsort(found.values[own], kind="stable")]
+        rows = group.to_pylist()
+        found = Entries.read([r for r in rows if r["names"] is None])
+        own = np.argsort(found.values, kind="stable")
         values = found.values[own]
-        same = np.zeros(len(own), bool)
-        equal = values[1:] == values[:-1]
-        same[1:] |= equal
-        same[:-1] |= equal
-        own = own[same]
-        own = own[np.lexsort((found.holders[own], found.values[own]))]
-        values, holders = found.values[own], found.holders[own]
-        fresh = np.ones(len(own), bool)
-        fresh[1:] = (values[1:] != values[:-1]) | (holders[1:] != holders[:-1])
-        own, values = own[fresh], values[fresh]
         starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, int)
         counts = np.diff(np.append(starts, len(values)))
         counts = np.repeat(counts, counts)
         own, counts = own[counts > 1], counts[counts > 1]
-        taken = np.concatenate([own, hot])
-        codes = np.concatenate([np.ceil(np.log2(counts + 1)).astype(np.uint8), np.full(len(hot), HOT, np.uint8)])
-        kept = Entries(found.names, found.sizes, found.holders[taken], found.values[taken], codes)
-        part = _by_name(kept, parts) // step
-        return pa.Table.from_batches([kept.packed(part, np.lexsort((kept.values, kept.holders, part)))])
+        found = found.taken(own)
+        found.codes = np.ceil(np.log2(counts + 1)).astype(np.uint8)
+        part = _by_chunk(found, parts) // step
+        order = np.lexsort((found.values, found.holders, found.chunks, part))
+        whole = [r for r in rows if r["names"] is not None]
+        for r in whole:
+            r["key"] = int(_by_chunk(Entries(np.frombuffer(r["chunks"], "<i8"), *[np.zeros(1)] * 3), parts)[0]) // step
+        return pa.Table.from_batches([_packed_batch(found.taken(order).packed(part[order]) + [tuple(r.values()) for r in whole])])
 
-    return regrouped(dealt.groupBy("key").applyInArrow(tidy(reduce), PACKED), parts, _by_name)
+    return regrouped(dealt.groupBy("key").applyInArrow(tidy(reduce), PACKED), parts, _by_chunk)
 
 
 def gather(shared: DataFrame, num: int, den: int) -> DataFrame:
     """Classes that may have a partner: size, number of shared shingles, and those by ascending frequency."""
 
     def reduce(group: pa.Table) -> pa.Table:
-        found = Entries.read(group.to_pylist())
-        order = np.lexsort((found.values, found.codes, found.holders))
-        holders, values, codes = found.holders[order], found.values[order], found.codes[order]
-        # A hot shingle comes once for each chunk that holds a copy of its class.
-        fresh = np.ones(len(holders), bool)
-        fresh[1:] = (holders[1:] != holders[:-1]) | (values[1:] != values[:-1])
-        holders, values, codes = holders[fresh], values[fresh], codes[fresh]
+        rows = group.to_pylist()
+        whole = sorted((r for r in rows if r["names"] is not None), key=lambda r: np.frombuffer(r["chunks"], "<i8")[0])
+        sizes = [np.frombuffer(r["sizes"], "<u4") for r in whole]
+        names = b"".join(r["names"] for r in whole)
+        chunks = np.array([np.frombuffer(r["chunks"], "<i8")[0] for r in whole], np.int64)
+        before = np.cumsum([0, *(len(x) for x in sizes)])[:-1]
+        sizes = np.concatenate(sizes)
+        found = Entries.read(rows)
+        holders = before[np.searchsorted(chunks, found.chunks)] + found.holders
+        order = np.lexsort((found.values, found.codes, holders))
+        holders, values, codes = holders[order], found.values[order], found.codes[order]
         starts = np.flatnonzero(np.append(True, holders[1:] != holders[:-1])) if len(holders) else np.zeros(0, int)
         ends = np.append(starts[1:], len(holders))
-        n = found.sizes[holders[starts]].astype(np.int64)
+        n = sizes[holders[starts]].astype(np.int64)
         may = np.flatnonzero(n - (ends - starts) <= allowed(n, num, den))
-        rows = [(found.names[holders[starts[i]]].tobytes(), int(n[i]), int(ends[i] - starts[i]), values[starts[i] : ends[i]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes(), codes[starts[i] : ends[i]].tobytes()) for i in may]
-        return pa.Table.from_batches([_batch(CLASSES, [*zip(*rows, strict=True)] or [[]] * 5)])
+        raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
+        out = [(names[16 * h : 16 * h + 16], int(n[i]), int(ends[i] - starts[i]), raw[starts[i] : ends[i]].tobytes(), codes[starts[i] : ends[i]].tobytes()) for i, h in zip(may.tolist(), holders[starts[may]].tolist(), strict=True)]
+        return pa.Table.from_batches([_batch(CLASSES, [*zip(*out, strict=True)] or [[]] * 5)])
 
-    return shared.groupBy("key").applyInArrow(tidy(reduce), CLASSES)
+    # Copies of a set from several chunks are one class: their shared shingles and codes are the same.
+    return shared.groupBy("key").applyInArrow(tidy(reduce), CLASSES).dropDuplicates(["class"])
 
 
 def _values(raw: bytes) -> np.ndarray:
@@ -680,7 +688,7 @@ def _joined(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
     sets = described.filter("hot is null").select("doc_id", "n", "class")
     totals = sets.agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).first()
     hot = most_frequent(described, totals.docs)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (totals.shingles or 0) // BUCKET_ENTRIES + 1)
+    buckets = max(2 * spark.sparkContext.defaultParallelism, (totals.shingles or 0) // BUCKET_ENTRIES + 1)
     classes = written(gather(share(deal(docs, width, buckets, hot), buckets), num, den), "classes")
     entries = written(index(classes, num, den), "entries")
     links = written(verify(written(stars(entries, num, den), "pairs"), classes, num, den), "links")

@@ -15,6 +15,8 @@ import os
 
 import numpy as np
 
+from .common import kept
+
 SEPARATOR = b"\x01"
 #: Endings that always form a token group of their own after a letter or digit.
 ENDINGS = b".,|"
@@ -131,12 +133,6 @@ class WordTokenizer:
         return text.isalpha() and max(text) < "ƀ"
 
 
-_loaded: dict[tuple, WordTokenizer] = {}
-
-
 def tokenizer(path: str, cache_chunks: int = 300_000) -> WordTokenizer:
     """The worker's tokenizer for a file; workers are reused, and so is its cache."""
-    key = path, cache_chunks
-    if key not in _loaded:
-        _loaded[key] = WordTokenizer(path, cache_chunks)
-    return _loaded[key]
+    return kept((path, cache_chunks), lambda: WordTokenizer(path, cache_chunks))
