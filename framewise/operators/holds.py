@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections import defaultdict
 from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..schema import CONFUSED, DEFAULTS, MOTO, Params
-from ..shipping import ship
 from . import associate
-from .tracking import XYXY, apart, holds_middle, linkable, plausible, share
+from .tracking import XYXY, apart, cut_where, distance_over, holds_middle, in_segments, linkable, plausible, share, with_mark
 
 
 class Vehicle(NamedTuple):
@@ -42,7 +40,7 @@ def leftover(wide: XYXY, kept: XYXY, least: int = 16) -> XYXY | None:
 
 
 class Holder:
-    """Holds of one video: `Holder(frames, params).run()` gives each frame's vehicles."""
+    """Holds of one run of frames: `Holder(frames, params).run()` gives each frame's vehicles."""
 
     def __init__(self, frames: dict[int, list[Vehicle]], p: Params):
         self.seen, self.p = frames, p
@@ -62,16 +60,20 @@ class Holder:
         found = []
         for observed in groups.values():
             own: list[list[tuple[int, Vehicle]]] = []
+            # Chains that may still be continued, by their number.
+            open_: dict[int, list[tuple[int, Vehicle]]] = {}
             for frame, v in observed:
+                open_ = {n: chain for n, chain in open_.items() if frame - chain[-1][0] - 1 <= self.p.max_gap}
                 fit = []
-                for n, chain in enumerate(own):
+                for n, chain in open_.items():
                     last_frame, last = chain[-1]
                     if linkable(last.cls, last.box, v.cls, v.box, last.box, v.box, frame - last_frame - 1, self.p):
                         fit.append((apart(last.box, v.box), n))
                 if fit:
-                    own[min(fit)[1]].append((frame, v))
+                    open_[min(fit)[1]].append((frame, v))
                 else:
-                    own.append([(frame, v)])
+                    open_[len(own)] = [(frame, v)]
+                    own.append(open_[len(own)])
             found += own
         return found
 
@@ -131,21 +133,29 @@ class Holder:
         return {f: self.thin(vs) for f, vs in self.out.items()}
 
 
-def held(frames: DataFrame, vehicles: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """video_id, frame, ord, cls, box, conf, held. A whole video is one group, as chains look ahead to their end."""
-    ship(frames.sparkSession)
-    rows = frames.select("video_id", "frame").distinct().join(associate.vehicle_arrays(vehicles), ["video_id", "frame"], "left")
-    names = ["video_id", "frame", "ord", "cls", *g.Box._fields, "conf", "held"]
+def hold_segments(frames: DataFrame, vehicles: DataFrame, p: Params) -> DataFrame:
+    """video_id, frame, segment: a new one begins after a frame with vehicles where more than max_gap frames without any follow."""
+    own = with_mark(frames.select("video_id", "frame").distinct(), vehicles, "_v")
+    return cut_where(own, lambda order: F.lag("_v").over(order) & (F.coalesce(distance_over(F.col("_v"), order), F.lit(p.max_gap + 2)) > p.max_gap + 1))
 
-    def run(group: pa.Table) -> pa.Table:
-        video = group.column("video_id")[0].as_py()
-        frames = {r["frame"]: [Vehicle(v["cls"], (v["x1"], v["y1"], v["x2"], v["y2"]), v["conf"]) for v in r["vehicles"] or ()] for r in group.sort_by("frame").to_pylist()}
-        out = [(video, f, n, v.cls, *v.box, v.conf, v.held) for f, vs in Holder(frames, p).run().items() for n, v in enumerate(vs)]
-        types = [pa.int64(), *[pa.int32()] * 7, pa.float64(), pa.bool_()]
-        columns = [*zip(*out, strict=True)] if out else [[]] * len(names)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return rows.groupBy("video_id").applyInArrow(run, "video_id long, frame int, ord int, cls int, x1 int, y1 int, x2 int, y2 int, conf double, held boolean")
+def held(frames: DataFrame, vehicles: DataFrame, p: Params = DEFAULTS, by_segment: bool = True) -> DataFrame:
+    """video_id, frame, ord, cls, box, conf, held. Videos are cut where no chain and no split reaches over, as both look ahead."""
+    cut = hold_segments(frames, vehicles, p) if by_segment else frames.select("video_id", "frame").distinct().withColumn("segment", F.lit(0).cast("long"))
+    rows = cut.join(associate.vehicle_arrays(vehicles), ["video_id", "frame"], "left")
+
+    def begin():
+        seen: dict[int, list[Vehicle]] = {}
+
+        def step(frame, vehicles=()):
+            if frame is None:
+                return [(f, n, v.cls, *v.box, v.conf, v.held) for f, vs in Holder(seen, p).run().items() for n, v in enumerate(vs)]
+            seen[frame] = [Vehicle(cls, (x1, y1, x2, y2), conf) for cls, x1, y1, x2, y2, conf in vehicles]
+            return ()
+
+        return step
+
+    return in_segments(rows, "frame int, ord int, cls int, x1 int, y1 int, x2 int, y2 int, conf double, held boolean", {"vehicles": ("cls", *g.Box._fields, "conf")}, begin).drop("segment")
 
 
 def added(held_rows: DataFrame) -> DataFrame:

@@ -6,8 +6,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions.geometry import QUAD_ORDERS
+from . import associate
+from .tracking import cut_where, in_segments
 
 # Ratios to enter and to hold, frames held, steps of giving up.
 ENTER, HOLD, PATIENCE, STEPS = 0.75, 0.40, 10, 4
@@ -99,32 +104,43 @@ def nearest(quads: list[Quad], zone, reach: float = 0.5) -> int:
     return best if best >= 0 and far[best] <= reach * max(zone[2] - zone[0], zone[3] - zone[1], 1.0) else -1
 
 
-def quad_states(rows, by: str = "video_id"):
-    """Follow quads per video: rows with frame, zord, zone edges and `quad` (8 numbers or null); adds points, ratio and use."""
-    import pyarrow as pa
-
-    from ..shipping import ship
-
-    ship(rows.sparkSession)
-    names = [by, "frame", "zord", "points", "ratio", "used"]
-
-    def run(group: pa.Table) -> pa.Table:
-        known: list[Quad] = []
-        out = []
-        for r in group.sort_by([("frame", "ascending"), ("zord", "ascending")]).to_pylist():
-            zone = (r["x1"], r["y1"], r["x2"], r["y2"])
-            estimate = np.array(r["quad"], float).reshape(4, 2) if r["quad"] else None
-            n = nearest(known, zone)
-            if n < 0:
-                if estimate is None:
-                    continue
-                known.append(Quad(zone, estimate.astype(np.int32)))
-                n = len(known) - 1
-            quad = known[n]
-            used = quad.step(zone, estimate, float((zone[2] - zone[0]) * (zone[3] - zone[1])))
-            out.append((r[by], r["frame"], r["zord"], [int(v) for v in quad.points.ravel()], quad.ratio, used))
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.bool_()]
-        columns = [*zip(*out, strict=True)] if out else [[]] * len(names)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    return rows.groupBy(by).applyInArrow(run, f"{by} long, frame int, zord int, points array<int>, ratio double, used boolean")
+class QuadFollower:
+    """The quads of one run of frames; one that no zone takes up in the next frame is forgotten."""
+
+    def __init__(self):
+        self.frame: int | None = None
+        self.before: list[Quad] = []
+        self.now: list[Quad] = []
+
+    def step(self, frame: int, zones) -> list[tuple[int, list[int], float, bool]]:
+        """(zord, points, ratio, used) of the frame's zones (zord, x1, y1, x2, y2, quad or None) that have a quad."""
+        self.before = self.now if self.frame is not None and frame == self.frame + 1 else []
+        self.frame, self.now, out = frame, [], []
+        for zord, x1, y1, x2, y2, points in zones:
+            zone = (x1, y1, x2, y2)
+            estimate = np.array(points, float).reshape(4, 2) if points else None
+            n = nearest(self.before, zone)
+            if n < 0 and estimate is None:
+                continue
+            quad = self.before[n] if n >= 0 else Quad(zone, estimate.astype(np.int32))
+            used = quad.step(zone, estimate, float((x2 - x1) * (y2 - y1)))
+            if not any(q is quad for q in self.now):
+                self.now.append(quad)
+            out.append((zord, [int(v) for v in quad.points.ravel()], quad.ratio, used))
+        return out
+
+
+def quad_states(rows: DataFrame, by_segment: bool = True) -> DataFrame:
+    """Follow quads: rows with video_id, frame, zord, zone edges and `quad` (8 numbers or null); gives points, ratio and used.
+
+    Nothing is remembered over a frame without zones, so videos are cut there.
+    """
+    zones = associate.per_frame(rows, "zones", "zord", *g.Box._fields, "quad")
+    own = zones.select("video_id", "frame")
+    cut = cut_where(own, lambda order: F.col("frame") - F.lag("frame").over(order) > 1) if by_segment else own.withColumn("segment", F.lit(0).cast("long"))
+
+    def begin():
+        follower = QuadFollower()
+        return lambda frame, zones=(): () if frame is None else [(frame, *r) for r in follower.step(frame, zones)]
+
+    return in_segments(cut.join(zones, ["video_id", "frame"]), "frame int, zord int, points array<int>, ratio double, used boolean", {"zones": ("zord", *g.Box._fields, "quad")}, begin).drop("segment")

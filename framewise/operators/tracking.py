@@ -1,18 +1,21 @@
 """Selection and chaining of plates, frame after frame: the only sequential operators.
 
 Everything that needs one frame only (filters, association) is done by Catalyst
-beforehand. A video is cut where no state can cross, and each segment is one
-group of `applyInArrow`; a segment's tracks are numbered on after those before.
+beforehand. A video is cut where no state can cross. Segments are dealt over all
+partitions and sorted there, and one pass over a partition begins anew with each
+segment; a segment's tracks are numbered on after those before.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Hashable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -104,7 +107,7 @@ class SizeGate:
             return True
         return side >= bar * {None: 1.0, True: self.p.size_exit, False: self.p.size_enter}[before]
 
-    def advance(self, motos: list[XYXY]) -> list[bool]:
+    def advance(self, motos: Sequence[XYXY]) -> list[bool]:
         """Take the next frame's boxes; whether each is large."""
         pairs = [(s, i, j) for i, (old, _) in enumerate(self.before) for j, new in enumerate(motos) if (s := share(old, new)) >= self.p.min_vehicle_iou]
         of = one_to_one(pairs)
@@ -205,13 +208,17 @@ class Chainer:
             yield track, d
 
 
-def track_frames(frames: Iterable[tuple[int, list[XYXY], list[Det]]], p: Params) -> Iterator[tuple[int, int, Det]]:
-    """(track, place in the frame, det) over frames in order, each with its motorcycles' boxes and its candidates."""
-    gate, selector, chainer = SizeGate(p), Selector(p), Chainer(p)
-    for frame, motos, dets in frames:
-        large = {b for b, is_large in zip(motos, gate.advance(motos), strict=True) if is_large}
-        chosen = selector.choose(frame, [d for d in dets if d.cls != MOTO or d.veh in large])
-        for track, d in chainer.chain(frame, chosen):
+class Tracker:
+    """Gate, selection and chaining of one run of frames."""
+
+    def __init__(self, p: Params):
+        self.gate, self.selector, self.chainer = SizeGate(p), Selector(p), Chainer(p)
+
+    def step(self, frame: int, motos: Sequence[XYXY], dets: list[Det]) -> Iterator[tuple[int, int, Det]]:
+        """(track, place in the frame, det) of the next frame, given its motorcycles' boxes and its candidates."""
+        large = {b for b, is_large in zip(motos, self.gate.advance(motos), strict=True) if is_large}
+        chosen = self.selector.choose(frame, [d for d in dets if d.cls != MOTO or d.veh in large])
+        for track, d in self.chainer.chain(frame, chosen):
             yield track, chosen.index(d), d
 
 
@@ -227,74 +234,128 @@ def candidates(plates: DataFrame, vehicles: DataFrame, p: Params) -> DataFrame:
     return own.select("video_id", "frame", "pord", *g.Box._fields, "conf", F.coalesce("src", F.lit("crop")).alias("src"), *(F.col(f"v.{c}").alias(f"v{c}") for c in (*g.Box._fields, "cls")))
 
 
+def cut_where(frames: DataFrame, fresh: Callable[[WindowSpec], Column]) -> DataFrame:
+    """video_id, frame, segment: a new segment begins at each frame for which `fresh(frames of the video in order)` holds."""
+    order = Window.partitionBy("video_id").orderBy("frame")
+    marked = frames.withColumn("_cut", F.coalesce(fresh(order), F.lit(False)).cast("int"))
+    return marked.select("video_id", "frame", F.sum("_cut").over(order).alias("segment"))
+
+
+def distance_over(mark: Column, order: WindowSpec) -> Column:
+    """Frames from the last marked one before a frame to the next marked one from it on; null if one is missing."""
+    at = F.when(mark, F.col("frame"))
+    before = F.last(at, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return F.first(at, True).over(order.rowsBetween(0, Window.unboundedFollowing)) - before
+
+
+def with_mark(frames: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """The frames with a column that tells which of them `rows` has."""
+    own = rows.select("video_id", "frame").distinct().withColumn(name, F.lit(True))
+    return frames.join(own, ["video_id", "frame"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def segments(frames: DataFrame, plates: DataFrame, vehicles: DataFrame, p: Params) -> DataFrame:
     """video_id, frame, segment: a new one begins where neither memory nor chains nor the size gate can reach over.
 
     That is a frame before which no motorcycle was in the frame before, and
     around which more than max_gap + 1 frames lie between plates.
     """
-    has_plate = plates.select("video_id", "frame").distinct().withColumn("_p", F.lit(True))
-    has_moto = vehicles.filter(F.col("cls") == MOTO).select("video_id", "frame").distinct().withColumn("_m", F.lit(True))
-    own = frames.select("video_id", "frame").distinct().join(has_plate, ["video_id", "frame"], "left").join(has_moto, ["video_id", "frame"], "left")
-    order = Window.partitionBy("video_id").orderBy("frame")
-    plate_frame = F.when(F.col("_p"), F.col("frame"))
-    before = F.last(plate_frame, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(plate_frame, True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    calm = F.coalesce(after - before > max(1, p.max_gap) + 1, F.lit(True))
-    cut = F.lag("frame").over(order).isNotNull() & F.lag("_m").over(order).isNull() & calm
-    return own.withColumn("_cut", cut.cast("int")).select("video_id", "frame", F.sum("_cut").over(order).alias("segment"))
+    own = with_mark(with_mark(frames.select("video_id", "frame").distinct(), plates, "_p"), vehicles.filter(F.col("cls") == MOTO), "_m")
+    return cut_where(own, lambda order: F.lag("frame").over(order).isNotNull() & ~F.lag("_m").over(order) & F.coalesce(distance_over(F.col("_p"), order) > max(1, p.max_gap) + 1, F.lit(True)))
+
+
+def gate_segments(frames: DataFrame, motos: DataFrame) -> DataFrame:
+    """video_id, frame, segment: a new one begins after each frame without a motorcycle."""
+    return cut_where(with_mark(frames.select("video_id", "frame").distinct(), motos, "_m"), lambda order: ~F.lag("_m").over(order))
+
+
+def struct_lists(column: pa.ListArray, names: Sequence[str]) -> list[list[tuple]]:
+    """A column of lists of structs as lists of tuples of these fields; null is an empty list."""
+    items = column.flatten()
+    rows = [*zip(*(items.field(n).to_pylist() for n in names), strict=True)]
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [rows[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def in_segments(rows: DataFrame, schema: str, lists: dict[str, Sequence[str]], begin: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
+    """Run a state over the frames of each segment, in order.
+
+    `rows`: video_id, segment, frame and the named lists of structs. `begin()`
+    gives a function of (frame, *lists as tuples) that returns the frame's rows,
+    which come after the columns video_id and segment; with None for the frame it
+    is told that the segment has ended.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    fields = [("video_id", "long"), ("segment", "long"), *(x.split() for x in schema.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step, out = None, None, []
+
+        def flush() -> pa.RecordBatch:
+            columns = [*zip(*out, strict=True)] if out else [[]] * len(fields)
+            found = pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+            out.clear()
+            return found
+
+        for batch in batches:
+            own = [batch.column(batch.schema.get_field_index(c)) for c in ("video_id", "segment", "frame")]
+            more = [struct_lists(batch.column(batch.schema.get_field_index(c)), names) for c, names in lists.items()]
+            for video, segment, frame, *values in zip(*(c.to_pylist() for c in own), *more, strict=True):
+                if (video, segment) != key:
+                    if step:
+                        out += [(*key, *r) for r in step(None)]
+                    key, step = (video, segment), begin()
+                out += [(*key, *r) for r in step(frame, *values)]
+            if len(out) >= 10_000:
+                yield flush()
+        if step:
+            out += [(*key, *r) for r in step(None)]
+        yield flush()
+
+    # A given number of partitions: the work lies in Python, and few bytes mustn't make few tasks of it.
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "video_id", "segment").sortWithinPartitions("video_id", "segment", "frame")
+    return dealt.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in fields))
 
 
 def selected(frames: DataFrame, plates: DataFrame, vehicles: DataFrame, p: Params = DEFAULTS, by_segment: bool = True) -> DataFrame:
     """The chosen plate of each vehicle and frame with its track: video_id, frame, dord, box, conf, src, vehicle, track_id."""
-    ship(frames.sparkSession)
     seen = filters.drop_unsure_motos(vehicles, p.moto_min_conf)
     cut = segments(frames, plates, seen, p) if by_segment else frames.select("video_id", "frame").distinct().withColumn("segment", F.lit(0).cast("long"))
     motos = associate.per_frame(seen.filter(F.col("cls") == MOTO), "motos", "ord", *g.Box._fields)
     dets = associate.per_frame(candidates(plates, seen, p), "dets", *CANDIDATE)
     rows = cut.join(motos, ["video_id", "frame"], "left").join(dets, ["video_id", "frame"], "left")
-    # A given number of partitions: the work lies in Python, and few bytes mustn't make few tasks of it.
-    rows = rows.repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "segment")
-    schema = "video_id long, segment long, frame int, dord int, x1 int, y1 int, x2 int, y2 int, conf double, src string, vx1 int, vy1 int, vx2 int, vy2 int, vcls int, track int"
+    schema = "frame int, dord int, x1 int, y1 int, x2 int, y2 int, conf double, src string, vx1 int, vy1 int, vx2 int, vy2 int, vcls int, track int"
     names = [f.split()[0] for f in schema.split(", ")]
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("frame")
-        video, segment = (group.column(c)[0].as_py() for c in ("video_id", "segment"))
+    def begin():
+        tracker = Tracker(p)
 
-        def read():
-            for r in group.select(["frame", "motos", "dets"]).to_pylist():
-                boxes = [(m["x1"], m["y1"], m["x2"], m["y2"]) for m in r["motos"] or ()]
-                yield r["frame"], boxes, [Det(r["frame"], (d["x1"], d["y1"], d["x2"], d["y2"]), d["conf"], d["src"], (d["vx1"], d["vy1"], d["vx2"], d["vy2"]), d["vcls"]) for d in r["dets"] or ()]
+        def step(frame, motos=(), dets=()):
+            if frame is None:
+                return ()
+            own = [Det(frame, (x1, y1, x2, y2), conf, src, (vx1, vy1, vx2, vy2), cls) for x1, y1, x2, y2, conf, src, vx1, vy1, vx2, vy2, cls in dets]
+            return [(frame, place, *d.box, d.conf, d.src, *d.veh, d.cls, track) for track, place, d in tracker.step(frame, motos, own)]
 
-        out = [(video, segment, d.frame, place, *d.box, d.conf, d.src, *d.veh, d.cls, track) for track, place, d in track_frames(read(), p)]
-        types = [pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.float64(), pa.string(), *[pa.int32()] * 6]
-        columns = [*zip(*out, strict=True)] if out else [[]] * len(names)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        return step
 
-    found = rows.groupBy("video_id", "segment").applyInArrow(run, schema)
+    found = in_segments(rows, schema, {"motos": g.Box._fields, "dets": CANDIDATE[1:]}, begin)
     made = found.groupBy("video_id", "segment").agg(F.max("track").alias("made"))
     earlier = Window.partitionBy("video_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     made = made.select("video_id", "segment", F.coalesce(F.sum("made").over(earlier), F.lit(0)).alias("before"))
     numbered = found.join(made, ["video_id", "segment"])
-    return numbered.select(*(c for c in names if c not in ("segment", "track")), (F.col("track") + F.col("before")).cast("int").alias("track_id"))
+    return numbered.select("video_id", *(c for c in names if c != "track"), (F.col("track") + F.col("before")).cast("int").alias("track_id"))
 
 
-def gate_states(frames: DataFrame, vehicles: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def gate_states(frames: DataFrame, vehicles: DataFrame, p: Params = DEFAULTS, by_segment: bool = True) -> DataFrame:
     """video_id, frame, ord, large of every motorcycle that is sure enough."""
-    ship(frames.sparkSession)
     seen = filters.drop_unsure_motos(vehicles, p.moto_min_conf).filter(F.col("cls") == MOTO)
-    rows = frames.select("video_id", "frame").distinct().join(associate.per_frame(seen, "motos", "ord", *g.Box._fields), ["video_id", "frame"], "left")
-
-    def run(group: pa.Table) -> pa.Table:
-        gate, out = SizeGate(p), []
-        for r in group.sort_by("frame").to_pylist():
-            motos = r["motos"] or []
-            now = gate.advance([(m["x1"], m["y1"], m["x2"], m["y2"]) for m in motos])
-            out += [(r["video_id"], r["frame"], m["ord"], large) for m, large in zip(motos, now, strict=True)]
-        columns = [*zip(*out, strict=True)] if out else [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.bool_()], strict=True)], ["video_id", "frame", "ord", "large"])
-
-    return rows.groupBy("video_id").applyInArrow(run, "video_id long, frame int, ord int, large boolean")
+    cut = gate_segments(frames, seen) if by_segment else frames.select("video_id", "frame").distinct().withColumn("segment", F.lit(0).cast("long"))
+    rows = cut.join(associate.per_frame(seen, "motos", "ord", *g.Box._fields), ["video_id", "frame"], "left")
 
+    def begin():
+        gate = SizeGate(p)
+        return lambda frame, motos=(): () if frame is None else [(frame, m[0], large) for m, large in zip(motos, gate.advance([m[1:] for m in motos]), strict=True)]
 
+    return in_segments(rows, "frame int, ord int, large boolean", {"motos": ("ord", *g.Box._fields)}, begin).drop("segment")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import associate
-from ..operators.tracking import Chainer, Det, Selector, SizeGate
+from ..operators.tracking import Det, Tracker
 from ..schema import DEFAULTS, MOTO, Params
 from ..shipping import ship
 
@@ -58,9 +58,9 @@ def live_tracks(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.exists:
             last, parts = state.get
-            gate, selector, chainer = pickle.loads(bytes(parts))
+            tracker = pickle.loads(bytes(parts))
         else:
-            last, gate, selector, chainer = None, SizeGate(p), Selector(p), Chainer(p)
+            last, tracker = None, Tracker(p)
         out = []
         for r in pd.concat([*batches]).sort_values("frame").itertuples():
             dets = [Det(r.frame, edges(d["p"]), d["p"]["conf"], d["p"].get("src") or "crop", edges(d["v"]), d["v"]["cls"]) for d in json.loads(r.dets)]
@@ -69,11 +69,9 @@ def live_tracks(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
                 continue
             last = int(r.frame)
             motos = [edges(m) for m in json.loads(r.motos)]
-            large = {b for b, is_large in zip(motos, gate.advance(motos), strict=True) if is_large}
-            chosen = selector.choose(last, [d for d in dets if d.cls != MOTO or d.veh in large])
-            out += [(*key, last, *d.box, d.conf, d.src, track, False) for track, d in chainer.chain(last, chosen)]
+            out += [(*key, last, *d.box, d.conf, d.src, track, False) for track, _, d in tracker.step(last, motos, dets)]
         if last is not None:
-            state.update((last, pickle.dumps((gate, selector, chainer))))
+            state.update((last, pickle.dumps(tracker)))
         found = pd.DataFrame(out, columns=names)
         yield found.astype({"track_id": "Int32"})
 
