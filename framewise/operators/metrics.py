@@ -145,6 +145,40 @@ def stability(plates: DataFrame, zones: DataFrame, frames: DataFrame) -> DataFra
     return out
 
 
+def zones_by_source(zones: DataFrame) -> DataFrame:
+    return zones.groupBy("src").agg(F.count("*").alias("n"))
+
+
+# Frames and sizes that a report lists.
+LISTED_FRAMES, LISTED_SIZES = 40, 12
+
+
+def _listed(rows: DataFrame, kind: str, order: list[str], value: Column, most: int) -> DataFrame:
+    """The first rows of an order as (kind, place, video_id, value)."""
+    first = rows.orderBy(*order).limit(most)
+    place = F.row_number().over(Window.orderBy(*order)).cast("int")
+    return first.select(F.lit(kind).alias("kind"), place.alias("place"), "video_id", value.alias("value"))
+
+
+def report_lists(covered: DataFrame, zones: DataFrame) -> DataFrame:
+    """The lists of a stability report: frames with an uncovered plate, sizes of missed small ones, frames before a blink, in order.
+
+    Blinks go by track in the order in which tracks first appear.
+    """
+    frames = covered.filter("verdict = 'uncovered'").select("video_id", "frame").distinct()
+    missed = covered.filter("verdict = 'micro'")
+    size = F.concat(F.col("x2") - F.col("x1"), F.lit("x"), F.col("y2") - F.col("y1"))
+    born = zones.groupBy("video_id", "track_id").agg(F.min(F.struct("frame", "zord")).alias("born"))
+    winks = blinks(track_points(zones)).join(born, ["video_id", "track_id"])
+    frame = F.col("frame").cast("string")
+    lists = [
+        _listed(frames, "uncovered_frames", ["video_id", "frame"], frame, LISTED_FRAMES),
+        _listed(missed, "micro_sizes", ["video_id", "frame", "pord"], size, LISTED_SIZES),
+        _listed(winks, "blink_frames", ["video_id", "born", "frame"], frame, LISTED_FRAMES),
+    ]
+    return lists[0].unionByName(lists[1]).unionByName(lists[2])
+
+
 def runs(flagged: DataFrame, fps: float) -> DataFrame:
     """Runs of consecutive frames: video_id, first, last, n, start and end in seconds."""
     order = Window.partitionBy("video_id").orderBy("frame")
@@ -159,11 +193,15 @@ def percentiles(rows: DataFrame, column: str, points: tuple[float, ...] = (0.5,
     return own.select("n", "max", *(F.col("p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(points)))
 
 
-def run_summary(frames: DataFrame, plates: DataFrame, seconds: float, fps: float) -> DataFrame:
-    """Frames and plates a second of work, times real time, plates a frame."""
+def run_summary(frames: DataFrame, plates: DataFrame, seconds: float, fps: float, quads: DataFrame | None = None) -> DataFrame:
+    """Frames and plates a second of work, times real time, plates a frame; of used quads (rows) their number a frame too."""
     own = frames.agg(F.count("*").alias("frames")).crossJoin(F.broadcast(plates.agg(F.count("*").alias("plates"))))
     rate = _ratio(F.col("frames").cast("double"), F.lit(float(seconds)))
-    return own.withColumns({"fps": rate, "realtime": rate / F.lit(float(fps)), "plates_per_frame": _ratio(F.col("plates").cast("double"), F.col("frames").cast("double"))})
+    per_frame = lambda n: _ratio(F.col(n).cast("double"), F.col("frames").cast("double"))
+    own = own.withColumns({"fps": rate, "realtime": rate / F.lit(float(fps)), "plates_per_frame": per_frame("plates")})
+    if quads is None:
+        return own
+    return own.crossJoin(F.broadcast(quads.agg(F.count("*").alias("quads")))).withColumn("quads_per_frame", per_frame("quads"))
 
 
 def overlay_counts(zones: DataFrame) -> DataFrame:

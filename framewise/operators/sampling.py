@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..schema import DEFAULTS, MOTO, Params
+from ..sources import labels
 from . import associate
 
 # The band of unsure confidences, and one crop in how many is kept of each kind.
@@ -22,12 +23,13 @@ def strata(crops: DataFrame) -> DataFrame:
     return crops.withColumn("stratum", F.when(unsure, "unsure").otherwise(kind))
 
 
-def keep_one_in_n(crops: DataFrame, by: tuple[str, ...] = ("video_id",), order: tuple[str, ...] = ("frame", "ord")) -> DataFrame:
-    """Crops with `kept`: unsure ones always, of the others each n-th of its stratum; `force` columns count as kept."""
-    own = strata(crops)
-    nth = F.row_number().over(Window.partitionBy(*by, "stratum").orderBy(*order))
+def keep_one_in_n(crops: DataFrame, by: tuple[str, ...] = ("video_id",), order: tuple[str, ...] = ("frame", "ord"), force: Column | None = None) -> DataFrame:
+    """Crops with `kept`: unsure and forced ones always, of the others each n-th of its stratum; forced ones aren't counted."""
+    own = strata(crops).withColumn("_forced", F.lit(False) if force is None else F.coalesce(force, F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy(*by, "stratum", "_forced").orderBy(*order))
     every = F.create_map(*(F.lit(x) for pair in ONE_IN.items() for x in pair))
-    return own.withColumn("kept", (F.col("stratum") == "unsure") | F.coalesce(nth % F.try_element_at(every, F.col("stratum")) == 0, F.lit(False)))
+    sampled = F.coalesce(nth % F.try_element_at(every, F.col("stratum")) == 0, F.lit(False))
+    return own.withColumn("kept", F.col("_forced") | (F.col("stratum") == "unsure") | sampled).drop("_forced")
 
 
 def crops_with_confs(vehicles: DataFrame, plates: DataFrame) -> DataFrame:
@@ -64,9 +66,45 @@ def moto_exports(vehicles: DataFrame, plates: DataFrame, most_pos: int, most_neg
     return kept.select("video_id", "frame", "ord", "positive", F.col("v.x1").alias("vx1"), F.col("v.y1").alias("vy1"), *(F.col(f"r{n}") for n in g.Box._fields), *(F.col(f"best.{n}").alias(f"l{n}") for n in g.Box._fields))
 
 
-def split_of(stem, percent: int = 15):
-    """`val` for a fixed part of stems by their hash, else `train`."""
-    return F.when(F.pmod(F.xxhash64(stem), F.lit(100)) < percent, "val").otherwise("train")
+def split_of(stem: Column, percent: int = 15) -> Column:
+    """`val` for a fixed part of stems by the first eight hexadecimal digits of their MD5, else `train`."""
+    number = F.conv(F.substring(F.md5(stem), 1, 8), 16, 10).cast("long")
+    return F.when(number % 100 < percent, "val").otherwise("train")
+
+
+def split_counts(crops: DataFrame) -> DataFrame:
+    """Crops (with `split` and `cls`) and motorcycles among them, by split."""
+    return crops.groupBy("split").agg(F.count("*").alias("crops"), F.count_if(F.col("cls") == MOTO).alias("motos"))
+
+
+def review_entries(images: DataFrame, label_lines: DataFrame, edited: DataFrame, augmented_only: bool = False, source_only: bool = False, edited_only: bool = False, labelled_only: bool = False) -> DataFrame:
+    """Pictures (split, stem) to review: augmented or source ones, those an editor touched, those with a label, as asked."""
+    augmented = F.contains("stem", F.lit(labels.AUGMENTED))
+    own = images
+    if augmented_only:
+        own = own.filter(augmented)
+    if source_only:
+        own = own.filter(~augmented)
+    if edited_only:
+        own = own.join(edited.select("stem").distinct(), "stem", "left_semi")
+    if labelled_only:
+        own = own.join(label_lines.filter(F.trim("value") != "").select("split", "stem").distinct(), ["split", "stem"], "left_semi")
+    return own
+
+
+def hit(boxes: Column, x: Column, y: Column, zoom_x: Column, zoom_y: Column, tolerance: float = 18.0) -> Column:
+    """The place (from 0) of the box that a click on a shrunk picture means: the smallest around it, else the nearest within the tolerance; null if none."""
+    shown = F.transform(boxes, lambda b, i: F.struct(i.alias("i"), *((b[c] / (zoom_x if c[0] == "x" else zoom_y)).cast("int").alias(c) for c in g.Box._fields)))
+    around = F.filter(shown, lambda b: x.between(b["x1"], b["x2"]) & y.between(b["y1"], b["y2"]))
+    smallest = F.array_min(F.transform(around, lambda b: F.struct(((b["x2"] - b["x1"]) * (b["y2"] - b["y1"])).cast("double").alias("by"), b["i"].alias("i"))))
+
+    def away(b: Column) -> Column:
+        dx = F.greatest(b["x1"], F.least(b["x2"], x)) - x
+        dy = F.greatest(b["y1"], F.least(b["y2"], y)) - y
+        return F.sqrt((dx * dx + dy * dy).cast("double"))
+
+    nearest = F.array_min(F.filter(F.transform(shown, lambda b: F.struct(away(b).alias("by"), b["i"].alias("i"))), lambda r: r["by"] <= tolerance))
+    return F.coalesce(smallest["i"], nearest["i"])
 
 
 def review_order(labels: DataFrame, progress: DataFrame, edited: DataFrame) -> DataFrame:
@@ -76,8 +114,6 @@ def review_order(labels: DataFrame, progress: DataFrame, edited: DataFrame) -> D
     return own.withColumn("rank", rank).orderBy("rank", "stem")
 
 
-
-
 def drawn(seed: int, what: str, *key: str, low: float = 0.0, high: float = 1.0):
     """A number in [low, high) that depends on the row's key alone, not on the order of rows."""
     part = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(what), *key), 11).cast("double") / float(1 << 53)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share, with its scheme.
 
-    The session's `spark.checkpoint.dir`; where that is unset (tests on one
-    machine) a new temporary folder is set and used.
+    The session's `spark.checkpoint.dir`; a path without a scheme lies on the
+    default file system. Where the setting is missing, a new temporary folder is
+    set and used if driver and executors are one process, and nothing else is.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="framewise-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/") if "://" in found else "file://" + found.rstrip("/")
+    if "://" not in found:
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        found = str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
+        found = re.sub(r"^([a-z0-9+.-]+):/(?!/)", r"\1:///", found)
+    return found.rstrip("/")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -35,4 +43,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _folders[id(found)] = found, path
+    return found
+
+
+#: Tables that `written` returned, and their folders.
+_folders: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that `written` returned and that nothing reads any more."""
+    found, path = _folders.pop(id(df), (None, None))
+    if found is df:
+        _remove(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Remove all that `written` wrote in this process; results not yet read are lost."""
+    for _, path in _folders.values():
+        _remove(spark, path)
+    _folders.clear()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
