@@ -7,7 +7,7 @@ broadcast so that members of large groups are settled where they are read. All
 other digests are shuffled, and none of their groups is large.
 
 Nulls and odd input: a null text counts as empty, and empty texts equal each
-other; of equal texts the largest doc_id stays, a null doc_id being smaller than
+other; very long texts are reduced to their digest whole; of equal texts the largest doc_id stays, a null doc_id being smaller than
 any; of rows with equal text and equal doc_id, one stays for `drop_copies`, and
 all count in group_size; an empty table gives no rows; other columns are
 ignored, or kept by `drop_copies`, whatever their names.
@@ -91,7 +91,7 @@ def drop_copies(docs: DataFrame, normalise: Callable[[Column], Column] | None =
     """The documents without the rows that lose against an equal text.
 
     Where doc_ids tell rows apart, what must go is a table of ids, and the texts
-    stay where they are read unless there are too many to broadcast. Otherwise rows go by id and digest, and equal rows are numbered.
+    stay where they are read unless there are too many to broadcast. Otherwise rows go by id and digest.
     """
     pre = unused_prefix(docs)
     lost_id, lost_digest, own_digest, number = (pre + c for c in ("lost_id", "lost_digest", "digest", "number"))
@@ -104,5 +104,9 @@ def drop_copies(docs: DataFrame, normalise: Callable[[Column], Column] | None =
     text = normalise(text) if normalise else text
     own = docs.withColumn(own_digest, F.unhex(F.sha2(text.cast("binary"), 256)))
     kept = own.join(lost, F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col(own_digest) == F.col(lost_digest)), "left_anti")
-    order = Window.partitionBy("doc_id", own_digest).orderBy("doc_id")
-    return kept.withColumn(number, F.row_number().over(order)).filter(F.col(number) == 1).drop(number, own_digest)
+    # Rows that agree in id and text: one of them, combined where they are read before they meet.
+    twice = found.filter("kept").groupBy("doc_id", DIGEST).count().filter("count > 1").select(F.col("doc_id").alias(lost_id), F.col(DIGEST).alias(lost_digest))
+    twice = written(twice, "dedup-repeated")
+    same = F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col(own_digest) == F.col(lost_digest))
+    one = kept.join(twice, same, "left_semi").groupBy("doc_id", own_digest).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(number)).select(f"{number}.*")
+    return kept.join(twice, same, "left_anti").drop(own_digest).unionByName(one)

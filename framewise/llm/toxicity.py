@@ -10,10 +10,12 @@ located without sentence labels. Fitting takes all sentences with known words,
 as a word's weight may still turn to either side.
 
 Fitting uses at most `sample_rows` labelled rows with different texts, the first
-by a hash of doc_id (documented bound); scoring covers every whole text. Only
+by a hash of doc_id, and the `most_words` features that tell most about the label
+(documented bounds of the classifier); scoring covers every whole text. Only
 the texts are inputs: labels, lang, source and doc_id are not.
 
-Nulls and odd input: null and empty texts are one empty sentence; rows with a
+Nulls and odd input: null and empty texts are one empty sentence; very long texts
+are scored whole, sentence by sentence; rows with a
 null doc_id or label aren't fitted on; of several labels of a document the
 largest counts; without any usable labels all scores are the same small value;
 an empty table gives no rows; other columns are ignored, or kept by `reject`.

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from framewise.llm import chat, mixing, packing, queries, token_store, topk, warc
+from framewise.llm import chat, mixing, packing, queries, token_store, topk, toxicity, warc
 from framewise.llm.elias_fano import EliasFano
 from framewise.llm.tokens import WordTokenizer
 
@@ -304,6 +304,58 @@ def test_mix_equals_brute_force(documents, target):
     assert found.dropDuplicates(["source", "doc_id", "pass"]).count() == found.count()
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of (value, bytes) columns, by the xxhash library."""
+    import xxhash
+
+    h = 42
+    for value, size in values:
+        h = xxhash.xxh64_intdigest(int(value).to_bytes(size, "little", signed=True), h)
+    return h
+
+
+def test_blocks_and_their_order_equal_brute_force(documents):
+    """Place in a pass, block and order, worked out from the hash alone; every block holds the target mix."""
+    docs = documents.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "src0").otherwise(F.col("source")))
+    found = mixing.plan_mix(docs, 5, 1 << 14, repetition=2.0).collect()
+    weights = {r.key: r for r in mixing.weights(docs.select(mixing._source_key().alias("key"), mixing.word_tokens().alias("tokens")), repetition=2.0).collect()}
+    blocks = math.ceil(sum(r.target for r in weights.values()) / (1 << 14))
+    by_block = defaultdict(Counter)
+    for r in found:
+        w = weights["=" + r.source]
+        fraction = (spark_hash((5, 4), (r["pass"], 4), (r.doc_id, 8)) >> 11) / 2**53
+        assert r.block == min(math.floor((r["pass"] + fraction) / (w.target / w.tokens) * blocks), blocks - 1)
+        order = spark_hash((6, 4), (r["pass"], 4), (r.doc_id, 8))
+        assert r.order_key == (order - 2**64 if order >= 2**63 else order)
+        by_block[r.block]["=" + r.source] += r.tokens
+    assert len(by_block) == blocks > 3
+    assert len({r.order_key for r in found}) == len(found)
+    # The hot source, of many documents, fills each block to its share, give or take a few documents.
+    share = weights["=src0"].weight
+    largest = max(r.tokens for r in found)
+    for held in by_block.values():
+        assert abs(held["=src0"] - share * (1 << 14)) <= 4 * largest
+
+
+def test_small_edges_are_found_in_several_steps(documents, monkeypatch):
+    want = sorted((r.source, r.doc_id, r["pass"], r.block) for r in mixing.plan_mix(documents, repetition=1.7).collect())
+    monkeypatch.setattr(mixing, "LAST_ROWS", 0.001)
+    assert sorted((r.source, r.doc_id, r["pass"], r.block) for r in mixing.plan_mix(documents, repetition=1.7).collect()) == want
+
+
+def test_ranks_in_many_parts_seat_every_piece_once(spark):
+    pieces = spark.range(3000).select((F.col("id") % 700).alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("id") % 3 * 5 + 2).alias("length"), F.col("id").alias("ids_crc32"))
+    sequences = set()
+    for part in (7, 10**6):
+        found = packing.pack(pieces, 40, part).collect()
+        used = defaultdict(list)
+        for r in found:
+            used[r.sequence_id].append((r.offset, r.length))
+        assert len(found) == 3000 and all(sum(n for _, n in sorted(v)[:k]) == sorted(v)[k][0] for v in used.values() for k in range(len(v)))
+        sequences.add(len(used))
+    assert len(sequences) == 1 and sequences.pop() <= 1.02 * 21_000 / 40
+
+
 def test_exponent_meets_its_target(spark):
     counted = spark.createDataFrame([("a", 8000), ("b", 1000), ("c", 500), ("d", 500)], "key string, tokens long")
     p = np.array([0.8, 0.1, 0.05, 0.05])
@@ -342,6 +394,20 @@ def test_query_equals_its_sql(spark, name):
     assert Counter(map(tuple, df.select(*columns).collect())) == Counter(want.fetchall())
 
 
+def test_pipeline_on_odd_and_empty_input(spark, edge, nothing, tmp_path):
+    """Nulls, empty and long texts, equal rows, null ids; with labels and without any."""
+    import corpus_pipeline
+
+    for name, docs in (("odd", edge), ("none", nothing)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    found = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    # Of equal texts the largest id stays (8, and 3 of the empty ones), of near copies the smallest (4 of 4 and 8, 5 of 5 and 6).
+    assert {r.doc_id for r in found.collect()} == {3, None, 4, 5, 7}
+    assert found.filter("doc_id = 3 and piece = 0").count() >= 2
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline_stages(spark):
     """Each stage against its own operator's brute force, on what its predecessor kept."""
@@ -355,6 +421,12 @@ def test_pipeline_stages(spark):
         held.append(out)
         docs = out
     clean, single, distinct, mixed = held
+    from test_text_operators import noisy_or
+
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    whole = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in whole if noisy_or(model, r.text) < 0.5)
+    assert 0 < len(whole) - clean.count() < len(whole) / 2
     assert sorted(r.text for r in single.collect()) == sorted({r.text for r in clean.collect()})
     from test_text_operators import components
 
@@ -364,6 +436,7 @@ def test_pipeline_stages(spark):
     for (d, _), g in zip(texts, group, strict=True):
         first.setdefault(g, d)
     assert sorted(r.doc_id for r in distinct.collect()) == sorted(first.values())
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter(r.doc_id for r in mixing.plan_mix(distinct, repetition=1.5).collect())
     assert {r.doc_id for r in mixed.collect()} == {r.doc_id for r in distinct.collect()}
     packed = corpus_pipeline.STAGES[-1][1](spark, mixed, SF)
     assert Counter(r.doc_id for r in packed.filter("piece = 0").collect()) == Counter(r.doc_id for r in mixed.collect())
