@@ -424,7 +424,8 @@ def quad_states(s: SparkSession, d: str) -> DataFrame:
     """Quads followed over slot zones; every third estimate is missing."""
     inset = F.array(F.col("x1") + 2, F.col("y1") + 4, F.col("x2") - 2, F.col("y1") + 1, F.col("x2") - 1, F.col("y2") - 3, F.col("x1") + 1, F.col("y2") - 1).cast("array<double>")
     own = _slot_zones(s, d).withColumn("quad", F.when(F.col("frame") % 3 != 0, inset))
-    return quads.quad_states(own)
+    found = quads.quad_states(own)
+    return found.withColumn("points", F.array_join(F.transform("points", lambda v: v.cast("string")), " "))
 
 
 def segments_of_videos(s: SparkSession, d: str) -> DataFrame:

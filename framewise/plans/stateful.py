@@ -7,7 +7,7 @@ chain is a fold over lists, and a greedy matching is a fold over sorted pairs.
 from __future__ import annotations
 
 from ..schema import DEFAULTS as P
-from .oracles import JITTER, OWNER, SURE, TRACKABLE, E, area1, bridge_steps, cover_of, dist, inside, iou, motion, num, q, same_vehicle
+from .oracles import JITTER, OWNER, SLOTS, SURE, TRACKABLE, E, area1, bridge_steps, cover_of, dist, hypot, inside, iou, motion, num, q, same_vehicle
 
 BOX = "struct(x1 int, y1 int, x2 int, y2 int)"
 DET = f"struct(ord int, box {BOX}, conf double, src varchar, veh {BOX}, cls int)"
@@ -242,5 +242,55 @@ def held_vehicles() -> str:
     return q(f"select video_id, frame, cast(i - 1 as int) as ord, v.cls, {', '.join(f'v.box.{e} as {e}' for e in E)}, v.conf, v.held from (select video_id, frame, unnest(vs) as v, generate_subscripts(vs, 1) as i from res)", *steps)
 
 
+# Quads
+
+
+def quad_states() -> str:
+    """One zone after another, all videos at once: `qs` are the followed quads, `b` is the one that the zone takes up."""
+    quad = "struct(born int, seen int, zx1 int, zy1 int, zx2 int, zy2 int, pts int[], ratio double, active boolean, weak int, leaving int)"
+    orders = [[(i - k) % 4 for i in range(4)] for k in range(4)] + [[3 - (i - k) % 4 for i in range(4)] for k in range(4)]
+    reorder = [[2 * i + c + 1 for i in o for c in (0, 1)] for o in orders]
+    odd = "k % 2 = 1"
+    area = lambda v: f"(abs(list_sum(list_transform([1, 2, 3, 4], lambda i: {v}[2 * i - 1] * {v}[2 * (i % 4) + 2] - {v}[2 * i] * {v}[2 * (i % 4) + 1])) ) / cast(2 as double))"
+    most = lambda v, f, start: f"{f}({', '.join(f'{v}[{k}]' for k in range(start, 9, 2))})"
+    whole = lambda v: f"list_transform({v}, lambda v: cast(trunc(v) as int))"
+    far = f"{hypot('(q.zx1 + q.zx2) * cast(0.5 as double) - (x1 + x2) * cast(0.5 as double)', '(q.zy1 + q.zy2) * cast(0.5 as double) - (y1 + y2) * cast(0.5 as double)')}"
+    near = f"list_sort(list_transform(list_filter(list_transform(qs, lambda q, n: {{d: {far}, n: n, fit: q.seen = frame - 1 or (q.seen = frame and q.born < frame)}}), lambda c: c.fit), lambda c: {{d: c.d, n: c.n}}))"
+    reach = "cast(0.5 as double) * greatest(x2 - x1, y2 - y1, 1)"
+    start = f"cast({{born: frame, seen: frame, zx1: x1, zy1: y1, zx2: x2, zy2: y2, pts: {whole('est')}, ratio: 0, active: false, weak: 0, leaving: 0}} as {quad})"
+    levels = [
+        f"*, {near} as near",
+        f"*, case when len(near) > 0 and near[1].d <= {reach} then near[1].n end as place",
+        f"*, case when place is not null then qs[place] when est is not null then {start} end as b",
+        "*, (x1 + x2 - b.zx1 - b.zx2) * cast(0.5 as double) as ox, (y1 + y2 - b.zy1 - b.zy2) * cast(0.5 as double) as oy, cast((x2 - x1) * (y2 - y1) as double) as zarea",
+        f"*, list_transform(b.pts, lambda v, k: v + case when {odd} then ox else oy end) as gl, list_transform({reorder}, lambda o, n: {{e: list_sum(list_transform(o, lambda i, k: power(est[i] - b.pts[k], 2))), n: n, q: list_transform(o, lambda i: est[i])}}) as options",
+        "*, case when est is not null and zarea > 0 then (list_sort(options))[1].q end as nw",
+        f"*, {area('nw')} / zarea as rn, list_sum(list_transform([1, 3, 5, 7], lambda k: nw[k])) / 4 as ax, list_sum(list_transform([2, 4, 6, 8], lambda k: nw[k])) / 4 as ay, list_sum(list_transform([1, 3, 5, 7], lambda k: gl[k])) / 4 as gx, list_sum(list_transform([2, 4, 6, 8], lambda k: gl[k])) / 4 as gy, {most('gl', 'least', 1)} as lx, {most('gl', 'greatest', 1)} as hx, {most('gl', 'least', 2)} as ly, {most('gl', 'greatest', 2)} as hy",
+        f"""*, case when nw is null then 0 when rn >= 0.5 * b.ratio and abs(ax - gx) <= {num(0.4)} * greatest(hx - lx, 1) and abs(ay - gy) <= {num(0.4)} * greatest(hy - ly, 1)
+          then case when greatest(abs(ox), abs(oy)) >= 8 then {num(0.65)} else {num(0.5)} end
+          when {hypot('ax - (x1 + x2) * cast(0.5 as double)', 'ay - (y1 + y2) * cast(0.5 as double)')} <= {num(0.3)} * greatest(x2 - x1, y2 - y1, 1) and rn >= greatest({num(0.4)}, b.ratio) then {num(0.8)} else 0 end as al""",
+        "*, cast(al as double) as a",
+        f"*, case when a > 0 then {whole('list_transform(b.pts, lambda v, k: (1 - a) * v + a * nw[k])')} else {whole('gl')} end as p0",
+        f"*, case when nw is null then cast(0 as double) when a > 0 then {area('p0')} / zarea else {area('gl')} / zarea end as r0",
+        f"*, case when b.leaving > 0 then a > 0 and r0 >= {num(0.75)} else r0 >= case when b.active then {num(0.4)} else {num(0.75)} end and (a > 0 or b.active) end as strong",
+        "*, not strong and b.active and b.weak < 10 as held, not strong and b.active and b.weak >= 10 as goes, b.leaving + 1 as step",
+        "*, step / cast(5 as double) as t, (lx + hx) * cast(0.5 as double) as mx, (ly + hy) * cast(0.5 as double) as my, hx - lx as ow, hy - ly as oh",
+        f"*, case when held then {whole('gl')} when goes then {whole(f'list_transform(gl, lambda v, k: case when {odd} then mx + (v - mx) * ((ow + (x2 - x1 - ow) * t) / greatest(ow, {num(1e-9)})) else my + (v - my) * ((oh + (y2 - y1 - oh) * t) / greatest(oh, {num(1e-9)})) end)')} else p0 end as p1",
+        f"*, case when held or goes then case when zarea > 0 then {area('p1')} / zarea else cast(0 as double) end else r0 end as r1, strong or held or (goes and step < 4) as used",
+        f"*, cast({{born: b.born, seen: frame, zx1: x1, zy1: y1, zx2: x2, zy2: y2, pts: p1, ratio: r1, active: used, weak: case when strong then 0 when held then b.weak + 1 else b.weak end, leaving: case when strong then 0 when goes then step else b.leaving end}} as {quad}) as nb",
+    ]
+    source = "(select r.video_id, r.r + 1 as r, r.qs, z.frame, z.zord, z.x1, z.y1, z.x2, z.y2, z.est from qrun r join qz z on z.video_id = r.video_id and z.r = r.r + 1)"
+    for level in levels:
+        source = f"(select {level} from {source})"
+    kept = "list_filter(qs, lambda q: q.seen >= frame - 1)"
+    after = f"case when b is null then {kept} when place is null then list_append({kept}, nb) else list_filter(list_transform(qs, lambda q, n: case when n = place then nb else q end), lambda q: q.seen >= frame - 1) end"
+    return recursive(
+        "select video_id, frame, zord, array_to_string(pts, ' ') as points, ratio, used from qrun where pts is not null",
+        f"""qz as materialized (select *, row_number() over (partition by video_id order by frame, zord) as r, case when frame % 3 <> 0 then [cast(x1 + 2 as double), y1 + 4, x2 - 2, y1 + 1, x2 - 1, y2 - 3, x1 + 1, y2 - 1] end as est from ({SLOTS}))""",
+        f"""qrun as (select video_id, cast(0 as bigint) as r, cast([] as {quad}[]) as qs, cast(null as int) as frame, cast(null as int) as zord, cast(null as int[]) as pts, cast(null as double) as ratio, cast(null as boolean) as used from (select distinct video_id from qz)
+          union all select video_id, r, {after}, frame, zord, case when b is not null then p1 end, case when b is not null then r1 end, used from {source})""",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: f() for f in (moto_gate, selected_dets, tracklets, zones, zone_stats, stability_report, segments_of_videos, held_vehicles)}
+    return {f.__name__: f() for f in (moto_gate, selected_dets, tracklets, zones, zone_stats, stability_report, segments_of_videos, held_vehicles, quad_states)}
