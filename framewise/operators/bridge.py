@@ -26,28 +26,40 @@ def link_ok(a: dict[str, Column], b: dict[str, Column], gap: Column, p: Params)
     )
 
 
-def _ends(struct: str) -> dict[str, Column]:
+def ends(struct: str) -> dict[str, Column]:
+    """A tracked plate's parts, from a struct column."""
     s = F.col(struct)
     return {"box": g.fields(s), "veh": g.Box(s["vx1"], s["vy1"], s["vx2"], s["vy2"]), "cls": s["vcls"], "conf": s["conf"], "frame": s["frame"]}
 
 
+def filled(missing: DataFrame, p: Params) -> DataFrame:
+    """Rows with the ends a and b of a gap, a missing `frame` and its `vehicles`: adds the bridge's box (struct) and conf."""
+    a, b = ends("a"), ends("b")
+    t = (F.col("frame") - a["frame"]) / (b["frame"] - a["frame"])
+    seen = F.coalesce("vehicles", F.expr("cast(array() as array<struct<ord:int,cls:int,x1:int,y1:int,x2:int,y2:int,conf:double>>)"))
+    own = missing.withColumn("veh", associate.live_vehicle(g.lerp(a["veh"], b["veh"], t), a["cls"], seen, p.min_vehicle_iou))
+    at = g.lerp_pose(g.pose(a["box"], a["veh"]), g.pose(b["box"], b["veh"]), t)
+    return own.withColumns({"box": g.placed(at, g.fields(F.col("veh"))).struct(), "conf": a["conf"] * (1 - t) + b["conf"] * t})
+
+
+def bridged(a: dict[str, Column], b: dict[str, Column], p: Params) -> Column:
+    """Whether frames are missing between two plates of a track, and the way over them is plausible."""
+    gap = b["frame"] - a["frame"] - 1
+    return (gap > 0) & link_ok(a, b, gap, p)
+
+
+END = ("frame", *g.Box._fields, "conf", "vx1", "vy1", "vx2", "vy2", "vcls")
+
+
 def bridges(tracked: DataFrame, vehicles: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """The missing frames of each track: video_id, frame, box, conf, src = bridge, track_id."""
-    row = F.struct("frame", *g.Box._fields, "conf", "vx1", "vy1", "vx2", "vy2", "vcls")
+    row = F.struct(*END)
     order = Window.partitionBy("video_id", "track_id").orderBy("frame")
     pairs = tracked.select("video_id", "track_id", row.alias("a"), F.lead(row).over(order).alias("b")).filter("b is not null")
-    a, b = _ends("a"), _ends("b")
-    gap = b["frame"] - a["frame"] - 1
-    pairs = pairs.filter((gap > 0) & link_ok(a, b, gap, p))
-    missing = pairs.withColumn("frame", F.explode(F.sequence(a["frame"] + 1, b["frame"] - 1)))
-    t = (F.col("frame") - a["frame"]) / (b["frame"] - a["frame"])
-    missing = missing.join(associate.vehicle_arrays(vehicles), ["video_id", "frame"], "left")
-    seen = F.coalesce("vehicles", F.expr("cast(array() as array<struct<ord:int,cls:int,x1:int,y1:int,x2:int,y2:int,conf:double>>)"))
-    missing = missing.withColumn("veh", associate.live_vehicle(g.lerp(a["veh"], b["veh"], t), a["cls"], seen, p.min_vehicle_iou))
-    at = g.lerp_pose(g.pose(a["box"], a["veh"]), g.pose(b["box"], b["veh"]), t)
-    box = g.placed(at, g.fields(F.col("veh")))
-    conf = a["conf"] * (1 - t) + b["conf"] * t
-    return missing.select("video_id", "frame", *(c.alias(n) for n, c in zip(g.Box._fields, box, strict=True)), conf.alias("conf"), F.lit("bridge").alias("src"), "track_id")
+    pairs = pairs.filter(bridged(ends("a"), ends("b"), p))
+    missing = pairs.withColumn("frame", F.explode(F.sequence(F.col("a.frame") + 1, F.col("b.frame") - 1)))
+    found = filled(missing.join(associate.vehicle_arrays(vehicles), ["video_id", "frame"], "left"), p)
+    return found.select("video_id", "frame", *(F.col(f"box.{n}").alias(n) for n in g.Box._fields), "conf", F.lit("bridge").alias("src"), "track_id")
 
 
 def zones(tracked: DataFrame, vehicles: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -1,24 +1,31 @@
 """Live tracking in micro-batches against the batch operator."""
 
+import pytest
 from compare import rows
 from test_tracking import cached, random_cache
 
-from framewise.operators import tracking
+from framewise.operators import bridge, tracking
 from framewise.schema import Params
 from framewise.streaming import live
 
 COLUMNS = ("video_id", "frame", "x1", "y1", "x2", "y2", "conf", "src", "track_id")
 
 
-def test_live_tracks_equal_batch_tracks(spark, tmp_path):
+@pytest.mark.parametrize("what", ["tracks", "zones"])
+def test_live_equals_batch(spark, tmp_path, what):
     p = Params(max_gap=6, moto_min_h_frac=0.15)
     frames, plates, vehicles = cached(spark, random_cache(11, 60))
     table = live.records(frames, plates, vehicles).cache()
     for k, (low, high) in enumerate(((0, 100), (100, 220), (220, 1000))):
         table.filter(f"frame >= {low} and frame < {high}").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    query = live.live_tracks(stream, p).writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run = {"tracks": live.live_tracks, "zones": live.live_zones}[what]
+    query = run(stream, p).writeStream.format("memory").queryName(what).outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
-    found = spark.table("live")
+    found = spark.table(what)
     assert not found.filter("late").count()
-    assert rows(found, *COLUMNS) == rows(tracking.selected(frames, plates, vehicles, p), *COLUMNS)
+    want = tracking.selected(frames, plates, vehicles, p)
+    if what == "zones":
+        want = bridge.zones(want, vehicles, p)
+        assert want.filter("src = 'bridge'").count() > 0
+    assert rows(found, *COLUMNS) == rows(want, *COLUMNS)
