@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import new_dir, shared_dir, written
+from ..shared import discard, new_dir, shared_dir, written
 from ..shipping import ship
 
-__all__ = ["arrow_rows", "drop_ids", "gathered", "kept", "new_dir", "released", "shared_dir", "table", "text_or_empty", "tidy", "trim", "unused_prefix", "written"]
+__all__ = ["arrow_rows", "discard", "drop_ids", "gathered", "kept", "new_dir", "released", "shared_dir", "table", "text_or_empty", "tidy", "trim", "unused_prefix", "written"]
 
 #: Rows of text in one Arrow batch: bounds a Python worker's memory together with Spark's byte limit.
 ARROW_ROWS = 256

@@ -61,7 +61,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, drop_ids, kept, released, tidy, unused_prefix, written
+from .common import arrow_rows, discard, drop_ids, kept, released, tidy, unused_prefix, written
 
 BITS = 48
 #: Frequencies are coded by bit length; from this code on a shingle is frequent (64 classes or more).
@@ -642,16 +642,29 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    before = labels
     while True:
         near = both.join(labels.select(F.col("class").alias("b"), "component"), "b").groupBy(F.col("a").alias("class")).agg(F.min("component").alias("near"))
         step = labels.join(near, "class").select("class", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("class").alias("mid"), F.col("component").alias("far"))
         step = written(step.join(jump, "mid").select("class", "old", F.least("mid", "far").alias("component")), "labels")
-        labels = step.select("class", "component")
+        discard(before)
+        labels, before = step.select("class", "component"), step
         if step.filter("old <> component").isEmpty():
+            discard(both)
             return labels
 
 
+def merged(component: DataFrame, more: DataFrame) -> DataFrame:
+    """The components of a written table after more links (a, b): only the graph of components is walked again."""
+    of = lambda end: component.select(F.col("class").alias(end), F.col("component").alias(f"c_{end}"))
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    joined = components(written(between.filter("a <> b").distinct(), "links")).select(F.col("class").alias("was"), F.col("component").alias("now"))
+    moved = component.join(joined, F.col("component") == F.col("was"), "left").select("class", F.coalesce("now", "component").alias("component"))
+    alone = joined.join(component, F.col("was") == F.col("class"), "left_anti").select(F.col("was").alias("class"), F.col("now").alias("component"))
+    return moved.unionByName(alone)
+
+
 # All links
 
 
@@ -695,7 +708,7 @@ def _joined(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
     component = components(links)
     more = written(verify_clusters(written(open_entries(entries, component), "open"), classes, num, den), "links")
     if not more.isEmpty():
-        component = components(links.union(more))
+        component = written(merged(component, more), "labels")
     return sets, classes, component
 
 
