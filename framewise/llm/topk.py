@@ -50,19 +50,17 @@ def quantised(rows: DataFrame, scale: int = 64) -> DataFrame:
     return part.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
-def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T of int64 matrices, in the cheapest arithmetic that is exact for their sizes."""
+def exact_dtype(a: np.ndarray, b: np.ndarray):
+    """The cheapest type in which all inner products of rows of two int64 matrices are exact."""
     most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2**24:
-        return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
-    if most < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most < 2**63:
-        return a @ b.T
-    out = a.astype(object) @ b.T.astype(object)
-    if out.size and not -(2**63) <= out.min() <= out.max() < 2**63:
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
+
+
+def as_scores(products: np.ndarray) -> np.ndarray:
+    """Products in an exact type as int64; an error where that can't hold them."""
+    if products.dtype == object and products.size and not -(2**63) <= products.min() <= products.max() < 2**63:
         raise OverflowError("a score is beyond 64 bits")
-    return out.astype(np.int64)
+    return products.astype(np.int64)
 
 
 def spread_out(sample: np.ndarray, count: int) -> np.ndarray:
@@ -131,13 +129,18 @@ class Best:
 
 def search_block(best: Best, q_ids, q, q_far, ids, x, far, step: int = 256) -> int:
     """Let one block of candidates meet the queries; how many scores were computed."""
-    evaluated = 0
+    evaluated, columns, kind = 0, np.ascontiguousarray(far.T), exact_dtype(q, x)
+    exact_x, exact_q = x.astype(kind), q.astype(kind)
     x_sq, q_sq = (x.astype(np.float64) ** 2).sum(1), (q.astype(np.float64) ** 2).sum(1)
-    for at in range(0, len(q), 64):
-        some = slice(at, min(at + 64, len(q)))
-        low = np.zeros((some.stop - at, len(x)))
+    # Few queries at a time, so that their bounds stay in the processor's cache.
+    away = np.empty((16, len(x)))
+    for at in range(0, len(q), 16):
+        some = slice(at, min(at + 16, len(q)))
+        low, way = np.zeros((some.stop - at, len(x))), away[: some.stop - at]
         for p in range(far.shape[1]):
-            np.maximum(low, np.abs(q_far[some, p, None] - far[None, :, p]), out=low)
+            np.subtract(q_far[some, p, None], columns[p], out=way)
+            np.abs(way, out=way)
+            np.maximum(low, way, out=low)
         total = q_sq[some, None] + x_sq[None, :]
         bound = np.floor((total - low**2) / 2 + 1e-5 * total + 1e-3)
         for j in range(some.stop - at):
@@ -149,7 +152,7 @@ def search_block(best: Best, q_ids, q, q_far, ids, x, far, step: int = 256) -> i
             start, width = 0, max(step, best.k)
             while start < len(order) and bound[j][order[start]] >= best.kth(i):
                 part = order[start : start + width]
-                scores = exact_products(x[part], q[i : i + 1])[:, 0]
+                scores = as_scores(exact_x[part] @ exact_q[i])
                 evaluated += len(part)
                 good = (scores >= best.kth(i)) & (ids[part] != q_ids[i])
                 if good.any():
