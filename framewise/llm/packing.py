@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, released, written
 from .tokens import tokenizer
 
+#: Parts of all lengths together, besides one a length.
+MOST_PARTS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -129,16 +131,18 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return sorted(slots)
 
 
-def pack(found: DataFrame, capacity: int, rows_per_part: int = 500_000) -> DataFrame:
+def pack(found: DataFrame, capacity: int, rows_per_part: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (a written table with doc_id, piece, length).
 
     Ranks within a length are counted in parts of about `rows_per_part` rows, so
-    that a length which a third of all pieces share isn't ranked in one task.
+    that a length which a third of all pieces share isn't ranked in one task: one
+    in `MOST_PARTS` of all pieces, but 1,000 at least.
     """
     spark = found.sparkSession
     histogram = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = np.array(plan(histogram, capacity), np.int64).reshape(-1, 5)
-    # The parts of all lengths number at most capacity + pieces / rows_per_part; there is no larger broadcast here.
+    rows_per_part = rows_per_part or max(1000, sum(histogram.values()) // MOST_PARTS)
+    # The parts of all lengths number at most capacity + MOST_PARTS; there is no larger broadcast here.
     parts = spark.createDataFrame([(n, -(-c // rows_per_part)) for n, c in histogram.items()], "_length long, _parts long")
     number = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_parts"))
     dealt = found.join(F.broadcast(parts), F.col("length") == F.col("_length")).withColumn("_part", number).drop("_length", "_parts")
