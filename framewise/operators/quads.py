@@ -16,6 +16,10 @@ from .tracking import cut_where, in_segments
 
 # Ratios to enter and to hold, frames held, steps of giving up.
 ENTER, HOLD, PATIENCE, STEPS = 0.75, 0.40, 10, 4
+# How far points move to an estimate (found again, moving, still), and the pixels from which a zone moves.
+FOUND_AGAIN, MOVING, STILL, MOVE = 0.8, 0.65, 0.5, 8.0
+# How far an estimate may lie from the quad (of its sides) and from the zone's middle (of its side), and how much smaller it may be.
+NEAR_QUAD, NEAR_ZONE, SHRINK = 0.4, 0.30, 0.5
 
 
 def quad_area(q: np.ndarray) -> float:
@@ -48,12 +52,12 @@ class Quad:
         at, now = new.mean(0), glided.mean(0)
         ratio = quad_area(new) / area
         span = np.maximum(glided.max(0) - glided.min(0), 1.0)
-        agrees = ratio >= 0.5 * self.ratio and bool((np.abs(at - now) <= 0.4 * span).all())
+        agrees = ratio >= SHRINK * self.ratio and bool((np.abs(at - now) <= NEAR_QUAD * span).all())
         if agrees:
-            return 0.65 if max(map(abs, self.offset(zone))) >= 8.0 else 0.5
+            return MOVING if max(map(abs, self.offset(zone))) >= MOVE else STILL
         side = max(zone[2] - zone[0], zone[3] - zone[1], 1.0)
         off = math.hypot(at[0] - (zone[0] + zone[2]) * 0.5, at[1] - (zone[1] + zone[3]) * 0.5)
-        return 0.8 if off <= 0.30 * side and ratio >= max(HOLD, self.ratio) else 0.0
+        return FOUND_AGAIN if off <= NEAR_ZONE * side and ratio >= max(HOLD, self.ratio) else 0.0
 
     def step(self, zone, estimate, area: float) -> bool:
         """Take the next frame's zone and estimate (or None); whether the quad is to be used."""
