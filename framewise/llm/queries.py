@@ -29,7 +29,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same join with each document's number of links, which the SQL of `op2_ngram_jaccard` has no column for."""
+    """The same join with each document's number of links."""
     return ngram_join.join_links(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
@@ -86,7 +86,8 @@ def queries() -> dict[str, Query]:
     }
 
 
-OP2_SQL = """
+#: Sets, links and reached documents of the n-gram join.
+LINKED = """
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
 s as (
@@ -98,9 +99,17 @@ c as (select a.doc_id as a, b.doc_id as b, count(*) as k from u a join u b on a.
 l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
 e as (select a, b from l union all select b, a from l),
 r as (select doc_id, doc_id as reached from n union select r.doc_id, e.b from r join e on e.a = r.reached)
+"""
+
+OP2_SQL = f"""{LINKED}
 select doc_id, n.n as n_shingles, min(reached) as component_id from r join n using (doc_id) group by all
 """
 
+OP2_LINKS_SQL = f"""{LINKED}
+select doc_id, n.n as n_shingles, min(reached) as component_id, coalesce(any_value(c.n_links), 0) as n_links
+from r join n using (doc_id) left join (select a as doc_id, count(*) as n_links from e group by a) c using (doc_id) group by doc_id, n.n
+"""
+
 OP3_SQL = """
 with d as (select doc_id, sha256(coalesce(text, '')) as h from documents),
 g as (select h, max(doc_id) as keep_id, count(*) as group_size from d group by h)
@@ -145,4 +154,4 @@ from d left join g using (k)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_topk_search": OP7_SQL, "op8_warc": OP8_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op2_ngram_links": OP2_LINKS_SQL, "op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_topk_search": OP7_SQL, "op8_warc": OP8_SQL}
