@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, mixing, ngram_join, packing, token_store, topk, toxicity, warc
+from . import chat, exact_dedup, licenses, merkle, mixing, ngram_join, packing, sentencepieces, token_store, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pieces_path() -> str:
+    """The SentencePiece model that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -70,6 +77,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's place in the manifest, and what the proofs say once the line ends of half the texts are gone."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    changed = F.when(tampered, merkle.row_digest({"text": F.replace(F.col("text"), F.lit("\n"), F.lit(""))}))
+    return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents"), {"changed": changed}), "changed")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"), pieces_path())
+    return sentencepieces.digest(sentencepieces.decode(encoded, pieces_path()))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -83,6 +102,8 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_temperature_mix": op9_temperature_mix,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_sentencepiece": op13_sentencepiece,
     }
 
 
