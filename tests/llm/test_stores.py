@@ -96,8 +96,67 @@ def test_a_plan_seats_every_item_once(lengths, capacity):
             assert offset == at
             at += n
         assert at <= capacity
-    ideal = -(-sum(lengths) // capacity)
-    assert len(places) <= max(ideal * 11 / 9 + 1, ideal)
+    assert len(places) >= fewest_bound(lengths, capacity)
+    third = capacity // 3
+    if all(n > third for n in lengths):
+        assert len(places) == pairs_of_large(lengths, capacity)
+
+
+def fewest_bound(lengths, capacity):
+    """No packing needs fewer bins: by volume, and by the pairing of what is over a third."""
+    return max(-(-sum(lengths) // capacity), pairs_of_large([n for n in lengths if n > capacity // 3], capacity))
+
+
+def pairs_of_large(lengths, capacity):
+    """Bins of items over a third of the capacity, at most two in each: the largest with the smallest if they fit."""
+    left, bins = sorted(lengths), 0
+    while left:
+        a = left.pop()
+        if left and a + left[0] <= capacity:
+            left.pop(0)
+        bins += 1
+    return bins
+
+
+def fewest(lengths, capacity):
+    """The least number of bins by exhaustive search."""
+    best = len(lengths)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(lengths):
+            best = len(bins)
+            return
+        for k in {used: k for k, used in enumerate(bins)}.values():
+            if bins[k] + lengths[i] <= capacity:
+                bins[k] += lengths[i]
+                place(i + 1, bins)
+                bins[k] -= lengths[i]
+        bins.append(lengths[i])
+        place(i + 1, bins)
+        bins.pop()
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best
+
+
+@given(st.lists(st.integers(1, 60), max_size=9), st.integers(10, 60))
+@settings(max_examples=200, deadline=None)
+def test_a_plan_is_near_the_exhaustive_one(lengths, capacity):
+    lengths = [min(n, capacity) for n in lengths]
+    slots = packing.plan(dict(Counter(lengths)), capacity)
+    bins = set()
+    for n, count in Counter(lengths).items():
+        own = [s for s in slots if s[0] == n]
+        for rank in range(count):
+            _, first, base, each, _ = max((s for s in own if s[1] <= rank), key=lambda s: s[1])
+            bins.add(base + (rank - first) // each)
+    best = fewest(lengths, capacity)
+    assert best <= len(bins) <= best + 1
+    assert len(bins) == best or best > 2
 
 
 def test_packing_holds_all_ids(spark, documents, edge, nothing):
