@@ -53,15 +53,15 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     # A run starts where the role differs from that of the turn before.
     starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.col("turns")[i - 1]["role"] != F.col("turns")[i - 2]["role"]))
     own = own.withColumn("starts", starts)
-    ends = F.transform("starts", lambda s, k: F.when(k + 1 < F.size("starts"), F.col("starts")[k + 1]).otherwise(n + 1))
-    own = own.withColumn("ends", ends)
+    # Runs as the array that is walked, not as a column named within the walk, which the optimizer may work out anew for each run.
+    runs = F.transform("starts", lambda s, k: F.struct(s.alias("start"), (F.coalesce(F.get("starts", k + 1), n + 1) - s).alias("turns")))
     pieces = F.transform(
-        "starts",
-        lambda s, k: F.concat(
+        runs,
+        lambda r: F.concat(
             F.lit(START),
-            F.col("turns")[s - 1]["role"],
+            F.col("turns")[r["start"] - 1]["role"],
             F.lit(BODY),
-            F.array_join(F.transform(F.slice("turns", s, F.col("ends")[k] - s), lambda t: t["text"]), SEP),
+            F.array_join(F.transform(F.slice("turns", r["start"], r["turns"]), lambda t: t["text"]), SEP),
             F.lit(END),
         ),
     )
@@ -70,6 +70,22 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     return own.select("conv_id", F.array_join(pieces, "").alias("formatted"), spans.alias("loss_spans"))
 
 
+#: Code points of a block that loss spans are read from.
+BLOCK = 4096
+
+
+def _bound(value: Column, use) -> Column:
+    """`use` of a value that is worked out once, however often and in however many lambdas it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _span(blocks: Column, start: Column, length: Column) -> Column:
+    """A span of the text that the blocks make up: only its own blocks are touched."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((start + length) / BLOCK).cast("int")
+    own = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.substring(own, (start - first * BLOCK + 1).cast("int"), length.cast("int"))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, the turns (role, text) and the text under the loss mask, from the formatted string and its spans."""
 
@@ -79,10 +95,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
     runs = F.filter(pieces(F.col("formatted"), END), lambda r, i: r != "")
 
     def turns_of(run: Column) -> Column:
-        head = pieces(run.substr(F.lit(len(START) + 1), F.length(run)), BODY)
-        return F.transform(pieces(head[1], SEP), lambda t: F.struct(unescaped(head[0]).alias("role"), unescaped(t).alias("text")))
+        def texts(head: Column) -> Column:
+            return _bound(unescaped(head[0]), lambda role: F.transform(pieces(head[1], SEP), lambda t: F.struct(role.alias("role"), unescaped(t).alias("text"))))
+
+        return _bound(pieces(run.substr(F.lit(len(START) + 1), F.length(run)), BODY), texts)
 
-    loss = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    blocks = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+    loss = _bound(F.struct(blocks.alias("blocks"), F.col("loss_spans").alias("spans")), lambda x: F.transform(x["spans"], lambda s: unescaped(_span(x["blocks"], s["start"], s["length"]))))
     return formatted.select("conv_id", F.flatten(F.transform(runs, turns_of)).alias("turns"), F.array_join(loss, "").alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 

@@ -5,6 +5,7 @@ import io
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -264,6 +265,22 @@ def test_chats_are_read_back(spark):
     assert chat.digest(chat.format_chat(turns.filter("conv_id = 99"))).count() == 0
 
 
+@pytest.mark.parametrize("other", ["user", "assistant"])
+def test_long_conversations_take_time_in_proportion(spark, other):
+    def seconds(n):
+        role = F.when(F.col("id") % 2 == 0, other).otherwise("assistant")
+        turns = spark.range(0, n, 1, 2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.repeat(F.lit("abcdé"), 100), F.col("id").cast("string")).alias("text"))
+        begun = time.perf_counter()
+        (found,) = chat.digest(chat.format_chat(turns)).collect()
+        assert found.n_turns == n and found.loss_chars == sum(500 + len(str(i)) for i in range(n) if other == "assistant" or i % 2)
+        return time.perf_counter() - begun
+
+    seconds(100)
+    seconds(4000)
+    short = min(seconds(4000), seconds(4000))
+    assert min(seconds(8000), seconds(8000)) <= 2.5 * short + 0.5
+
+
 def test_search_equals_brute_force(spark):
     r = random.Random(4)
     data = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 330)]
