@@ -117,6 +117,10 @@ class Vocabulary:
         for c in sorted({c for p in self.id_of for c in p} - self.symbol.keys()):
             self.symbol[c] = len(self.pieces) + len(self.symbol)
         self.n_symbols = len(self.pieces) + len(self.symbol) + 1
+        # Code point -> symbol; the last symbol stands for all other characters.
+        self.symbols = np.full(0x110000, self.n_symbols - 1, np.int32)
+        for c, i in self.symbol.items():
+            self.symbols[ord(c)] = i
         self.rank = np.full(self.n_symbols, NEVER, np.int32)
         order = {s: k for k, s in enumerate(sorted({scores[i] for i in self.id_of.values()}, reverse=True))}
         for i in self.id_of.values():
@@ -196,17 +200,20 @@ class Encoder:
         short = [w for w in words if len(w) <= LONG]
         for w in words:
             if len(w) > LONG:
-                found[w] = self._ids(w, self._by_heap(self._symbols(w)))
+                found[w] = self._ids(w, self._by_heap(self._symbols(w).tolist()))
         if short:
-            symbols = np.array([s for w in short for s in self._symbols(w)], np.int32)
             sizes = np.fromiter(map(len, short), np.int64, len(short))
-            for k, ids in merge_rounds(symbols, sizes, v):
-                found[short[k]] = self._ids(short[k], ids.tolist())
+            symbols, number = merge_rounds(self._symbols("".join(short)), sizes, v)
+            counts = np.bincount(number, minlength=len(short))
+            ends = np.cumsum(counts)
+            raw, cuts = symbols.astype("<u4").tobytes(), (4 * ends).tolist()
+            found.update(zip(short, [raw[a:b] for a, b in zip([0, *cuts], cuts)], strict=True))
+            for k in np.unique(number[symbols >= len(v.pieces)]).tolist():
+                found[short[k]] = self._ids(short[k], symbols[ends[k] - counts[k] : ends[k]].tolist())
         return found
 
-    def _symbols(self, word: str) -> list[int]:
-        other = self.vocabulary.n_symbols - 1
-        return [self.vocabulary.symbol.get(c, other) for c in word]
+    def _symbols(self, text: str) -> np.ndarray:
+        return self.vocabulary.symbols[np.frombuffer(text.encode("utf-32-le"), "<u4")]
 
     def _ids(self, word: str, symbols: list[int]) -> bytes:
         """Symbols outside the vocabulary are single characters: their bytes, or the unknown id."""
@@ -294,12 +301,13 @@ class Encoder:
         return "".join(out)
 
 
-def merge_rounds(symbols: np.ndarray, sizes: np.ndarray, v: Vocabulary) -> Iterator[tuple[int, np.ndarray]]:
-    """(word, its symbols after all merges), in the order in which words are done.
+def merge_rounds(symbols: np.ndarray, sizes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols after all merges, word by word, and the number of each symbol's word.
 
     `symbols` has the words' symbols in a row, `sizes` how many each has.
     """
     number = np.repeat(np.arange(len(sizes)), sizes)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
     while len(symbols):
         # Rank of the pair that begins at each symbol; the last of a word begins none.
         rank = np.full(len(symbols), NEVER, np.int32)
@@ -313,19 +321,22 @@ def merge_rounds(symbols: np.ndarray, sizes: np.ndarray, v: Vocabulary) -> Itera
             made[within] = v.merged[at]
             rank[within] = v.rank[v.merged[at]]
         starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-        least = np.minimum.reduceat(rank, starts)
         lengths = np.diff(np.r_[starts, len(symbols)])
-        open_ = least != NEVER
-        for k in np.flatnonzero(~open_).tolist():
-            yield int(number[starts[k]]), symbols[starts[k] : starts[k] + lengths[k]]
+        least = np.repeat(np.minimum.reduceat(rank, starts), lengths)
+        closed = least == NEVER
+        done.append((symbols[closed], number[closed]))
         # The leftmost pair of least rank of each word that goes on.
-        each = np.repeat(least, lengths)
-        best = np.flatnonzero((rank == each) & (each != NEVER))
+        best = np.flatnonzero((rank == least) & ~closed)
         best = best[np.r_[True, number[best][1:] != number[best][:-1]]] if len(best) else best
         symbols[best] = made[best]
-        stay = np.repeat(open_, lengths)
+        stay = ~closed
         stay[best + 1] = False
         symbols, number = symbols[stay], number[stay]
+    if not done:
+        return symbols, number
+    symbols, number = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.argsort(number, kind="stable")
+    return symbols[order], number[order]
 
 
 def encoder(path: str) -> Encoder:
