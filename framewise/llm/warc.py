@@ -166,24 +166,29 @@ def write_archives(pages: DataFrame, directory: str | None = None, least: int =
 
 
 def read_archives(files: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page record of a table of files."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page record of a table of files; each must hold as many as its row says, if it does."""
 
     def read(batches):
-        for uri in (x for batch in batches for x in batch.column(0).to_pylist()):
+        for uri, written_rows in (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             rows: list[tuple] = []
+            n = 0
             with storage.read_stream(uri) as stream:
                 for headers, block in records(stream):
                     if headers["warc-type"] == "warcinfo":
                         continue
+                    n += 1
                     page_id, response = headers.get("x-page-id"), headers["warc-type"] == "response"
                     rows.append((None if page_id is None else int(page_id), len(block) if response else None, headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"], headers["warc-record-id"], headers.get("warc-refers-to")))
                     if len(rows) == 10_000:
                         yield _batch(rows)
                         rows = []
+            if written_rows is not None and n != written_rows:
+                raise DamagedArchive(f"{uri} has {n} records of {written_rows}")
             if rows:
                 yield _batch(rows)
 
-    found = written(files.select("uri").repartition(max(1, files.count()), "uri").mapInArrow(read, FOUND), "warc-records")
+    rows_of = F.col("rows") if "rows" in files.columns else F.lit(None).cast("long")
+    found = written(files.select("uri", rows_of.alias("rows")).repartition(max(1, files.count()), "uri").mapInArrow(read, FOUND), "warc-records")
     revisits = found.filter("record_type = 'revisit'").drop("size")
     named = revisits.select(F.col("refers").alias("record")).distinct()
     responses = found.filter("record_type = 'response'").join(named, "record").select(F.col("record").alias("refers"), F.col("page_id").alias("refers_to"), "size", F.col("payload_digest").alias("digest"))

@@ -189,6 +189,26 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.filter("page_id = 77"))).count() == 0
 
 
+def test_an_archive_cut_between_members_is_noticed(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string").coalesce(1)
+    files = warc.write_archives(pages, f"file://{tmp_path}/archives")
+    assert warc.read_archives(files).count() == 2
+    path = files.first().uri.removeprefix("file://")
+    with open(path, "rb") as f:
+        data = f.read()
+    ends, rest = [], data
+    while rest:
+        unpacker = zlib.decompressobj(31)
+        unpacker.decompress(rest)
+        rest = unpacker.unused_data
+        ends.append(len(data) - len(rest))
+    assert len(ends) == 3
+    with open(path, "wb") as f:
+        f.write(data[: ends[1]])
+    with pytest.raises(Exception, match="1 records of 2"):
+        warc.read_archives(files).count()
+
+
 def plain_records(path):
     """A reader of its own: all members of a file at once, headers and blocks by Content-Length."""
     import gzip
