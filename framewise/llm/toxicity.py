@@ -2,12 +2,12 @@
 
 A sentence's probability is a logistic function of the words in it and of their
 beginnings (3 to 7 characters, so that new compounds of a known stem count); a
-document's is the noisy-or, 1 - prod(1 - p), of one small constant and of its
-sentences whose known words speak for toxicity. Other sentences add nothing,
-however many there are. The weights are fitted so that the noisy-or agrees with
-the labels of documents, so the sentences that carry a toxic document's score are
-located without sentence labels. Fitting takes all sentences with known words,
-as a word's weight may still turn to either side.
+document's is the noisy-or, 1 - prod(1 - p), of one small constant and of what each
+sentence has beyond that constant, if anything: (1 - p) / (1 - constant), at most 1.
+So sentences that say nothing, or next to nothing, add as little, however many
+there are. The weights are fitted so that this noisy-or agrees with the labels of
+documents, so the sentences that carry a toxic document's score are located without
+sentence labels.
 
 Fitting uses at most `sample_rows` labelled rows with different texts, the first
 by a hash of doc_id, and the `most_words` features that tell most about the label
@@ -92,7 +92,7 @@ class Model:
             if known <= 0:
                 continue
             z = self.bias + known
-            total += max(z, 0.0) + log1p(exp(-abs(z)))
+            total += max(z, 0.0) + log1p(exp(-abs(z))) - plain
             if locate and z >= 0:
                 spans.append((m.start(), m.end(), 1 / (1 + exp(-z))))
         return -expm1(-total), spans
@@ -169,11 +169,14 @@ def _fit(y: np.ndarray, known: list, vocabulary: list[bytes], rounds: int, ridge
     for t in range(1, rounds + 1):
         z = x[-1] + np.bincount(sentence_of, x[word], len(sentences))
         p, p0 = 1 / (1 + np.exp(-np.clip(z, -50, 50))), 1 / (1 + np.exp(-x[-1]))
-        rest = np.bincount(doc_of, np.logaddexp(0, z), len(y)) + np.logaddexp(0, x[-1])
+        # A sentence counts by its excess over the bias alone; below it, not at all.
+        counts = z >= x[-1]
+        rest = np.bincount(doc_of, np.where(counts, np.logaddexp(0, z) - np.logaddexp(0, x[-1]), 0.0), len(y)) + np.logaddexp(0, x[-1])
         # Loss by `rest` = -log(1 - score): 1 for clean documents, -1 / (e^rest - 1) for toxic ones.
         by_rest = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(rest, 50)), 1e-9), 1.0) / len(y)
-        by_z = by_rest[doc_of] * p
-        g = np.append(np.bincount(word, by_z[sentence_of], len(vocabulary)) + ridge * x[:-1], by_z.sum() + by_rest.sum() * p0)
+        by_doc = np.where(counts, by_rest[doc_of], 0.0)
+        by_z = by_doc * p
+        g = np.append(np.bincount(word, by_z[sentence_of], len(vocabulary)) + ridge * x[:-1], (by_doc * (p - p0)).sum() + by_rest.sum() * p0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
         x[-1] = min(x[-1], MOST_BIAS)
