@@ -6,8 +6,9 @@ tag `spdx license identifier` is one of them: from its place, the text after a
 colon, up to the next tag or the line's end, begins with a licence expression
 (and / or / with, parentheses; `with` binds strongest, `or` least), which is
 taken whole and evaluated against a set of permitted licences. Prose may follow:
-the expression ends where a word can't continue it, or with a name before a full
-stop, comma or semicolon.
+the expression ends where a word can't continue it, before an operator that no
+licence follows (a licence is of a known family, or its name has a digit or a
+dash), or with a name before a full stop, comma or semicolon.
 
 Result for nulls and odd input: null or empty text has no words and no labels
 and score 0; very long texts and expressions are taken whole, in time in
@@ -212,9 +213,17 @@ def scan(text: bytes | None) -> Scan:
     return found
 
 
+def is_identifier(name: str) -> bool:
+    """Whether a lower-case name is a licence's: a known family, or of the form of an identifier (a digit or a dash in it)."""
+    return label_of(name) in FAMILIES.values() or name[0].isalnum() and any(c.isdigit() or c == "-" for c in name)
+
+
 def leading_expression(text: str) -> str:
-    """The licence expression that a text begins with; raises BadExpression where it breaks off or a licence follows."""
-    depth, complete, end = 0, False, 0
+    """The licence expression that a text begins with; raises BadExpression where it breaks off or a licence follows.
+
+    Prose after an operator ends the expression before that operator.
+    """
+    depth, complete, end, whole = 0, False, 0, None
     for m in TOKEN.finditer(text):
         token = m[0]
         name = token.rstrip(".,;:") if token not in BINDS else ""
@@ -225,14 +234,18 @@ def leading_expression(text: str) -> str:
             end = m.end()
         elif token in BINDS and complete:
             complete = False
-        elif not complete and name and TOKEN.fullmatch(name) and name[0].isalnum():
+        elif not complete and name and TOKEN.fullmatch(name) and is_identifier(name):
             complete, end = True, m.start() + len(name)
-            if name != token:
-                break
+        elif not complete and name and name[0].isalpha() and whole:
+            return text[:whole]
         elif complete and not depth and label_of(name) not in FAMILIES.values():
             break
         else:
             raise BadExpression(text)
+        if complete and not depth:
+            whole = end
+        if complete and name and name != token:
+            break
     if depth or not complete:
         raise BadExpression(text)
     return text[:end]
@@ -259,7 +272,10 @@ def _tags(low: bytes, tags: list[int], found: Scan, weights: dict[str, float]) -
             postfix = to_postfix(expression)
         except BadExpression:
             found.expressions.append(rest.rstrip("*/#-> ").strip())
-            found.labels.update(label_of(t) for t in re.findall(r"[a-z0-9.+-]+", rest) if label_of(t) in FAMILIES.values())
+            known = {label_of(t) for t in re.findall(r"[a-z0-9.+-]+", rest)} & {*FAMILIES.values()}
+            found.labels |= known
+            if known:
+                weights[TAG] = TAG_WEIGHT
             continue
         found.expressions.append(expression)
         exceptions = {postfix[i - 1] for i, t in enumerate(postfix) if t == "with"}

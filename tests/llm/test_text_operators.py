@@ -54,6 +54,7 @@ def test_tags_give_labels_and_a_verdict():
     found = licenses.scan(b"# SPDX-License-Identifier: GPL-3.0-only WITH GCC-exception-3.1\n/* SPDX-License-Identifier: MIT */")
     assert found.labels == {"gpl", "mit"} and found.permitted is False and found.score > 0.9
     assert licenses.scan(b"SPDX-License-Identifier: MIT or").permitted is None
+    assert licenses.scan(b"SPDX-License-Identifier: MIT or").score > 0.5 and licenses.scan(b"SPDX-License-Identifier: NONE").score == 0
 
 
 def test_long_expressions_are_taken_whole():
@@ -72,7 +73,12 @@ def test_long_expressions_are_taken_whole():
     ("text", "expressions", "labels", "permitted"),
     [
         ("SPDX-License-Identifier: MIT. Then prose goes on.", ["mit"], {"mit"}, True),
-        ("see SPDX-License-Identifier: MIT and more; it says", ["mit and more"], {"mit", "more"}, False),
+        ("see SPDX-License-Identifier: MIT and more; it says", ["mit"], {"mit"}, True),
+        ("SPDX-License-Identifier: GPL-2.0 or later", ["gpl-2.0"], {"gpl"}, False),
+        ("SPDX-License-Identifier: MIT and this file is free", ["mit"], {"mit"}, True),
+        ("SPDX-License-Identifier: MIT or (as said) Apache-2.0", ["mit"], {"mit"}, True),
+        ("SPDX-License-Identifier: NONE", ["none"], set(), None),
+        ("SPDX-License-Identifier: EUPL-1.2 AND 0BSD", ["eupl-1.2 and 0bsd"], {"eupl-1.2", "0bsd"}, False),
         ("(SPDX-License-Identifier: GPL-2.0 OR MIT) as said", ["gpl-2.0 or mit"], {"gpl", "mit"}, True),
         ("SPDX-License-Identifier:\nMIT and more", [], set(), None),
         ("SPDX-License-Identifier: ISC\r\nGPL-2.0", ["isc"], {"isc"}, True),
@@ -341,7 +347,7 @@ def noisy_or(model, text):
         for word in re.findall("[0-9a-z\x80-\U0010ffff]+", sentence):
             known += model.weights.get(word.encode(), 0.0) + sum(model.weights.get(word[:k].encode() + b"*", 0.0) for k in range(3, 8) if k <= len(word))
         if known > 0:
-            clean /= 1 + math.exp(model.bias + known)
+            clean *= (1 + math.exp(model.bias)) / (1 + math.exp(model.bias + known))
     return 1 - clean
 
 
@@ -375,6 +381,10 @@ def test_length_alone_is_never_toxic(spark, nothing):
     assert [r.doc_id for r in toxicity.reject(long, fitted).collect()] == [1]
     assert none.weights == {} and toxicity.reject(long, none).count() == 2
     assert {none.document(t)[0] for t in (None, b"", b"x", clean.encode())} == {none.document(b"some words")[0]}
+    # Nor do many sentences with a word that says next to nothing.
+    near = toxicity.Model({b"river": 0.01}, -10.0)
+    assert near.document(clean.encode())[0] < 0.05
+    assert toxicity.reject(long, near).count() == 2
     # Nor do sentences whose known words speak against toxicity.
     assert toxicity.Model({b"river": -0.5, b"zork": 30.0}, -10.0).document(clean.encode())[0] < 0.01
 
