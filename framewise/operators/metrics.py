@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import geometry as g
 from ..schema import MOTO
-from . import associate
+from . import associate, quantiles
 
 # The seconds looked at, full coverage, longest blink in frames.
 KEY_SECONDS = (9.0, 18.0, 24.0, 28.0)
@@ -85,14 +86,23 @@ def coverage(plates: DataFrame, zones: DataFrame, floor: float = 0.15, least_w:
     return own.select("video_id", "frame", "pord", *g.Box._fields, "conf", "frac", verdict.alias("verdict"), offset.alias("offset"))
 
 
+def statistics(values: DataFrame, wanted: dict[str, tuple[float, ...]], empty: float | None = None) -> tuple[DataFrame, dict[str, list[Column]]]:
+    """The values written once, and exact percentiles of their columns as constants; `empty` where a column has no values."""
+    kept = shared.written(values, "values")
+    found = quantiles.percentiles(kept, wanted)
+    return kept, {c: [F.lit(empty if x is None else x).cast("double") for x in xs] for c, xs in found.items()}
+
+
 def coverage_report(covered: DataFrame) -> DataFrame:
     is_ = lambda v: F.col("verdict") == v
+    covered, found = statistics(covered.select("verdict", "offset"), {"offset": (0.5, 0.95)}, 0.0)
+    middle, p95 = found["offset"]
     return covered.agg(
         F.count_if(is_("uncovered")).alias("uncovered"),
         F.count_if(is_("partial")).alias("partial"),
         F.count_if(is_("micro")).alias("micro_missed"),
-        F.coalesce(F.median("offset"), F.lit(0.0)).alias("offset_median"),
-        F.coalesce(F.percentile("offset", F.lit(0.95)), F.lit(0.0)).alias("offset_p95"),
+        middle.alias("offset_median"),
+        p95.alias("offset_p95"),
         F.coalesce(F.max("offset"), F.lit(0.0)).alias("offset_max"),
     )
 
@@ -117,14 +127,15 @@ def jitter(points: DataFrame) -> DataFrame:
 
 
 def jitter_report(samples: DataFrame) -> DataFrame:
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    samples, found = statistics(samples.select("px", "rel"), {"px": (0.5, 0.95), "rel": (0.5, 0.95)}, 0.0)
+    (px, px95), (rel, rel95) = found["px"], found["rel"]
     return samples.agg(
-        zero(F.median("px")).alias("jitter_median"),
-        zero(F.percentile("px", F.lit(0.95))).alias("jitter_p95"),
-        zero(F.max("px")).alias("jitter_max"),
+        px.alias("jitter_median"),
+        px95.alias("jitter_p95"),
+        F.coalesce(F.max("px"), F.lit(0.0)).alias("jitter_max"),
         F.count("*").alias("jitter_samples"),
-        zero(F.median("rel")).alias("size_median"),
-        zero(F.percentile("rel", F.lit(0.95))).alias("size_p95"),
+        rel.alias("size_median"),
+        rel95.alias("size_p95"),
     )
 
 
@@ -188,9 +199,18 @@ def runs(flagged: DataFrame, fps: float) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, column: str, points: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    found = F.percentile(column, F.array(*map(F.lit, points)))
-    own = rows.agg(F.count(column).alias("n"), F.max(column).alias("max"), found.alias("p"))
-    return own.select("n", "max", *(F.col("p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(points)))
+    own, found = statistics(rows.select(column), {column: points})
+    return own.agg(F.count(column).alias("n"), F.max(column).alias("max"), *(x.alias(f"p{round(100 * q)}") for x, q in zip(found[column], points, strict=True)))
+
+
+def plate_sizes(moto_plates_: DataFrame) -> DataFrame:
+    """Median width and height of motorcycles' plates, of all and of those with their centre in the box."""
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    geo = lambda c: F.when(F.col("geo"), c)
+    names = ("w", "h", "geo_w", "geo_h")
+    sizes = moto_plates_.select(*(c.alias(n) for c, n in zip((w, h, geo(w), geo(h)), names, strict=True)))
+    own, found = statistics(sizes, dict.fromkeys(names, (0.5,)))
+    return own.agg(*(found[n][0].alias(n) for n in names))
 
 
 def run_summary(frames: DataFrame, plates: DataFrame, seconds: float, fps: float, quads: DataFrame | None = None) -> DataFrame:

@@ -221,10 +221,7 @@ def plates_by_source(s: SparkSession, d: str) -> DataFrame:
 
 
 def plate_size_medians(s: SparkSession, d: str) -> DataFrame:
-    own = metrics.moto_plates(_plates(s, d), _vehicles(s, d))
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    geo = lambda c: F.median(F.when(F.col("geo"), c))
-    return own.agg(F.median(w).alias("w"), F.median(h).alias("h"), geo(w).alias("geo_w"), geo(h).alias("geo_h"))
+    return metrics.plate_sizes(metrics.moto_plates(_plates(s, d), _vehicles(s, d)))
 
 
 def key_second_hits(s: SparkSession, d: str) -> DataFrame:

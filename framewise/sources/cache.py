@@ -93,16 +93,21 @@ def replay_index(clip_frame: Column, start: Column, fps: Column, stored_whole: C
     return F.when(stored_whole & (F.coalesce(start, F.lit(0.0)) > 0), clip_frame + F.rint(start * fps).cast("int")).otherwise(clip_frame)
 
 
-def to_lines(frames: DataFrame, plates: DataFrame, vehicles: DataFrame, header: dict, key: str = "video_id") -> DataFrame:
-    """key, at, value: cache lines of each video in file order, with header and trailer."""
-    import json
-
+def body_lines(frames: DataFrame, plates: DataFrame, vehicles: DataFrame, key: str = "video_id") -> DataFrame:
+    """key, at (the frame), value: a cache line for each frame."""
     p = plates.groupBy(key, "frame").agg(F.array_sort(F.collect_list(F.struct("pord", *_plate_json().values()))).alias("ps"))
     v = vehicles.groupBy(key, "frame").agg(F.array_sort(F.collect_list(F.struct("ord", _vehicle_json().alias("j")))).alias("vs"))
     rows = frames.select(key, "frame").distinct().join(p, [key, "frame"], "left").join(v, [key, "frame"], "left")
     joined = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["j"]), ", "), F.lit(""))
     line = F.concat(F.lit('{"f": '), F.col("frame").cast("string"), F.lit(', "p": ['), joined("ps"), F.lit('], "v": ['), joined("vs"), F.lit("]}"))
-    body = rows.select(key, F.col("frame").cast("long").alias("at"), line.alias("value"))
+    return rows.select(key, F.col("frame").cast("long").alias("at"), line.alias("value"))
+
+
+def to_lines(frames: DataFrame, plates: DataFrame, vehicles: DataFrame, header: dict, key: str = "video_id") -> DataFrame:
+    """key, at, value: cache lines of each video in file order, with header and trailer."""
+    import json
+
+    body = body_lines(frames, plates, vehicles, key)
     ends = frames.groupBy(key).agg(F.count_distinct("frame").alias("n"))
     top = ends.select(key, F.lit(-1).cast("long").alias("at"), F.lit(json.dumps(header)).alias("value"))
     tail = ends.select(key, F.lit(1 << 40).alias("at"), F.concat(F.lit('{"eof": '), F.col("n").cast("string"), F.lit("}")).alias("value"))
