@@ -414,7 +414,7 @@ def stability_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def held_vehicles(s: SparkSession, d: str) -> DataFrame:
-    return holds.held(_frames(s, d), _vehicles(s, d))
+    return holds.held(_frames(s, d), shared.written(_vehicles(s, d), "vehicles"))
 
 
 def quad_states(s: SparkSession, d: str) -> DataFrame:

@@ -110,6 +110,54 @@ def test_segments_change_neither_gate_nor_holds(spark, gap):
     assert holds.held(f.filter("frame < 0"), vehicles.filter("frame < 0"), p).count() == 0
 
 
+def plain_splits(vehicles, p):
+    """Boxes that splits restore, before any is in the way of another: motorcycle by motorcycle over all earlier boxes."""
+    few = {}
+    for r in sorted(vehicles, key=lambda r: (r.frame, r.ord)):
+        if r.cls in (2, 3, 7):
+            few.setdefault(r.frame, []).append(((r.x1, r.y1, r.x2, r.y2), r.cls, r.conf))
+    area = lambda b: max(0, b[2] - b[0]) * max(0, b[3] - b[1])
+    out = []
+    for at, seen in few.items():
+        for box, cls, conf in seen:
+            ways = []
+            for before in range(at - p.max_gap - 1, at - 1):
+                gap = at - before - 1
+                for wide, _, wide_conf in few.get(before, ()) if cls == 3 else ():
+                    near = lambda b: tracking.apart(b, box) <= max(p.max_disp_px, p.max_disp_frac * ((box[2] - box[0]) ** 2 + (box[3] - box[1]) ** 2) ** 0.5) * gap * 1.15  # noqa: B023, E731
+                    since = [b for f in range(before + 1, at + 1) for b, _, _ in few.get(f, ())]
+                    side = [b for b in since if tracking.share(b, box) < 0.45 and (tracking.holds_middle(b, wide) or tracking.share(b, wide) >= p.min_vehicle_iou)]
+                    if not (side and tracking.holds_middle(box, wide) and area(wide) >= 1.25 * area(box) and near(wide)):
+                        continue
+                    left, right = side[0][0] - wide[0], wide[2] - side[0][2]
+                    if max(left, right) >= 16:
+                        rest = (side[0][2], wide[1], wide[2], wide[3]) if right >= left else (wide[0], wide[1], side[0][0], wide[3])
+                        if area(rest) >= 256 and near(rest):
+                            ways.append((gap, rest, wide_conf, before))
+            if ways:
+                gap, rest, wide_conf, before = min(ways, key=lambda w: w[0])
+                for k in range(1, gap + 1):
+                    t = k / (gap + 1)
+                    out.append((before + k, *(round(a + (b - a) * t) for a, b in zip(rest, box, strict=True)), round(wide_conf * (1 - t) + conf * t, 9)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_splits_of_a_dense_video_equal_those_found_one_by_one(spark, seed):
+    rnd = random.Random(seed)
+    p = Params(max_gap=5)
+    data = []
+    for frame in range(60):
+        for n in range(rnd.randint(4, 14)):
+            x, y, w, h = rnd.randint(-40, 500), rnd.randint(0, 300), rnd.randint(10, 220), rnd.randint(10, 200)
+            data.append((1, frame, n, rnd.choice([2, 3, 3, 5, 7]), x, y, x + w, y + h, rnd.randint(1, 99) / 100))
+    vehicles = spark.createDataFrame(data, "video_id long, frame int, ord int, cls int, x1 int, y1 int, x2 int, y2 int, conf double")
+    found = holds.held_by_splits(vehicles, p)
+    assert not {"CartesianProduct", "BroadcastNestedLoopJoin"} & {*found._jdf.queryExecution().executedPlan().toString().replace("(", " ").split()}
+    got = sorted((r.frame, r.x1, r.y1, r.x2, r.y2, round(r.conf, 9)) for r in found.collect())
+    assert got == plain_splits(vehicles.collect(), p) and len(got) > 100
+
+
 def test_a_missed_motorcycle_is_held(spark):
     frames = {3: ([], [(MOTO, (300, 180, 420, 420), 0.7)]), 4: ([], []), 5: ([], []), 6: ([], []), 7: ([], [(MOTO, (316, 180, 436, 420), 0.9)])}
     f, _, vehicles = cached(spark, {k: ([((0, 0, 1, 1), 0.5)], v[1]) for k, v in frames.items()})
