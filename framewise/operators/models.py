@@ -149,31 +149,6 @@ def blur_shape(picture: np.ndarray, rect: tuple[int, int, int, int], kernel: int
     return out
 
 
-# Where models run
-
-
-def device_of(forced: str | None, capability: tuple[int, int] | None, architectures: list[int] | None) -> str:
-    """`cpu` or `cuda`: what is forced, else the GPU if a build for its major version and at most its own serves it; no list means any."""
-    if forced in ("cpu", "cuda"):
-        return forced
-    if capability is None:
-        return "cpu"
-    own = capability[0] * 10 + capability[1]
-    fits = not architectures or any(a // 10 == capability[0] and a <= own for a in architectures)
-    return "cuda" if fits else "cpu"
-
-
-def weights_for(path: str, device: str, there: set[str]) -> str:
-    """The compiled engine beside the weights, on a GPU and if it is there; else the weights."""
-    engine = path.rsplit(".", 1)[0] + ".engine"
-    return engine if device == "cuda" and engine in there else path
-
-
-def batch_size(free_bytes: int | None) -> int:
-    """Frames a batch by free GPU memory, 3 GB left alone, four crops of 640 x 640 a frame; 1 without a GPU, 64 at most."""
-    return 1 if free_bytes is None else min(64, max(1, max(0, free_bytes - 3 * 1024**3) // (4 * 640 * 640 * 3 * 2 * 4)))
-
-
 def rescaled(boxes: list[tuple], scale: float, width: int, height: int) -> list[tuple]:
     """Boxes (cls, x1, y1, x2, y2, conf) that a model found on a frame shrunk by `scale`, on the whole frame."""
     back = lambda v, most: max(0, min(most, round(v / scale)))

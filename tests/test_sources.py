@@ -82,12 +82,6 @@ def test_shapes_blur_inside_and_leave_the_rest(shape):
     assert (models.blur_shape(picture, (5, 5, 6, 50), 21, shape, 5, quad) == picture).all()
 
 
-def test_devices_weights_and_batches():
-    assert [models.device_of(*x) for x in (("cpu", (8, 6), [86]), (None, None, [86]), (None, (8, 6), [80]), (None, (7, 5), [80, 86]), (None, (8, 6), []), ("cuda", None, None))] == ["cpu", "cpu", "cuda", "cpu", "cuda", "cuda"]
-    assert models.weights_for("a/m.pt", "cuda", {"a/m.engine"}) == "a/m.engine" and models.weights_for("a/m.pt", "cpu", {"a/m.engine"}) == "a/m.pt"
-    assert [models.batch_size(x) for x in (None, 0, 4 * 1024**3, 80 * 1024**3)] == [1, 1, 27, 64] and models.batch_size(3 * 1024**3 + 3 * 39_321_600) == 3
-
-
 def test_forced_crops_do_not_count(spark):
     crops = spark.createDataFrame([(1, f, 0, 3, [0.9], f % 2 == 0) for f in range(16)], "video_id long, frame int, ord int, cls int, confs array<double>, f boolean")
     kept = {r.frame for r in sampling.keep_one_in_n(crops, force=F.col("f")).collect() if r.kept}
