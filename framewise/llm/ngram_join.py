@@ -17,9 +17,14 @@ with equal sets form a class, and classes are joined:
 3. Index entries link each class to one leader per entry; linked pairs are
    verified on their shared shingles, which give the exact intersection.
    Entries whose classes don't yet lie in one component stay open. Classes of
-   open entries are clustered, and each cluster is tested in cells: matrices of
-   intersection sizes of two blocks of classes whose sizes fit. A cell gives a
-   spanning forest of the components it joins, never its pairs.
+   open entries are clustered, and clusters are screened by sketches: a bit for
+   each of about as many buckets as the set has shingles, set where an odd number
+   falls into it. Two sets differ in at least as many shingles as their sketches
+   in bits, so pairs beyond what the similarity allows are none, and classes
+   without a possible partner in another component go. What is left falls into
+   small clusters, each tested in cells: matrices of intersection sizes of two
+   blocks of classes whose sizes fit. A cell gives a spanning forest of the
+   components it joins, never its pairs.
 4. `join` needs no more than that for components. Links lie within components,
    so `join_links` and `class_links` then test each component in such cells:
    each pair lies in one matrix, which gives its links, or for `join_links` only
@@ -39,7 +44,9 @@ Sizes: a task holds a chunk or a bucket of about a million shingles, or a cell o
 at most two blocks. What is dealt is at most a row per shingle, and with many
 buckets goes in two steps, so that rows stay long. A bucket grows beyond that only
 by a shingle which the summaries miss: one of less than about 1 % of all
-documents. A cluster of m classes of like size costs (m / 512)^2 cells.
+documents. A cluster of m classes of like size costs (m / 512)^2 cells, and m / 512
+rows a class; texts that share passages and are unlike cost (m / 8,192)^2 cells of
+sketches, which are a fiftieth of the sets.
 
 Nulls and odd input: a null or empty text, or one of white space, has an empty
 set and is linked with nothing; fewer words than n are one shingle; very long
@@ -72,6 +79,8 @@ HOT = 63
 SMALL_BAND = 5
 #: A block of classes: what one side of a cell holds.
 BLOCK_ROWS, BLOCK_BYTES = 512, 4_000_000
+#: What one side of a cell of sketches holds, at most BLOCK_BYTES too; bits of a sketch.
+SKETCH_ROWS, LEAST_BITS, MOST_BITS = 8_192, 256, 1 << 16
 #: Values that so many sets hold are counted by matrix products.
 DENSE = 16
 WORDS_CAP = 200_000
@@ -514,8 +523,8 @@ def _size_band(n: Column, num: int, den: int) -> Column:
     return F.floor(F.log("n") / (math.log(den / num) * (1 + 1e-9)) if den > num else F.col("n")).cast("int")
 
 
-def cells(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows of `members` (class, group, and others) with n and shingles, dealt to cells.
+def cells(members: DataFrame, classes: DataFrame, num: int, den: int, payload: str = "shingles", block_rows: int | None = None) -> DataFrame:
+    """Rows of `members` (class, group, and others) with n and shingles (or another payload of `classes`), dealt to cells.
 
     Each pair of classes of one group whose sizes fit lies in one cell: a small
     group in a cell that it may share with others, a large one in cells of two
@@ -523,8 +532,8 @@ def cells(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
     pairs of one side (0 or 1) belong to other cells.
     """
     spark = members.sparkSession
-    space = F.greatest(F.lit(1 / BLOCK_ROWS), F.octet_length("shingles") / F.lit(float(BLOCK_BYTES)))
-    own = written(members.join(classes.select("class", "n", "shingles"), "class").withColumns({"band": _size_band("n", num, den), "space": space}), "cell-members")
+    space = F.greatest(F.lit(1 / (block_rows or BLOCK_ROWS)), F.octet_length(payload) / F.lit(float(BLOCK_BYTES)))
+    own = written(members.join(classes.select("class", "n", payload), "class").withColumns({"band": _size_band("n", num, den), "space": space}), "cell-members")
     size = own.groupBy("group").agg(F.sum("space").alias("space"))
     large = written(size.filter("space > 1").select("group"), "cell-groups")
     total = size.agg(F.sum("space")).first()[0] or 0
@@ -557,6 +566,79 @@ def cells(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
 CELL = ["owner", "at", "step", "i", "j"]
 
 
+def sketch(values: np.ndarray, n: int) -> bytes:
+    """Parities of a set's shared shingles by bucket; the number of buckets is a power of two near the set's size n."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (n - 1).bit_length()))
+    counts = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+def folded(raw: bytes, bits: int) -> np.ndarray:
+    """A sketch with fewer buckets: those that fall together are added up."""
+    words = np.frombuffer(raw, "<u8")
+    return np.bitwise_xor.reduce(words.reshape(-1, bits // 64), axis=0)
+
+
+def sketches(classes: DataFrame) -> DataFrame:
+    """class, n, and sketch: the shingles that no other set holds (4 bytes), and the parities of the others."""
+
+    def read(batches):
+        for batch in batches:
+            made = [(n - shared).to_bytes(4, "little") + sketch(_values(raw), n) for n, shared, raw in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["class", "n", "sketch"])
+
+    arrow_rows(classes.sparkSession)
+    return classes.select("class", "n", "shared", "shingles").mapInArrow(released(read), "class binary, n long, sketch binary")
+
+
+def possible_pairs(group: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of different components in a cell of sketches that may be similar enough.
+
+    Sets of sizes a and b differ in at most (a + b) * (den - num) / (den + num) shingles if they link.
+    """
+    n, side = group.column("n").to_numpy(), group.column("side").to_numpy()
+    raw = group.column("sketch").to_pylist()
+    bits = min(len(x) - 4 for x in raw) * 8
+    alone = np.array([int.from_bytes(x[:4], "little") for x in raw])
+    marks = np.array([folded(x[4:], bits) for x in raw])
+    _, part = np.unique(np.array(group.column("component").to_pylist(), object), return_inverse=True)
+    crossed = group.column("step")[0].as_py() or group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    left, edges = np.ones(len(raw), bool), []
+    for root in range(len(raw)):
+        if not left[root]:
+            continue
+        left[root], reached = False, [root]
+        while reached:
+            at = reached.pop()
+            others = np.flatnonzero(left)
+            if not len(others):
+                return edges
+            fit = part[others] != part[at]
+            if crossed:
+                fit &= side[others] != side[at]
+            others = others[fit]
+            apart = alone[others] + alone[at] + np.bitwise_count(marks[others] ^ marks[at]).sum(axis=1, dtype=np.int64)
+            new = others[apart * (den + num) <= (n[others] + n[at]) * (den - num)]
+            left[new] = False
+            edges += [(at, int(k)) for k in new]
+            reached += new.tolist()
+    return edges
+
+
+def screened(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Of `members` (class, component, group) those that may have a partner in another component, in groups that no possible pair leaves."""
+    own = written(sketches(classes.join(members.select("class").distinct(), "class")), "sketches")
+
+    def test(group: pa.Table) -> pa.Table:
+        names = group.column("class").to_pylist()
+        pairs = possible_pairs(group, num, den)
+        return pa.table([pa.array([names[i] for i, _ in pairs], pa.binary()), pa.array([names[j] for _, j in pairs], pa.binary())], ["a", "b"])
+
+    dealt = cells(members, own, num, den, "sketch", SKETCH_ROWS)
+    possible = written(dealt.groupBy(*CELL).applyInArrow(tidy(test), "a binary, b binary"), "possible-pairs")
+    return members.drop("group").join(components(possible).withColumnRenamed("component", "group"), "class")
+
+
 def _links_within(group: pa.Table, num: int, den: int) -> np.ndarray:
     """The upper triangle of the links that a cell is for."""
     n, side = group.column("n").to_numpy(), group.column("side").to_numpy()
@@ -586,13 +668,17 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 def verify_clusters(opened: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Links that join the components of classes which share an open entry, as few as join them.
 
-    Entries overlap, so their classes are clustered; each cluster is tested in cells.
+    Entries overlap, so their classes are clustered; a cluster falls apart into
+    those of possible pairs, each of which is tested in cells.
     """
     leader = opened.groupBy("entry").agg(F.min("class").alias("b"))
     edges = written(opened.join(leader, "entry").filter(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct(), "cluster-links")
     if edges.isEmpty():
         return edges
     members = opened.select("class", "component").distinct().join(components(edges).withColumnRenamed("component", "group"), "class")
+    members = written(screened(written(members, "cluster-members"), classes, num, den), "cluster-members")
+    if members.isEmpty():
+        return edges.limit(0)
 
     def test(group: pa.Table) -> pa.Table:
         names = np.array(group.column("class").to_pylist(), object)
