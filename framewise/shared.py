@@ -42,7 +42,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    # Small row groups: a writer keeps one in memory, and intermediates are read whole anyway.
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     _folders[id(found)] = found, path
     return found
