@@ -1,6 +1,7 @@
 """Licence scans, n-gram join, exact dedup, toxicity: against brute force and on odd input."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -181,6 +182,42 @@ def test_large_groups_are_joined_whole(spark, monkeypatch):
     assert rows(ngram_join.join(df), "doc_id", "component_id") == want
 
 
+def test_unlike_texts_of_common_passages_are_dealt_in_proportion(spark, monkeypatch):
+    """Texts of 8 out of 60 passages share index entries and link with nothing: none is dealt to cells of shingles, and few rows to cells of sketches."""
+    r = random.Random(1)
+    passages = [" ".join(f"p{i}w{j}" for j in range(60)) for i in range(60)]
+    dealt = Counter()
+    whole = ngram_join.cells
+
+    def counted(members, classes, num, den, payload="shingles", block_rows=None):
+        found = whole(members, classes, num, den, payload, block_rows)
+        dealt[payload] += found.count()
+        return found
+
+    monkeypatch.setattr(ngram_join, "cells", counted)
+    rows_of = []
+    for n in (1000, 2000):
+        texts = [" ".join(r.sample(passages, 8)) for _ in range(n)] + ["twin " * 3 + passages[0], passages[0] + " twin" * 3]
+        dealt.clear()
+        found = ngram_join.join(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 4, 85, 100)
+        assert found.select("component_id").distinct().count() == n + 1
+        rows_of.append(dealt["shingles"] + dealt["sketch"])
+        assert dealt["shingles"] <= 10
+    assert rows_of[0] > 500 and rows_of[1] <= 2 * rows_of[0] + 10
+
+
+def test_sketches_never_differ_more_than_their_sets():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for n, m in ((5, 5), (100, 130), (700, 600), (3000, 3500), (120_000, 120_000)):
+        a = np.unique(rnd.integers(0, 1 << 48, n).astype(np.uint64))
+        b = np.unique(np.concatenate([rnd.choice(a, n * 9 // 10, replace=False), rnd.integers(0, 1 << 48, m - n * 9 // 10 if m > n * 9 // 10 else 1).astype(np.uint64)]))
+        x, y = ngram_join.sketch(a, len(a)), ngram_join.sketch(b, len(b))
+        bits = 8 * min(len(x), len(y))
+        assert np.bitwise_count(ngram_join.folded(x, bits) ^ ngram_join.folded(y, bits)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_a_cluster_of_thousands_is_joined_whole(spark):
     """Copies of one text with so many edits that some link, some don't, and all share entries; a frequent passage besides."""
     import numpy as np
