@@ -20,7 +20,7 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -46,15 +46,15 @@ def records(frames: DataFrame, plates: DataFrame, vehicles: DataFrame) -> DataFr
     return own.select("video_id", "frame", *(F.coalesce(n, e).alias(n) for n, e in empty.items()))
 
 
-def prepared(rows: DataFrame, p: Params) -> DataFrame:
-    """video_id, frame, motos and candidates as JSON: all that needs one frame only, in the JVM."""
+def prepared(rows: DataFrame, p: Params, *more: Column) -> DataFrame:
+    """video_id, frame, motos and candidates as JSON: all that needs one frame only, in the JVM; and `more`."""
     seen = F.filter("vehicles", lambda v: (v["cls"] != MOTO) | (v["conf"] >= p.moto_min_conf))
     own = rows.withColumn("vehicles", seen)
     fine = F.filter("plates", lambda q: (q["conf"] >= p.conf_floor) & (F.coalesce(q["src"], F.lit("crop")) != "sahi") & ((F.lit(p.min_plate_side) <= 0) | (g.min_side(g.fields(q)) >= p.min_plate_side)))
     owned = F.transform(fine, lambda q: F.struct(q.alias("p"), associate.owner(g.fields(q), F.col("vehicles"), p.classes).alias("v")))
     dets = F.filter(owned, lambda o: o["v"].isNotNull())
     motos = F.filter("vehicles", lambda v: v["cls"] == MOTO)
-    return own.select("video_id", "frame", F.to_json(motos).alias("motos"), F.to_json(dets).alias("dets"), F.to_json("vehicles").alias("vehicles"))
+    return own.select("video_id", "frame", F.to_json(motos).alias("motos"), F.to_json(dets).alias("dets"), F.to_json("vehicles").alias("vehicles"), *more)
 
 
 class LiveState:
