@@ -47,6 +47,32 @@ def not_covered(found: DataFrame, patches: DataFrame, margin: int = 8) -> DataFr
     return found.join(p, on, "left_anti")
 
 
+#: Side of a cell of the grid of patches, in pixels.
+CELL = 128
+
+
+def _cells(rows: DataFrame, margin: int = 0) -> DataFrame:
+    """Rows once for each cell of the grid that their box, grown by a margin, reaches."""
+    b = g.columns()
+    cell = lambda v: F.floor(v / CELL).cast("int")
+    over = lambda p, q: F.sequence(cell(F.least(p, q) - margin), cell(F.greatest(p, q) + margin))
+    return rows.withColumn("_cx", F.explode(over(b.x1, b.x2))).withColumn("_cy", F.explode(over(b.y1, b.y2)))
+
+
+def not_on_patches(found: DataFrame, patches: DataFrame, margin: int = 8) -> DataFrame:
+    """Detections that no patch of their video reaches, whatever its frame: patches of parked cars or signs, any number a video.
+
+    Boxes and patches meet in the cells of a grid, so a video with many patches
+    isn't compared pair by pair. What meets is kept as distinct boxes of a frame,
+    and detections with such a box go.
+    """
+    box = g.Box._fields
+    known = _cells(patches.select("video_id", *box).distinct()).select("video_id", "_cx", "_cy", *(F.col(c).alias(f"_{c}") for c in box))
+    boxes = found.select("video_id", "frame", *box).distinct()
+    hit = _cells(boxes, margin).join(known, ["video_id", "_cx", "_cy"]).filter(g.overlaps(g.columns(), g.columns("_"), margin))
+    return found.join(hit.select("video_id", "frame", *box).distinct(), ["video_id", "frame", *box], "left_anti").select(found.columns)
+
+
 def in_range(rows: DataFrame, start: int | None, end: int | None, every: int = 1) -> DataFrame:
     """Frames of a half-open range, each n-th."""
     kept: Column = F.col("frame") % every == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import geometry as g
 from ..schema import DEFAULTS, MOTO, Params
 from ..sources import labels
@@ -40,9 +41,37 @@ def crops_with_confs(vehicles: DataFrame, plates: DataFrame) -> DataFrame:
     return own.withColumn("confs", F.transform(inside, lambda q: q["conf"])).drop("plates")
 
 
+#: Up to so many rows Spark finds the first of an order by keeping each task's first ones.
+TOP = 10_000
+
+
 def within_budget(crops: DataFrame, budget: int, order: tuple[str, ...]) -> DataFrame:
-    """The first `budget` crops of a global order. Spark takes each partition's first ones before it merges them."""
-    return crops.orderBy(*order).limit(budget)
+    """The first `budget` crops of a global order."""
+    return crops.orderBy(*order).limit(budget) if budget <= TOP else global_prefix(crops, order, budget)
+
+
+def global_prefix(rows: DataFrame, order: tuple[str, ...], budget: float, weight: Column | None = None) -> DataFrame:
+    """The first rows of a global order whose weights (one each by default) add up to at most `budget`.
+
+    Rows are dealt by ranges of the order; a sum for each range tells which ranges
+    stay whole and which one the budget ends in, and only in that one weights are
+    summed row by row. Ties of the whole order are ordered by nothing else, so an
+    order should end in a key. Null weights count as 0; negative ones are refused.
+    """
+    own = F.lit(1) if weight is None else F.coalesce(weight, F.lit(0))
+    own = F.when(own < 0, F.raise_error(F.lit("a negative weight")).cast("double")).otherwise(own)
+    dealt = rows.withColumn("_w", own).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = shared.written(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "ranges")
+    # A row for each range.
+    parts = dealt.groupBy("_part").agg(F.sum("_w").alias("_own"))
+    before = F.coalesce(F.sum("_own").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shared.written(parts.select("_part", "_own", before.alias("_before")).filter(F.col("_before") <= budget), "range-sums")
+    fits = F.col("_before") + F.col("_own") <= budget
+    whole = dealt.join(parts.filter(fits).select("_part"), "_part", "left_semi")
+    cut = dealt.join(parts.filter(~fits).orderBy("_part").limit(1), "_part")
+    running = F.col("_before") + F.sum("_w").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    cut = cut.withColumn("_sum", running).filter(F.col("_sum") <= budget)
+    return whole.select(rows.columns).unionByName(cut.select(rows.columns))
 
 
 def moto_exports(vehicles: DataFrame, plates: DataFrame, most_pos: int, most_neg: int, p: Params = DEFAULTS) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shared
+from ..operators import filters, sampling
 from ..sources import cache, cache_sink, fixtures, frames_source
-from .oracles import q
-from .queries import BOX, P, _frames, _plates, _vehicles
+from .oracles import meets, q
+from .queries import BOX, KEY, P, _frames, _plates, _vehicles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,8 +45,22 @@ def committed_cache(s: SparkSession, d: str) -> DataFrame:
     return cache.plates(lines).join(heads, "video").select(F.col("video").alias("video_id"), "frame", "pord", *BOX, "conf", "src", "width", "complete")
 
 
+def off_patches(s: SparkSession, d: str) -> DataFrame:
+    """Plates away from all patches of their video: those where plates of its first frames were."""
+    patches = _plates(s, d).filter("frame < 3 and pord < 20").select("video_id", *BOX)
+    return filters.not_on_patches(_plates(s, d), patches).select(*KEY, "pord")
+
+
+def pixels_within_budget(s: SparkSession, d: str) -> DataFrame:
+    """The surest plates, as many as fit a budget of a third of all pixels, in one global order."""
+    pixels = ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).cast("long")
+    own = _plates(s, d).withColumn("minus", -F.col("conf"))
+    total = own.agg(F.sum(pixels)).first()[0] or 0
+    return sampling.global_prefix(own, ("minus", *KEY, "pord"), total // 3, pixels).select(*KEY, "pord", "conf")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (frames_of_clip, frames_sampled, committed_cache)}
+    return {f.__name__: f for f in (frames_of_clip, frames_sampled, committed_cache, off_patches, pixels_within_budget)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -56,5 +71,9 @@ def oracle_sql() -> dict[str, str]:
         # Row i shows the last frame k of those from 15 on with k * 7 / 30 < i + 1/2, in whole numbers 14 k < 60 i + 30 (14 = 2 * 7, 60 = 2 * 30).
         "frames_sampled": q(f"""select f.video_id, cast(i as int) as frame, cast(0.5 as double) + i / cast(7 as double) as t, {byte} as content
   from fx_frames f join range(7) r(i) on f.frame = 15 + (60 * i + 30 + 13) // 14 - 1"""),
+        "off_patches": q(f"select video_id, frame, pord from fx_plates a where not exists (select 1 from fx_plates p where p.frame < 3 and p.pord < 20 and p.video_id = a.video_id and {meets('a.', 'p.', 8)})"),
+        "pixels_within_budget": q("""select video_id, frame, pord, conf from (
+    select *, sum((x2 - x1) * (y2 - y1)) over (order by conf desc, video_id, frame, pord rows unbounded preceding) as upto, sum((x2 - x1) * (y2 - y1)) over () as total from fx_plates)
+  where upto <= total // 3"""),
         "committed_cache": q(f"select video_id, frame, cast(row_number() over (partition by video_id, frame order by pord) - 1 as int) as pord, {box}, conf, src, '{P.width}' as width, true as complete from fx_plates"),
     }

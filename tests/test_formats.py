@@ -3,13 +3,14 @@
 import json
 import math
 import os
+import random
 
 import pytest
 from compare import rows
 from pyspark.sql import functions as F
 from test_tracking import cached, random_cache
 
-from framewise.operators import metrics, quantiles
+from framewise.operators import filters, metrics, quantiles, sampling
 from framewise.sources import cache, cache_sink, frames_source
 
 
@@ -179,3 +180,38 @@ def test_reports_hold_no_values_in_one_buffer(spark, detections):
     _, p, v = detections
     sizes = metrics.plate_sizes(metrics.moto_plates(p, v))
     assert "percentile" not in sizes._jdf.queryExecution().executedPlan().toString().lower()
+
+
+# Prefixes and patches
+
+
+def test_a_global_prefix_equals_row_numbers_over_the_whole(spark):
+    rows_ = spark.range(0, 5000).select("id", (F.hash("id") % 97).alias("k"), F.when(F.col("id") % 11 != 0, F.col("id") % 7).alias("w"))
+    ordered = sorted(map(tuple, rows_.collect()), key=lambda r: (r[1], r[0]))
+    for budget in (0, 1, 777, 4999, 5000, 9000):
+        found = sampling.global_prefix(rows_, ("k", "id"), budget)
+        assert sorted(map(tuple, found.select("id", "k", "w").collect())) == sorted(ordered[:budget])
+    for budget in (0, 5, 1234, 10**6):
+        upto, want = 0, []
+        for r in ordered:
+            upto += r[2] or 0
+            if upto <= budget:
+                want.append(r)
+        found = sampling.global_prefix(rows_, ("k", "id"), budget, F.col("w"))
+        assert sorted(found.select("id").collect()) == sorted((r[0],) for r in want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.replace("range-sums", "") and sampling.global_prefix(rows_.filter("id < 0"), ("k", "id"), 5).count() == 0
+    with pytest.raises(Exception, match="a negative weight"):
+        sampling.global_prefix(rows_, ("k", "id"), 5, -F.col("w")).count()
+
+
+def test_plates_off_many_patches_equal_brute_force(spark):
+    r = random.Random(4)
+    box = lambda: (x := r.randint(-300, 1900), y := r.randint(-300, 1000), x + r.randint(-5, 300), y + r.randint(-5, 300))
+    plates = [(v, f, n, *box()) for v in (1, 2) for f in range(30) for n in range(4)] * 2
+    patches = [(v, *box()) for v in (1, 2, 3) for _ in range(25)] * 2
+    found = filters.not_on_patches(spark.createDataFrame(plates, "video_id long, frame int, pord int, x1 int, y1 int, x2 int, y2 int"), spark.createDataFrame(patches, "video_id long, x1 int, y1 int, x2 int, y2 int"))
+    hit = lambda a, b: a[0] - 8 < b[2] and b[0] < a[2] + 8 and a[1] - 8 < b[3] and b[1] < a[3] + 8
+    want = sorted(p for p in plates if not any(p[0] == q[0] and hit(p[3:], q[1:]) for q in patches))
+    assert sorted(map(tuple, found.collect())) == want and 0 < len(want) < len(plates)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
