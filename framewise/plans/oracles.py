@@ -154,20 +154,22 @@ def geometry_pairs() -> str:
     side = f"case when {right} >= {left} and {right} >= 16 then 'r' when {left} >= 16 then 'l' end"
     vw, vh = f"greatest(cast(1 as double), {d(w(b))})", f"greatest(cast(1 as double), {d(h(b))})"
     pw, ph = f"greatest(cast(4 as double), pw * {vw})", f"greatest(cast(4 as double), ph * {vh})"
-    clamped = clamp_sql("(select video_id, frame, pord, ord, vx1 as x1, vy1 as y1, vx2 as x2, vy2 as y2 from pv)", 640, 360, P.max_box_frac)
+    # The vehicle's box is cut in the same rows, under the names that the cut works on.
+    clamped = clamp_sql(f"(select * exclude (x1, y1, x2, y2), {', '.join(f'{e} as a{e}, v{e} as {e}' for e in E)} from pv)", 640, 360, P.max_box_frac)
     return q(
-        f"""select pv.video_id, pv.frame, pv.pord, pv.ord, {iou(a, b)} as iou, {meets(a, b)} as meets, {meets(a, b, 8)} as near, {covered(a, b)} as covered,
+        f"""select video_id, frame, pord, ord, {iou(a, b)} as iou, {meets(a, b)} as meets, {meets(a, b, 8)} as near, {covered(a, b)} as covered,
   {dist(a, b)} as dist, {hypot(d(w(b)), d(h(b)))} as diag, {area1(a)} as area1, greatest(cast(0 as double), {size(b)}) as area0, least({w(a)}, {h(a)}) as side, greatest({w(b)}, {h(b)}) as size,
   {area1(a)} / {area1(b)} as rel, {area1(b)} / {area1(a)} <= 2.5 as ratio_ok,
   {", ".join(f"{lerp(e, 'v' + e, num(0.25))} as l{e}" for e in E)}, px, py, pw, ph,
   {even(f"vx1 + px * {vw} - {pw} / 2")} as qx1, {even(f"vy1 + py * {vh} - {ph} / 2")} as qy1, {even(f"vx1 + px * {vw} + {pw} / 2")} as qx2, {even(f"vy1 + py * {vh} + {ph} / 2")} as qy2,
-  {motion(a, b, "pv.ord", b)} as motion, cls = 3 or (cls in (2, 3, 7) and pv.ord between 0 and 1) as class_link, {same_vehicle(a, b)} or pv.ord between 0 and 1 as identity,
+  {motion(a, b, "ord", b)} as motion, cls = 3 or (cls in (2, 3, 7) and ord between 0 and 1) as class_link, {same_vehicle(a, b)} or ord between 0 and 1 as identity,
   {inside(a, b)} as inside, {inside(a, b, num(0.15))} as inside15,
   case {side} when 'r' then x2 when 'l' then vx1 end as rx1, case when {side} is not null then vy1 end as ry1, case {side} when 'r' then vx2 when 'l' then x1 end as rx2, case when {side} is not null then vy2 end as ry2,
-  c.cx1, c.cy1, c.cx2, c.cy2
-from pv join (select video_id, frame, pord, ord, x1 as cx1, y1 as cy1, x2 as cx2, y2 as cy2 from {clamped}) c using (video_id, frame, pord, ord)""",
+  cx1, cy1, cx2, cy2
+from pc""",
         f"pv0 as (select p.video_id, p.frame, p.pord, p.x1, p.y1, p.x2, p.y2, v.ord, v.cls, {', '.join(f'v.{e} as v{e}' for e in E)} from fx_plates p join fx_vehicles v using (video_id, frame))",
         f"pv as (select *, ({cx('')} - vx1) / {vw} as px, ({cy('')} - vy1) / {vh} as py, {w('')} / {vw} as pw, {h('')} / {vh} as ph from pv0)",
+        f"pc as (select * exclude (x1, y1, x2, y2, ax1, ay1, ax2, ay2), {', '.join(f'{e} as c{e}, a{e} as {e}' for e in E)} from {clamped})",
     )
 
 
@@ -320,7 +322,10 @@ def oracle_sql() -> dict[str, str]:
         "plate_confidence_split": q("select *, conf >= 0.15 as kept from fx_plates where x2 > x1 and y2 > y1"),
         "plate_geometry_filter": q(f"""select p.video_id, p.frame, p.pord, not (p.src in ('crop', 'crop_moto') and not exists (select 1 from fx_vehicles v where v.video_id = p.video_id and v.frame = p.frame and ((v.cls = 3 and {inside('p.', 'v.')}) or {inside('p.', 'v.', num(0.15))}))) as kept from fx_plates p"""),
         "clip_frames": q("select video_id, frame from fx_frames where frame >= 10 and frame < 40 and frame % 3 = 0"),
-        "plate_vehicle_assoc": q(f"select p.video_id, p.frame, p.pord, o.vord as ord, o.vcls as cls from fx_plates p left join ({OWNER}) o on o.video_id = p.video_id and o.frame = p.frame and o.pord = p.pord and o.choice = 1", "vs as (select * from fx_vehicles)"),
+        "plate_vehicle_assoc": q(
+            f"select video_id, frame, pord, max(vord) as ord, max(vcls) as cls from (select video_id, frame, pord, vord, vcls from ({OWNER}) where choice = 1 union all select video_id, frame, pord, null, null from fx_plates) group by video_id, frame, pord",
+            "vs as (select * from fx_vehicles)",
+        ),
         "owned_plates_by_source": q(f"select video_id, src, count(*) as n from ({OWNER}) where choice = 1 and {TRACKABLE} group by all", f"vs as ({SURE})"),
         "plate_nms": q(fold_sql("{pord: pord, x1: x1, y1: y1, x2: x2, y2: y2}", f"-{size('')}, pord", f"{iou('k.', 'v.')} > 0.3", "fx_plates", "unnest(r).pord as pord")),
         "vehicle_dedupe": dedupe_sql(),
