@@ -465,7 +465,7 @@ def index(classes: DataFrame, num: int, den: int) -> DataFrame:
             for i, (n, shared, values, codes) in enumerate(zip(*(x.to_pylist() for x in batch.columns[1:]), strict=True)):
                 values, codes = _values(values), np.frombuffer(codes, np.uint8)
                 found += [(i, n, n - shared, np.unique(signatures(n, values, codes, band, num, den)).view(np.int64)) for band in bands(n, num, den)]
-                if sum(len(x[3]) for x in found) > 200_000:
+                if sum(len(x[3]) for x in found) > 50_000:
                     yield rows()
                     found = []
             if found:
