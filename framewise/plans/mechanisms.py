@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shared
+from ..functions import sql
 from ..operators import filters, sampling
 from ..sources import cache, cache_sink, fixtures, frames_source
-from .oracles import meets, q
+from .oracles import geometry_pairs, meets, q
 from .queries import BOX, KEY, P, _frames, _plates, _vehicles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,14 +60,32 @@ def pixels_within_budget(s: SparkSession, d: str) -> DataFrame:
     return sampling.global_prefix(own, ("minus", *KEY, "pord"), total // 3, pixels).select(*KEY, "pord", "conf")
 
 
+def geometry_in_sql(s: SparkSession, d: str) -> DataFrame:
+    """All plates with all vehicles of their frame, as `geometry_pairs`, written by a user of SQL."""
+    sql.register(s)
+    box = lambda t: f"named_struct('x1', {t}.x1, 'y1', {t}.y1, 'x2', {t}.x2, 'y2', {t}.y2)"
+    return s.sql(
+        f"""with pairs as (select p.video_id, p.frame, p.pord, v.ord, v.cls, {box("p")} as a, {box("v")} as b from {{plates}} p join {{vehicles}} v using (video_id, frame)),
+parts as (select *, fw_lerp(a, b, 0.25D) as l, fw_pose(a, b) as p, fw_placed(a, b) as q, fw_remainder(b, a) as r from pairs)
+select video_id, frame, pord, ord, fw_iou(a, b) as iou, fw_overlaps(a, b, 8) as near, fw_covered_fraction(a, b) as covered, fw_distance(a, b) as dist,
+  fw_area_floored(b) / fw_area_floored(a) <= {P.max_area_ratio}D as ratio_ok, l.x1 as lx1, p.x as px, q.x2 as qx2,
+  fw_motion_ok(a, b, ord, b, {P.max_disp_px}D, {P.max_disp_frac}D) as motion, fw_class_link_ok(cls, 3, ord, 1) as class_link,
+  fw_same_vehicle(a, b, {P.min_vehicle_iou}D) or ord between 0 and 1 as identity, fw_centre_in(a, b) as inside, r.x1 as rx1
+from parts""",
+        plates=_plates(s, d),
+        vehicles=_vehicles(s, d),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (frames_of_clip, frames_sampled, committed_cache, off_patches, pixels_within_budget)}
+    return {f.__name__: f for f in (frames_of_clip, frames_sampled, committed_cache, off_patches, pixels_within_budget, geometry_in_sql)}
 
 
 def oracle_sql() -> dict[str, str]:
     box = ", ".join(BOX)
     byte = "upper(printf('%02x', event_id % 251))"
     return {
+        "geometry_in_sql": f"select video_id, frame, pord, ord, iou, near, covered, dist, ratio_ok, lx1, px, qx2, motion, class_link, identity, inside, rx1 from ({geometry_pairs()})",
         "frames_of_clip": q(f"select video_id, frame, frame / cast(30 as double) as t, 2 as height, 3 as width, repeat({byte}, 6) as content from fx_frames where frame between 5 and 39 and frame / cast(30 as double) > cast(0.25 as double)"),
         # Row i shows the last frame k of those from 15 on with k * 7 / 30 < i + 1/2, in whole numbers 14 k < 60 i + 30 (14 = 2 * 7, 60 = 2 * 30).
         "frames_sampled": q(f"""select f.video_id, cast(i as int) as frame, cast(0.5 as double) + i / cast(7 as double) as t, {byte} as content

@@ -96,3 +96,25 @@ def test_texts(spark):
     assert tuple(got) == (90.5, 3723.0, 7.25, "12.3s", "5m23s", "1h12m05s", [7, 0, 255], "motorcycle", "9", 300)
     with pytest.raises(Exception, match="expected x1,y1,x2,y2"):
         one.select(scalars.parse_region(F.lit("1,2,3"))).collect()
+
+
+def test_sql_functions_equal_the_columns(spark):
+    from framewise.functions import sql
+
+    names = sql.register(spark)
+    r = random.Random(5)
+    box = lambda: (x := r.randint(-50, 900), y := r.randint(-50, 500), x + r.randint(-3, 300), y + r.randint(-3, 300))
+    data = [(*box(), *box(), r.randint(0, 40), r.choice([2, 3, 5, 7]), r.choice([2, 3, 5, 7]), r.random()) for _ in range(300)]
+    rows_ = spark.createDataFrame(data, "ax1 int, ay1 int, ax2 int, ay2 int, bx1 int, by1 int, bx2 int, by2 int, gap int, x int, y int, t double")
+    pairs = rows_.select(*(F.struct(*(F.col(s + e).alias(e) for e in g.Box._fields)).alias(s) for s in "ab"), "gap", "x", "y", "t")
+    pairs.createOrReplaceTempView("box_pairs")
+    asked = {"margin": "gap", "v": "b", "px": "80D", "frac": "0.35D", "flip": "10", "least": "0.15D"}
+    values = {"px": F.lit(80.0), "frac": F.lit(0.35), "flip": F.lit(10), "least": F.lit(0.15), "margin": F.col("gap")}
+    for name in names:
+        kinds, made = sql.FUNCTIONS[name]
+        columns = [g.fields(F.col(asked.get(p, p))) if k == "box" else values[p] if p in values else F.col(p) for p, k in kinds.items()]
+        want = [r.value for r in pairs.select(made(*columns).alias("value")).collect()]
+        found = spark.sql(f"select {name}({', '.join(asked.get(p, p) for p in kinds)}) as value from box_pairs")
+        assert [r.value for r in found.collect()] == want and len({*map(str, want)}) > 1, name
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "ArrowEval" not in plan
