@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import shared
 from ..functions import sql
-from ..operators import filters, sampling
+from ..operators import filters, sampling, table_functions
 from ..sources import cache, cache_sink, fixtures, frames_source
 from .oracles import geometry_pairs, meets, q
 from .queries import BOX, KEY, P, _frames, _plates, _vehicles
@@ -77,14 +77,33 @@ from parts""",
     )
 
 
+def _stand_in(rows):
+    """In place of a model: as many boxes as the picture's brightness allows, each 20 pixels on."""
+    out = []
+    for row in rows:
+        level = sum(bytes(row.content)) // len(row.content)
+        out.append([(2 if k % 2 else 3, level + 20 * k, level, level + 20 * k + 15, level + 10, (level % 90 + 10) / 100) for k in range(level % 3)])
+    return out
+
+
+def detected_by_table_function(s: SparkSession, d: str) -> DataFrame:
+    """A picture for each event through a detector called from SQL, video by video."""
+    table_functions.register(s, _stand_in, "fw_detect", 8)
+    pixel = F.expr("unhex(lpad(hex(event_id % 251), 2, '0'))")
+    frames = fixtures.frames(s, d).select("video_id", "frame", F.concat(*[pixel] * 4).alias("content"))
+    return s.sql("select video_id, frame, ord, cls, x1, y1, x2, y2, conf from fw_detect(table({frames}) partition by video_id order by frame)", frames=frames)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (frames_of_clip, frames_sampled, committed_cache, off_patches, pixels_within_budget, geometry_in_sql)}
+    return {f.__name__: f for f in (frames_of_clip, frames_sampled, committed_cache, off_patches, pixels_within_budget, geometry_in_sql, detected_by_table_function)}
 
 
 def oracle_sql() -> dict[str, str]:
     box = ", ".join(BOX)
     byte = "upper(printf('%02x', event_id % 251))"
     return {
+        "detected_by_table_function": q("""select video_id, frame, cast(k as int) as ord, case when k % 2 = 1 then 2 else 3 end as cls, cast(b + 20 * k as int) as x1, cast(b as int) as y1, cast(b + 20 * k + 15 as int) as x2, cast(b + 10 as int) as y2,
+  (b % 90 + 10) / cast(100 as double) as conf from (select video_id, frame, event_id % 251 as b from fx_frames) join range(2) r(k) on k < b % 3"""),
         "geometry_in_sql": f"select video_id, frame, pord, ord, iou, near, covered, dist, ratio_ok, lx1, px, qx2, motion, class_link, identity, inside, rx1 from ({geometry_pairs()})",
         "frames_of_clip": q(f"select video_id, frame, frame / cast(30 as double) as t, 2 as height, 3 as width, repeat({byte}, 6) as content from fx_frames where frame between 5 and 39 and frame / cast(30 as double) > cast(0.25 as double)"),
         # Row i shows the last frame k of those from 15 on with k * 7 / 30 < i + 1/2, in whole numbers 14 k < 60 i + 30 (14 = 2 * 7, 60 = 2 * 30).

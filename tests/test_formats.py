@@ -10,7 +10,8 @@ from compare import rows
 from pyspark.sql import functions as F
 from test_tracking import cached, random_cache
 
-from framewise.operators import filters, metrics, quantiles, sampling
+from framewise import schema
+from framewise.operators import filters, metrics, quantiles, sampling, table_functions
 from framewise.sources import cache, cache_sink, frames_source
 
 
@@ -215,3 +216,22 @@ def test_plates_off_many_patches_equal_brute_force(spark):
     want = sorted(p for p in plates if not any(p[0] == q[0] and hit(p[3:], q[1:]) for q in patches))
     assert sorted(map(tuple, found.collect())) == want and 0 < len(want) < len(plates)
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+# A detector in SQL
+
+
+def test_a_detector_is_a_table_function(spark):
+    def model(seen):
+        assert len(seen) <= 3 and len({r.video_id for r in seen}) == 1
+        return [[(3, r.frame, k, r.frame + 5, k + 5, 0.5) for k in range(len(r.content))] for r in seen]
+
+    table_functions.register(spark, model, "test_detect", 3)
+    data = [(v, f, b"x" * ((v + f) % 4)) for v in (1, 2, 3) for f in range(11)]
+    spark.createDataFrame(data, "video_id long, frame int, content binary").createOrReplaceTempView("detector_frames")
+    found = spark.sql("select * from test_detect(table(detector_frames) partition by video_id order by frame)")
+    want = [(v, f, k, 3, f, k, f + 5, k + 5, 0.5) for v, f, c in data for k in range(len(c))]
+    assert rows(found) == sorted(want)
+    assert [x.split()[0] for x in schema.VEHICLES.split(", ")] == found.columns
+    with pytest.raises(Exception, match="frames have no content"):
+        spark.sql("select * from test_detect(table(select 1L as video_id, 2 as frame) partition by video_id)").collect()
