@@ -16,8 +16,10 @@ with equal sets form a class, and classes are joined:
    most frequent). Groups are cut by hash so that combinations stay few.
 3. Index entries link each class to one leader per entry; linked pairs are
    verified on their shared shingles, which give the exact intersection.
-   Entries whose classes don't yet lie in one component stay open. Classes of
-   open entries are clustered, and clusters are screened by sketches: a bit for
+   A leader's entries of about one size are one star: a row per class, however
+   many of them it shares with its leader. Stars whose classes don't yet lie in
+   one component stay open: who links with whom in an entry, shares its star.
+   Classes of open stars are clustered, and clusters are screened by sketches: a bit for
    each of about as many buckets as the set has shingles, set where an odd number
    falls into it. Two sets differ in at least as many shingles as their sketches
    in bits, so pairs beyond what the similarity allows are none, and classes
@@ -479,18 +481,29 @@ def _sizes_fit(a: str, b: str, num: int, den: int):
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def stars(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """a < b: each class with the leader of each of its entries, the class with the fewest shingles of its own."""
+def stars(entries: DataFrame) -> DataFrame:
+    """Each class with the leader of each of its entries, the class with the fewest shingles of its own, once per size.
+
+    Size: how many others an entry holds beside its leader, by bit length (1: one).
+    """
     leader = entries.groupBy("entry").agg(F.min(F.struct("missing", "class", "n")).alias("l"), F.count("*").alias("m")).filter("m > 1")
-    pairs = entries.join(leader, "entry").filter(F.col("class") != F.col("l.class")).filter(_sizes_fit("n", "l.n", num, den))
-    return pairs.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b")).distinct()
+    followers = entries.join(leader, "entry").filter(F.col("class") != F.col("l.class"))
+    return followers.select("class", "n", F.col("l.class").alias("leader"), F.col("l.n").alias("leader_n"), F.length(F.bin(F.col("m") - 1)).alias("size")).distinct()
+
+
+def star_pairs(held: DataFrame, num: int, den: int) -> DataFrame:
+    """a < b: each class with its leaders, where sizes fit."""
+    fit = held.filter(_sizes_fit("n", "leader_n", num, den))
+    return fit.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
 
 
-def open_entries(entries: DataFrame, component: DataFrame) -> DataFrame:
-    """entry, class, component in entries of more than two classes that don't all lie in one component."""
-    own = entries.join(component, "class", "left").select("entry", "class", F.coalesce("component", "class").alias("component"))
-    mixed = own.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("entry")
-    return own.join(mixed, "entry")
+def open_stars(held: DataFrame, component: DataFrame) -> DataFrame:
+    """class, leader and their components, of a leader's entries of one size that hold more than two classes and don't all lie in one component."""
+    own = held.filter("size > 1").join(component, "class", "left").select("class", "leader", "size", F.coalesce("component", "class").alias("component"))
+    reach = own.groupBy("leader", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    leaders = component.select(F.col("class").alias("leader"), F.col("component").alias("leader_component"))
+    mixed = reach.join(leaders, "leader", "left").withColumn("leader_component", F.coalesce("leader_component", "leader"))
+    return own.join(mixed.filter("lo <> hi or lo <> leader_component").drop("lo", "hi"), ["leader", "size"]).drop("size").distinct()
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -666,16 +679,16 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def verify_clusters(opened: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that join the components of classes which share an open entry, as few as join them.
+    """Links that join the components of classes which share an open star, as few as join them.
 
-    Entries overlap, so their classes are clustered; a cluster falls apart into
+    Stars overlap, so their classes are clustered; a cluster falls apart into
     those of possible pairs, each of which is tested in cells.
     """
-    leader = opened.groupBy("entry").agg(F.min("class").alias("b"))
-    edges = written(opened.join(leader, "entry").filter(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct(), "cluster-links")
+    edges = written(opened.select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct(), "cluster-links")
     if edges.isEmpty():
         return edges
-    members = opened.select("class", "component").distinct().join(components(edges).withColumnRenamed("component", "group"), "class")
+    members = opened.select("class", "component").union(opened.select("leader", "leader_component")).distinct()
+    members = members.join(components(edges).withColumnRenamed("component", "group"), "class")
     members = written(screened(written(members, "cluster-members"), classes, num, den), "cluster-members")
     if members.isEmpty():
         return edges.limit(0)
@@ -790,9 +803,10 @@ def _joined(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
     buckets = max(2 * spark.sparkContext.defaultParallelism, (totals.shingles or 0) // BUCKET_ENTRIES + 1)
     classes = written(gather(share(deal(docs, width, buckets, hot), buckets), num, den), "classes")
     entries = written(index(classes, num, den), "entries")
-    links = written(verify(written(stars(entries, num, den), "pairs"), classes, num, den), "links")
+    held = written(stars(entries), "stars")
+    links = written(verify(written(star_pairs(held, num, den), "pairs"), classes, num, den), "links")
     component = components(links)
-    more = written(verify_clusters(written(open_entries(entries, component), "open"), classes, num, den), "links")
+    more = written(verify_clusters(written(open_stars(held, component), "open"), classes, num, den), "links")
     if not more.isEmpty():
         component = written(merged(component, more), "labels")
     return sets, classes, component

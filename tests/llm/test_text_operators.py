@@ -206,6 +206,27 @@ def test_unlike_texts_of_common_passages_are_dealt_in_proportion(spark, monkeypa
     assert rows_of[0] > 500 and rows_of[1] <= 2 * rows_of[0] + 10
 
 
+def test_open_rows_grow_with_the_classes_of_a_group(spark, monkeypatch):
+    """Near copies of which some link and some don't: what stays open is a few rows a class, however many index entries its classes share."""
+    opened = Counter()
+    whole = ngram_join.verify_clusters
+
+    def counted(found, classes, num, den):
+        opened["rows"] += found.count()
+        return whole(found, classes, num, den)
+
+    monkeypatch.setattr(ngram_join, "verify_clusters", counted)
+    rows_of = []
+    for n in (400, 800):
+        texts = near_copies(7, n, 150, 14)
+        opened.clear()
+        found = ngram_join.join(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 5, 80, 100)
+        _, group = components(texts, 5, 80, 100)
+        assert rows(found, "doc_id", "component_id") == [*enumerate(group)]
+        rows_of.append(opened["rows"])
+    assert 0 < rows_of[0] <= 8 * 400 and rows_of[1] <= 2.5 * rows_of[0]
+
+
 def test_sketches_never_differ_more_than_their_sets():
     import numpy as np
 
