@@ -17,8 +17,6 @@ Rows: video_id, at (order within the video), value (a frame's line). Options:
 from __future__ import annotations
 
 import json
-from collections import Counter
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
@@ -46,7 +44,7 @@ class CacheWriter(ds.DataSourceWriter):
             if row.video_id != video:
                 if video is not None:
                     end()
-                    done.append((name, str(video), n))
+                    done.append((name, n))
                 video, n, name = row.video_id, 0, f"video_id={row.video_id}/part-{part:06d}-{TaskContext.get().taskAttemptId()}.jsonl"
                 stream, end = self.files.begin(name)
                 stream.write(self.header.encode() + b"\n")
@@ -54,19 +52,12 @@ class CacheWriter(ds.DataSourceWriter):
             n += 1
         if video is not None:
             end()
-            done.append((name, str(video), n))
-        return files.Written(done)
+            done.append((name, n))
+        return self.files.done(done)
 
     def commit(self, messages) -> None:
-        """Trailers last: a commit that breaks off leaves partial videos, never a whole one with missing lines."""
-        self.files.commit(messages)
-        frames = Counter()
-        for m in messages:
-            for _, video, n in m.files if m else ():
-                frames[video] += n
-        with ThreadPoolExecutor(16) as pool:
-            for _ in pool.map(lambda v: self.files.write(f"video_id={v}/{TRAILER}", json.dumps({"eof": frames[v]}).encode() + b"\n"), frames):
-                pass
+        """A video's trailer last: a commit that breaks off leaves partial videos, never a whole one with missing lines."""
+        self.files.commit(messages, (TRAILER, lambda n: json.dumps({"eof": n}).encode() + b"\n"))
 
     def abort(self, messages) -> None:
         self.files.clear()

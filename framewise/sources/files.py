@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import json
 import re
 import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -30,11 +35,15 @@ def listed(uri: str, ending: str) -> list[fs.FileInfo]:
     return sorted((f for f in found if f.type == fs.FileType.File and f.path.endswith(ending) and not hidden(f)), key=lambda f: f.path)
 
 
+#: Bytes that are read of a list at once, and folders that a commit looks at side by side.
+CHUNK, FOLDERS = 64 << 10, 1024
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    """What a task has written: (name of its file below the folder, key, rows)."""
+    """Where a task has listed the files that it has written; None if none."""
 
-    files: list[tuple[str, str, int]]
+    path: str | None
 
 
 class AttemptFiles:
@@ -42,36 +51,78 @@ class AttemptFiles:
 
     A task that is lost half-way leaves hidden files only. What a task finished
     twice, or a job that never committed, has left is removed by the next commit.
+    Tasks list their files in hidden files too, and the commit reads the lists side
+    by side in order: it holds a piece of each, however many files there are.
     """
 
     def __init__(self, uri: str):
-        self.uri, self.job = uri.rstrip("/"), uuid.uuid4().hex[:12]
+        self.uri, self.job, self._made = uri.rstrip("/"), uuid.uuid4().hex[:12], set()
 
     def begin(self, name: str):
         """A stream, and the call that ends it and gives the file its name."""
         system, root = opened(self.uri)
         part = f"{root}/_attempts/{self.job}/{name.replace('/', '!')}.{TaskContext.get().taskAttemptId()}"
-        system.create_dir(part.rpartition("/")[0], recursive=True)
+        self._make(system, part.rpartition("/")[0])
         stream = system.open_output_stream(part, compression=None)
 
         def end() -> None:
             stream.close()
             final = f"{root}/{name}"
-            system.create_dir(final.rpartition("/")[0], recursive=True)
+            self._make(system, final.rpartition("/")[0])
             system.move(part, final)
 
         return stream, end
 
-    def commit(self, messages: list[Written | None], end: str | None = None) -> None:
-        """Remove what no message names beside files that messages name, and the hidden files; `end` is a name to spare."""
+    def _make(self, system: fs.FileSystem, folder: str) -> None:
+        if folder not in self._made:
+            system.create_dir(folder, recursive=True)
+            self._made = {*self._made, folder} if len(self._made) < 4 else {folder}
+
+    def done(self, written: list[tuple[str, int]]) -> Written:
+        """List what the task has written: (name of a file below the folder, rows)."""
+        if not written:
+            return Written(None)
         system, root = opened(self.uri)
-        named = {f"{root}/{name}" for m in messages if m for name, _, _ in m.files}
-        for folder in {name.rpartition("/")[0] for name in named}:
-            for f in system.get_file_info(fs.FileSelector(folder)):
-                if f.type == fs.FileType.File and f.path not in named and folder != root and f.base_name != end:
+        context = TaskContext.get()
+        path = f"{root}/_attempts/{self.job}/lists/{context.partitionId()}-{context.taskAttemptId()}"
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(path, compression=None) as out:
+            for folder, name, n in sorted((*f.rpartition("/")[::2], n) for f, n in written):
+                out.write(json.dumps([folder, name, n]).encode() + b"\n")
+        return Written(path)
+
+    def commit(self, messages: list[Written | None], trailer: tuple[str, Callable[[int], bytes]] | None = None) -> None:
+        """Folder by folder, remove what no list names beside files that lists name, then write the trailer (its name, its bytes for the folder's rows)."""
+        system, root = opened(self.uri)
+
+        def tidy(folder: str, names: set[str], n: int) -> None:
+            for f in system.get_file_info(fs.FileSelector(f"{root}/{folder}")):
+                if f.type == fs.FileType.File and f.base_name not in names:
                     system.delete_file(f.path)
+            if trailer:
+                self.write(f"{folder}/{trailer[0]}", trailer[1](n))
+
+        merged = heapq.merge(*(self._entries(system, m.path) for m in messages if m and m.path))
+        folders = ((folder, [*own]) for folder, own in itertools.groupby(merged, lambda f: f[0]) if folder)
+        with ThreadPoolExecutor(16) as pool:
+            while some := [*itertools.islice(folders, FOLDERS)]:
+                for _ in pool.map(lambda f: tidy(f[0], {name for _, name, _ in f[1]}, sum(n for _, _, n in f[1])), some):
+                    pass
         self.clear()
 
+    def _entries(self, system: fs.FileSystem, path: str) -> Iterator[tuple[str, str, int]]:
+        """A list's entries; no file stays open meanwhile."""
+        at, rest = 0, b""
+        while True:
+            with system.open_input_file(path) as stream:
+                stream.seek(at)
+                data = stream.read(CHUNK)
+            if not data:
+                return
+            at += len(data)
+            *lines, rest = (rest + data).split(b"\n")
+            yield from (tuple(json.loads(line)) for line in lines)
+
     def clear(self) -> None:
         system, root = opened(self.uri)
         if system.get_file_info(f"{root}/_attempts/{self.job}").type == fs.FileType.Directory:

@@ -15,6 +15,9 @@ from framewise.operators import filters, metrics, quantiles, sampling, table_fun
 from framewise.sources import cache, cache_sink, frames_source
 
 
+HEADER = cache.meta(width=1920, height=1080)
+
+
 def sequential(path):
     """Frames of a raw file, one after another, by another reader."""
     with open(path, "rb") as f:
@@ -135,14 +138,50 @@ def test_written_frames_are_read_back(spark, tmp_path):
     assert found.filter("frame = 5").first().t == 0.2
 
 
+@pytest.mark.parametrize(("source", "trailer"), [(frames_source.FramesSource, None), (cache_sink.CacheSink, '{"eof": 2}')])
+def test_what_tasks_tell_the_driver_does_not_grow_with_files(spark, tmp_path, source, trailer):
+    n, told = 3000, tmp_path / "told"
+
+    class Probe(source):
+        @classmethod
+        def name(cls):
+            return f"probe_{source.name()}"
+
+        def writer(self, schema, overwrite):
+            import pickle
+
+            own = super().writer(schema, overwrite)
+
+            class Told(type(own)):
+                def commit(self, messages):
+                    told.write_text(str(len(pickle.dumps(messages))))
+                    super().commit(messages)
+
+            own.__class__ = Told
+            return own
+
+    (cache_sink if trailer else frames_source).register(spark)
+    spark.dataSource.register(Probe)
+    if trailer:
+        # The second line of a video comes from another task, which has the videos in another order.
+        rows_ = spark.range(2 * n).repartition(2, F.col("id") >= n).select((F.col("id") % n).alias("video_id"), F.col("id").alias("at"), F.lit('{"f": 1, "p": [], "v": []}').alias("value"))
+        rows_ = rows_.sortWithinPartitions(F.when(F.col("at") >= n, -F.col("at")).otherwise(F.col("at")))
+    else:
+        rows_ = spark.range(n).repartition(1).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("video"), F.lit(0).alias("frame"), F.lit(1).alias("height"), F.lit(1).alias("width"), F.lit(b"a").alias("content"))
+    rows_.write.format(Probe.name()).option("header", json.dumps(HEADER)).mode("append").save(str(tmp_path / "out"))
+    assert int(told.read_text()) < 2000
+    if trailer:
+        eof = [d / "eof.jsonl" for d in (tmp_path / "out").glob("video_id=*")]
+        assert len(eof) == n and {p.read_text().strip() for p in eof} == {trailer}
+    else:
+        assert spark.read.format("framewise_frames").load(str(tmp_path / "out")).select("video").distinct().count() == n
+
+
 @pytest.fixture(scope="module")
 def detections(spark):
     return cached(spark, random_cache(7, 60))
 
 
-HEADER = cache.meta(width=1920, height=1080)
-
-
 def test_a_committed_cache_is_whole(spark, detections, tmp_path):
     f, p, v = detections
     cache_sink.write_cache(f, p, v, str(tmp_path / "c"), HEADER)
