@@ -48,7 +48,8 @@ def vehicles(lines: DataFrame) -> DataFrame:
 
 def headers(lines: DataFrame) -> DataFrame:
     """video, meta (text values by key), complete: whether the trailer is there."""
-    head = F.from_json("value", "map<string,string>")
+    # Only lines with one of the two keys are parsed; a key may be escaped.
+    head = F.when(F.col("value").rlike(r"version|eof|\\u"), F.from_json("value", "map<string,string>"))
     own = lines.select("video", head.alias("m"))
     return own.groupBy("video").agg(F.first(F.when(F.map_contains_key("m", "version"), F.col("m")), True).alias("meta"), F.count_if(F.map_contains_key("m", "eof")).alias("n")).select("video", "meta", (F.col("n") > 0).alias("complete"))
 

@@ -17,7 +17,10 @@ Rows: video_id, at (order within the video), value (a frame's line). Options:
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
@@ -27,28 +30,30 @@ from . import cache, files
 
 SCHEMA = "video_id long, at long, value string"
 TRAILER = "eof.jsonl"
+#: Bytes of a file that one task reads in a row, and bytes and lines of one batch.
+RANGE_BYTES, BATCH_BYTES, BATCH_LINES = 64 << 20, 4 << 20, 10_000
 
 
-class CacheWriter(ds.DataSourceWriter):
+class CacheWriter(ds.DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.files, self.header = files.AttemptFiles(options["path"]), options["header"]
 
-    def write(self, iterator) -> files.Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> files.Written:
         from pyspark import TaskContext
 
         part, done = TaskContext.get().partitionId(), []
         video, stream, end, n = None, None, None, 0
-        for row in iterator:
-            if row.video_id is None or row.value is None:
+        for own, value in (row for batch in iterator for row in zip(*(batch.column(c).to_pylist() for c in ("video_id", "value")), strict=True)):
+            if own is None or value is None:
                 raise ValueError("a line without a video or a value")
-            if row.video_id != video:
+            if own != video:
                 if video is not None:
                     end()
                     done.append((name, n))
-                video, n, name = row.video_id, 0, f"video_id={row.video_id}/part-{part:06d}-{TaskContext.get().taskAttemptId()}.jsonl"
+                video, n, name = own, 0, f"video_id={own}/part-{part:06d}-{TaskContext.get().taskAttemptId()}.jsonl"
                 stream, end = self.files.begin(name)
                 stream.write(self.header.encode() + b"\n")
-            stream.write(row.value.encode() + b"\n")
+            stream.write(value.encode() + b"\n")
             n += 1
         if video is not None:
             end()
@@ -94,6 +99,77 @@ def write_cache(frames: DataFrame, plates: DataFrame, vehicles: DataFrame, path:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """video (its video_id), value: the lines of written caches, also of partial ones."""
-    found = spark.read.schema("value string, video_id long").option("pathGlobFilter", "*.jsonl").text(path)
-    return found.select(F.col("video_id").alias("video"), "value").filter(F.trim("value") != "")
+    """video (its video_id), value: the lines of written caches, also of partial ones.
+
+    The driver lists nothing: one task lists the videos' folders, others their files, and
+    others read these, long ones in ranges.
+    """
+    ship(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders = spark.createDataFrame([(path,)], "root string").mapInArrow(_folders, "root string, video long")
+    ranges = folders.repartition(parts, "video").mapInArrow(_ranges, "path string, video long, low long, high long")
+    lines = ranges.repartition(parts, "path", "low").mapInArrow(_lines, "video long, value string")
+    return lines.filter(F.trim("value") != "")
+
+
+def _folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The videos' folders."""
+    for root in (r for batch in batches for r in batch.column("root").to_pylist()):
+        system, path = files.opened(root)
+        names = (f.base_name for f in system.get_file_info(files.fs.FileSelector(path)) if f.type == files.fs.FileType.Directory)
+        videos = [int(found[1]) for name in names if (found := re.fullmatch(r"video_id=(-?\d+)", name))]
+        for i in range(0, len(videos), BATCH_LINES):
+            own = pa.array(videos[i : i + BATCH_LINES], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([root] * len(own), pa.string()), own], ["root", "video"])
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranges of the folders' files."""
+    for batch in batches:
+        found = []
+        for root, video in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            uri = f"{root.rstrip('/')}/video_id={video}"
+            system, path = files.opened(uri)
+            for f in system.get_file_info(files.fs.FileSelector(path)):
+                if f.type == files.fs.FileType.File and f.base_name.endswith(".jsonl") and f.base_name[0] not in "_.":
+                    found += [(f"{uri}/{f.base_name}", video, k, min(k + RANGE_BYTES, f.size)) for k in range(0, f.size, RANGE_BYTES)]
+        yield pa.RecordBatch.from_pylist([dict(zip(("path", "video", "low", "high"), r, strict=True)) for r in found], pa.schema([("path", pa.string()), ("video", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines that begin in the ranges."""
+    videos, values, size = [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(videos, pa.int64()), pa.array(values, pa.string())], ["video", "value"])
+
+    for path, video, low, high in (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("path", "video", "low", "high")), strict=True)):
+        for line in _lines_of(path, low, high):
+            videos.append(video)
+            values.append(line.decode("utf-8", "replace"))
+            size += len(line)
+            if size >= BATCH_BYTES or len(videos) >= BATCH_LINES:
+                yield batch()
+                videos, values, size = [], [], 0
+    if videos:
+        yield batch()
+
+
+def _lines_of(path: str, low: int, high: int) -> Iterator[bytes]:
+    """A file's lines that begin from low to high - 1."""
+    system, where = files.opened(path)
+    at = max(0, low - 1)
+    with system.open_input_file(where) as stream:
+        stream.seek(at)
+        rest, begun = b"", low == 0
+        while data := stream.read(1 << 20):
+            *lines, rest = (rest + data).split(b"\n")
+            for line in lines:
+                if begun and at >= high:
+                    return
+                if begun:
+                    yield line.removesuffix(b"\r")
+                begun = True
+                at += len(line) + 1
+        if begun and rest and at < high:
+            yield rest.removesuffix(b"\r")

@@ -36,7 +36,7 @@ def listed(uri: str, ending: str) -> list[fs.FileInfo]:
 
 
 #: Bytes that are read of a list at once, and folders that a commit looks at side by side.
-CHUNK, FOLDERS = 64 << 10, 1024
+CHUNK, FOLDERS = 16 << 10, 1024
 
 
 @dataclass

@@ -193,6 +193,26 @@ def test_a_committed_cache_is_whole(spark, detections, tmp_path):
     assert rows(cache.plates(lines).withColumnRenamed("video", "video_id"), "video_id", "frame", "pord", "x1", "conf") == rows(p, "video_id", "frame", "pord", "x1", "conf")
 
 
+def test_caches_are_listed_and_read_by_tasks(spark, tmp_path):
+    frames = spark.range(900).select((F.col("id") % 300 - 20).alias("video_id"), F.col("id").alias("at"), F.format_string('{"f": %d, "p": [], "v": []}', "id").alias("value"))
+    cache_sink.write(frames, str(tmp_path / "c"), HEADER)
+    (tmp_path / "c" / "video_id=5" / "_hidden.jsonl").write_text("hidden")
+    (tmp_path / "c" / "video_id=900").mkdir()
+    (tmp_path / "c" / "video_id=900" / "part-0.jsonl").write_text('{"f": 7, "p": [], "v": []}\r\n\n{"f": 8, "p": [], "v": []}')
+    lines = cache_sink.read_lines(spark, str(tmp_path / "c"))
+    assert "FileScan" not in lines._jdf.queryExecution().executedPlan().toString() and lines.inputFiles() == []
+    assert rows(cache.frames(lines)) == sorted([(i % 300 - 20, i) for i in range(900)] + [(900, 7), (900, 8)])
+    assert {(r.video, r.complete) for r in cache.headers(lines).collect()} == {(v, True) for v in range(-20, 280)} | {(900, False)}
+
+
+@pytest.mark.parametrize("data", [b"", b"a", b"\n", b"a\n\nbcd\n", b"ab\r\nc", b"long line of text\nx\n\n\ny"])
+def test_ranges_of_a_cache_hold_each_line_once(tmp_path, data):
+    (tmp_path / "x").write_bytes(data)
+    for span in range(1, len(data) + 2):
+        found = [line for k in range(0, len(data), span) for line in cache_sink._lines_of(str(tmp_path / "x"), k, min(k + span, len(data)))]
+        assert found == data.splitlines()
+
+
 def test_a_job_that_ends_early_leaves_partial_videos_and_a_repeated_one_whole_ones(spark, tmp_path):
     path = str(tmp_path / "c")
     good = spark.createDataFrame([(v, f, json.dumps({"f": f, "p": [], "v": []})) for v in (1, 2) for f in range(50)], "video_id long, at long, value string")
