@@ -324,12 +324,12 @@ QUAD_ORDERS = [[(i - k) % 4 for i in range(4)] for k in range(4)] + [[3 - (i - k
 
 
 def aligned_quad(reference: Column, quad: Column) -> Column:
-    """The order of a quad's points that is nearest to the reference (least squares, the first on ties)."""
-
-    def candidate(n: int, order: list[int]) -> Column:
-        points = [quad[i] for i in order]
-        error = sum(F.pow((points[i][c] - reference[i][c]).cast("double"), 2.0) for i in range(4) for c in ("x", "y"))
-        return F.struct(error.alias("error"), F.lit(n).alias("n"), F.array(*points).alias("quad"))
-
-    best = F.array_sort(F.array(*(candidate(n, o) for n, o in enumerate(QUAD_ORDERS))), lambda a, b: F.when(a["error"] < b["error"], -1).when(a["error"] > b["error"], 1).otherwise(a["n"] - b["n"]))
-    return best[0]["quad"]
+    """The order of a quad's points that is nearest to the reference (least squares, the first on ties).
+
+    Both are best given as columns of their own: they are named often here. There is no
+    function of an array's elements, as Spark would interpret it and all below it.
+    """
+    square = lambda i, j, c: F.pow((quad[i][c] - reference[j][c]).cast("double"), 2.0)
+    errors = [sum(square(i, j, c) for j, i in enumerate(order) for c in ("x", "y")) for order in QUAD_ORDERS]
+    best = F.least(*(F.struct(error.alias("error"), F.lit(n).alias("n")) for n, error in enumerate(errors)))["n"]
+    return F.array(*(F.array(*(quad[i] for i in order)) for order in QUAD_ORDERS))[best]

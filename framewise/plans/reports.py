@@ -90,8 +90,10 @@ def aligned_quads(s: SparkSession, d: str) -> DataFrame:
     corners = [point(F.col("x1"), F.col("y1")), point(F.col("x2"), F.col("y1")), point(F.col("x2"), F.col("y2")), point(F.col("x1"), F.col("y2"))]
     shuffled = [F.struct((c["x"] + F.col("ord") * 7 - F.col("frame") % 5).alias("x"), (c["y"] + F.col("frame") % 3).alias("y")) for c in corners]
     turned = F.when(F.col("frame") % 2 == 0, F.array(*shuffled[2:], *shuffled[:2])).otherwise(F.array(*shuffled[::-1]))
-    found = g.aligned_quad(F.array(*corners), turned)
-    return _vehicles(s, d).select(*KEY, "ord", F.array_join(F.transform(found, lambda c: F.concat(c["x"], F.lit(" "), c["y"])), ",").alias("quad"))
+    own = _vehicles(s, d).select(*KEY, "ord", F.array(*corners).alias("corners"), turned.alias("turned"))
+    found = own.select(*KEY, "ord", g.aligned_quad(F.col("corners"), F.col("turned")).alias("quad"))
+    points = [F.get("quad", i) for i in range(4)]
+    return found.select(*KEY, "ord", F.concat_ws(",", *(F.concat(p["x"], F.lit(" "), p["y"]) for p in points)).alias("quad"))
 
 
 # Labels and reviews

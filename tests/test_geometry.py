@@ -1,14 +1,17 @@
 """Column geometry against plain Python on boxes from a seeded generator."""
 
+import os
 import random
 
+import numpy as np
 import pytest
 from compare import rows
 from pyspark.sql import functions as F
 
 from framewise.functions import folds, scalars
 from framewise.functions import geometry as g
-from framewise.operators import tracking
+from framewise.operators import quads, tracking
+from framewise.plans import reports
 
 
 def boxes(n, seed=5):
@@ -72,6 +75,21 @@ def test_quad_takes_the_nearest_order(spark):
     assert [tuple(p) for p in got] == [(0, 0), (9, 0), (9, 4), (0, 4)]
 
 
+def test_quads_take_orders_as_one_by_one_and_nothing_is_interpreted(spark):
+    r = random.Random(3)
+    point = lambda top, whole: (r.randint(0, top),) * 2 if r.random() < 0.1 else tuple(r.randint(0, top) if whole else r.uniform(0, top) for _ in "xy")
+    data = [(n, *([tuple(map(float, point(top, top < 5))) for _ in range(4)] for _ in "ab")) for n in range(400) for top in (1 if n % 2 else 50,)]
+    kind = "array<struct<x: double, y: double>>"
+    quads_ = spark.createDataFrame(data, f"n int, a {kind}, b {kind}")
+    found = quads_.select("n", g.aligned_quad(F.col("a"), F.col("b")).alias("q"))
+    # Of orders that are equally near, as many are here, the first counts.
+    assert {q.n: [tuple(p) for p in q.q] for q in found.collect()} == {n: [tuple(p) for p in quads.align(np.array(a), np.array(b))] for n, a, b in data}
+    for df in (found, reports.aligned_quads(spark, "/root/testdata/sf0.001")) if os.path.isdir("/root/testdata/sf0.001") else (found,):
+        assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    null = spark.sql(f"select cast(null as {kind}) as a, array(named_struct('x', 1d, 'y', cast(null as double))) || array_repeat(named_struct('x', 0d, 'y', 0d), 3) as b")
+    assert null.select(F.to_json(g.aligned_quad(F.col("a"), F.col("b")))).first()[0] == '[{"x":1.0},{"x":0.0,"y":0.0},{"x":0.0,"y":0.0},{"x":0.0,"y":0.0}]'
+
+
 def test_dedupe_grows_the_kept_box(spark):
     data = [(0, 3, 100, 200, 180, 420, 0.66), (1, 3, 110, 210, 170, 340, 0.24), (2, 2, 100, 200, 180, 420, 0.9)]
     df = spark.createDataFrame(data, "ord int, cls int, x1 int, y1 int, x2 int, y2 int, conf double")
